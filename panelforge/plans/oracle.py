@@ -239,3 +239,146 @@ sg AS (SELECT *,
 ORACLE["momentum_signals"] = with_(SIG) + sel(["momentum_1m", "momentum_3m"], "sg")
 ORACLE["reversal_signal"] = with_(SIG) + sel(["reversal_signal"], "sg")
 ORACLE["trend_consistency"] = with_(SIG) + sel(["trend_consistency"], "sg")
+
+
+# ---------------------------------------------------------------- engineered panel
+def _w63(f: str) -> str:
+    return f"{f} OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 62 PRECEDING AND CURRENT ROW)"
+
+
+_LAB = ",\n    ".join(
+    [f"{sdiv(lead('b.adj_close', h, 'PARTITION BY b.ticker ORDER BY b.date'), 'b.adj_close')} - 1 "
+     f"AS target_return_{n}" for n, h in HZ])
+
+_SIGNALS = """return_21d * volume_ratio AS momentum_1m,
+    return_63d * volume_ratio AS momentum_3m,
+    -dist_from_1m_high * CAST(coalesce(rsi_14 > 70, false) AS INTEGER) AS reversal_signal,
+    (CAST(coalesce(sma_5 > sma_10, false) AS INTEGER) + CAST(coalesce(sma_10 > sma_20, false) AS INTEGER)
+     + CAST(coalesce(sma_20 > sma_50, false) AS INTEGER) + CAST(coalesce(sma_50 > sma_200, false) AS INTEGER)) / 4.0
+      AS trend_consistency"""
+
+ENG_HELPERS = ["delta", "bb_std", "gain", "loss", "pa", "pb", "med21"] + [
+    f"{p}{n}" for p in ("g", "l") for n in RSI] + [f"dr_{c}" for c in XS]
+
+ENG = BASE + ",\n" + MACD + f""",
+eng1 AS (SELECT b.*, e2.x AS macd, e2.macd_signal, e2.x - e2.macd_signal AS macd_hist,
+    {_LAB}
+  FROM base b JOIN e2 ON b.ticker = e2.ticker AND b.date = e2.date),
+ems AS (SELECT date, avg(return_1d) AS market_return_1d, stddev_samp(return_1d) AS market_volatility,
+               avg(CASE WHEN return_1d > 0 THEN 1.0 ELSE 0.0 END) AS market_breadth,
+               median(return_21d) AS med21
+        FROM eng1 GROUP BY date),
+eng2 AS (SELECT e.*, ems.market_return_1d, ems.market_volatility, ems.market_breadth, ems.med21,
+                CASE WHEN ems.market_return_1d IS NOT NULL THEN e.return_1d END AS pa,
+                CASE WHEN e.return_1d IS NOT NULL THEN ems.market_return_1d END AS pb
+         FROM eng1 e LEFT JOIN ems USING (date)),
+eng3 AS (SELECT *,
+    CASE WHEN {_w63('count(pa)')} = 63
+         THEN {_w63('covar_pop(pa, pb)')} / nullif({_w63('stddev_pop(pa)')} * {_w63('stddev_pop(pb)')}, 0)
+    END AS correlation_market,
+    (CASE WHEN {_w63('count(pa)')} = 63 THEN {_w63('covar_samp(pa, pb)')} END)
+      / nullif({roll('var_samp', 'market_return_1d', 63)}, 0) AS beta,
+    return_21d - med21 AS relative_strength
+  FROM eng2),
+eng4 AS (SELECT *,
+    {_RANK}
+  FROM eng3),
+eng5 AS (SELECT *,
+    {_RANK2},
+    {_Z}
+  FROM eng4),
+eng6 AS (SELECT *,
+    {_SIGNALS}
+  FROM eng5),
+eng AS (SELECT * EXCLUDE ({", ".join(ENG_HELPERS)}),
+    {", ".join(f"CAST(CASE WHEN target_return_{n} IS NOT NULL THEN target_return_{n} > 0 END AS INTEGER) AS target_direction_{n}" for n, _ in HZ)}
+  FROM eng6)"""
+
+ENG_COLUMNS = (["open", "high", "low", "close", "volume", "adj_close"]
+               + [f"return_{p}d" for p in RET]
+               + [x for n in SMA for x in (f"sma_{n}", f"price_to_sma{n}")]
+               + ["volume_sma_20", "volume_ratio", "dollar_volume", "dollar_vol_20"]
+               + [f"volatility_{n}d" for n in VOL]
+               + ["vol_ratio_short", "vol_ratio_medium", "vol_ratio_long",
+                  "high_low_ratio", "close_to_high", "gap"]
+               + [f"rsi_{n}" for n in RSI]
+               + ["bb_upper", "bb_lower", "bb_position", "bb_width", "macd", "macd_signal", "macd_hist",
+                  "dist_from_52w_high", "dist_from_52w_low", "dist_from_1m_high", "dist_from_1m_low",
+                  "market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta",
+                  "relative_strength"]
+               + [x for c in XS for x in (f"{c}_rank", f"{c}_zscore")]
+               + ["momentum_1m", "momentum_3m", "reversal_signal", "trend_consistency"])
+ENG_TARGETS = [x for n, _ in HZ for x in (f"target_return_{n}", f"target_direction_{n}")]
+
+ORACLE["engineer_features"] = with_(ENG) + "SELECT ticker, date, " + rcols(
+    ENG_COLUMNS + [f"target_return_{n}" for n, _ in HZ], 6, LEVELS) + ", " + ", ".join(
+    f"target_direction_{n}" for n, _ in HZ) + " FROM eng"
+
+
+# ---------------------------------------------------------------- benchmarks
+SERIES = BENCH + """,
+sr AS (SELECT *,
+    close / nullif(lag(close, 21) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS ret21,
+    close / nullif(CASE WHEN count(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) = 200
+                        THEN avg(close) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END, 0) - 1
+      AS regime
+  FROM bench),
+st AS (SELECT date,
+    max(CASE WHEN ticker = '1-URGENT' THEN close END) AS nasdaq_close,
+    max(CASE WHEN ticker = '1-URGENT' THEN ret21 END) AS nasdaq_return_1m,
+    max(CASE WHEN ticker = '2-HIGH' THEN close END) AS spy_close,
+    max(CASE WHEN ticker = '2-HIGH' THEN ret21 END) AS spy_return_1m,
+    max(CASE WHEN ticker = '2-HIGH' THEN regime END) AS spy_sma200_ratio,
+    max(CASE WHEN ticker = '3-MEDIUM' THEN close END) AS vix_level,
+    max(CASE WHEN ticker = '3-MEDIUM' THEN ret21 END) AS vix_change_1m
+  FROM sr GROUP BY date)"""
+
+_FF = "OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+BFEAT = PANEL + ",\n" + SERIES + f""",
+bj AS (SELECT p.*, {_ret(21)} AS return_21d, st.nasdaq_close, st.spy_close AS spy_close_raw,
+              st.vix_level AS vix_raw, st.nasdaq_return_1m AS n1, st.spy_return_1m AS s1,
+              st.vix_level AS v0, st.vix_change_1m AS v1, st.spy_sma200_ratio AS r0
+       FROM panel p LEFT JOIN st USING (date)),
+bf AS (SELECT *,
+    last_value(n1 IGNORE NULLS) {_FF} AS nasdaq_return_1m,
+    last_value(s1 IGNORE NULLS) {_FF} AS spy_return_1m,
+    last_value(v0 IGNORE NULLS) {_FF} AS vix_level,
+    last_value(v1 IGNORE NULLS) {_FF} AS vix_change_1m,
+    last_value(r0 IGNORE NULLS) {_FF} AS spy_sma200_ratio,
+    last_value(nasdaq_close IGNORE NULLS) {_FF} AS nfill
+  FROM bj),
+bf2 AS (SELECT *, return_21d - nasdaq_return_1m AS relative_strength_nasdaq,
+               return_21d - spy_return_1m AS relative_strength_spy,
+               close / nullif(lag(close) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS sret,
+               nfill / nullif(lag(nfill) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS bret
+        FROM bf),
+bf3 AS (SELECT *, CASE WHEN bret IS NOT NULL THEN sret END AS qa, CASE WHEN sret IS NOT NULL THEN bret END AS qb FROM bf2),
+bfe AS (SELECT *,
+    (CASE WHEN {_w63('count(qa)')} = 63 THEN {_w63('covar_samp(qa, qb)')} END)
+      / nullif({roll('var_samp', 'bret', 63)}, 0) AS beta_nasdaq
+  FROM bf3)"""
+
+ORACLE["benchmark_join"] = with_(PANEL, SERIES) + """
+SELECT p.ticker, p.date, round(st.nasdaq_close, 6) + 0.0 AS nasdaq_close, round(st.spy_close, 6) + 0.0 AS spy_close,
+       round(st.vix_level, 6) + 0.0 AS vix_level
+FROM panel p LEFT JOIN st USING (date)"""
+
+ORACLE["benchmark_asof"] = with_(PANEL, BENCH) + """
+SELECT p.ticker, p.date, round(a.close, 6) + 0.0 AS nasdaq_close, round(b.close, 6) + 0.0 AS spy_close,
+       round(c.close, 6) + 0.0 AS vix_level
+FROM panel p
+ASOF LEFT JOIN (SELECT date, close FROM bench WHERE ticker = '1-URGENT') a ON p.date >= a.date
+ASOF LEFT JOIN (SELECT date, close FROM bench WHERE ticker = '2-HIGH') b ON p.date >= b.date
+ASOF LEFT JOIN (SELECT date, close FROM bench WHERE ticker = '3-MEDIUM') c ON p.date >= c.date"""
+
+ORACLE["benchmark_returns"] = with_(BFEAT) + sel(
+    ["nasdaq_return_1m", "spy_return_1m", "vix_level", "vix_change_1m"], "bfe")
+ORACLE["benchmark_regime"] = with_(BFEAT) + sel(["spy_sma200_ratio"], "bfe")
+ORACLE["rel_strength_benchmark"] = with_(BFEAT) + sel(["relative_strength_nasdaq", "relative_strength_spy"], "bfe")
+ORACLE["benchmark_beta"] = with_(BFEAT) + sel(["beta_nasdaq"], "bfe")
+ORACLE["forward_fill"] = with_(PANEL, SERIES) + f"""
+SELECT ticker, date,
+  round(last_value(nasdaq_close IGNORE NULLS) {_FF}, 6) + 0.0 AS nasdaq_close,
+  round(last_value(spy_close IGNORE NULLS) {_FF}, 6) + 0.0 AS spy_close,
+  round(last_value(vix_level IGNORE NULLS) {_FF}, 6) + 0.0 AS vix_level
+FROM panel LEFT JOIN st USING (date)"""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import rnd
+from panelforge.operators import benchmark as B
 from panelforge.operators import windows as W
 from panelforge.operators.ema import ema, macd
 from panelforge.operators.labels import HORIZONS, forward_returns, labels
@@ -22,7 +23,7 @@ from panelforge.operators.signals import momentum_signals, reversal_signal, tren
 from panelforge.operators.xsection import (
     XS_FEATURES, market_breadth, market_stats, join_per_date, relative_strength, xs_rank, xs_zscore,
 )
-from panelforge.plans.pipeline import base_features
+from panelforge.plans.pipeline import base_features, engineer_features
 from panelforge.session import apply_conf
 from panelforge.sources import io
 from panelforge.sources.bars import (
@@ -264,3 +265,76 @@ def top_momentum(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     last = df.filter(F.col("return_21d").isNotNull()).agg(F.max("date").alias("date"))
     top = df.join(last, "date").orderBy(F.desc("return_21d_rank"), "ticker").limit(n)
     return rnd(top.select("ticker", "date", "return_21d", "return_21d_rank"))
+
+
+# ---------------------------------------------------------------- full pipeline
+def engineered(spark, sf_dir, label_mode: str = "strict") -> DataFrame:
+    return engineer_features(panel(spark, sf_dir), label_mode=label_mode)
+
+
+@query("engineer_features")
+def q_engineer_features(spark, sf_dir):
+    """The whole engineered panel (74 computed columns + 12 targets)."""
+    df = engineered(spark, sf_dir)
+    return rnd(df, overrides=LEVELS)
+
+
+# ---------------------------------------------------------------- benchmarks
+def _bench_panel(spark, sf_dir):
+    return W.pct_change(panel(spark, sf_dir), "adj_close", [21]), benchmark_series(spark, sf_dir)
+
+
+@query("benchmark_join")
+def q_benchmark_join(spark, sf_dir):
+    """The three benchmark closes left-joined by date (no fill)."""
+    df, bench = _bench_panel(spark, sf_dir)
+    table = B.series_table(bench)
+    return out(B.benchmark_join(df, table, ["nasdaq_close", "spy_close", "vix_level"]),
+               ["nasdaq_close", "spy_close", "vix_level"])
+
+
+@query("benchmark_asof")
+def q_benchmark_asof(spark, sf_dir):
+    """Backward as-of join of the three closes on date."""
+    df, bench = _bench_panel(spark, sf_dir)
+    cols = ["nasdaq_close", "spy_close", "vix_level"]
+    return out(B.asof_join(df, B.series_table(bench), cols), cols)
+
+
+def _bench_features(spark, sf_dir):
+    df, bench = _bench_panel(spark, sf_dir)
+    return B.benchmark_features(df, bench)
+
+
+@query("benchmark_returns")
+def q_benchmark_returns(spark, sf_dir):
+    """21-row benchmark returns and the VIX level, filled per ticker."""
+    return out(_bench_features(spark, sf_dir),
+               ["nasdaq_return_1m", "spy_return_1m", "vix_level", "vix_change_1m"])
+
+
+@query("benchmark_regime")
+def q_benchmark_regime(spark, sf_dir):
+    """ETF close / 200-row SMA - 1."""
+    return out(_bench_features(spark, sf_dir), ["spy_sma200_ratio"])
+
+
+@query("rel_strength_benchmark")
+def q_rel_strength_benchmark(spark, sf_dir):
+    """W20."""
+    return out(_bench_features(spark, sf_dir), ["relative_strength_nasdaq", "relative_strength_spy"])
+
+
+@query("benchmark_beta")
+def q_benchmark_beta(spark, sf_dir):
+    """63-row beta against the broad index, per ticker."""
+    return out(_bench_features(spark, sf_dir), ["beta_nasdaq"])
+
+
+@query("forward_fill")
+def q_forward_fill(spark, sf_dir):
+    """Benchmark closes joined by date, then carried forward per ticker."""
+    df, bench = _bench_panel(spark, sf_dir)
+    cols = ["nasdaq_close", "spy_close", "vix_level"]
+    joined = B.benchmark_join(df.select(*KEYS), B.series_table(bench), cols)
+    return out(B.forward_fill(joined, cols), cols)
