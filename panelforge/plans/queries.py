@@ -269,7 +269,12 @@ def top_momentum(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
 
 # ---------------------------------------------------------------- full pipeline
 def engineered(spark, sf_dir, label_mode: str = "strict") -> DataFrame:
-    return engineer_features(panel(spark, sf_dir), label_mode=label_mode)
+    """The engineered panel as a stage output: bars and the result are
+    checkpointed (reliable, in the shared checkpoint folder), so the per-date
+    statistics branch and every consumer re-read them instead of re-running
+    the raw scan and the window chain."""
+    bars = panel(spark, sf_dir).checkpoint()
+    return engineer_features(bars, label_mode=label_mode).checkpoint()
 
 
 @query("engineer_features")

@@ -31,6 +31,9 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cores)
     conf["spark.driver.memory"] = "16g"
+    # Window stages are CPU-bound per row: on small local inputs, do not let
+    # AQE fold the shuffle output into one or two partitions (1 MB default).
+    conf["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "64k"
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
