@@ -58,12 +58,25 @@ def market_regime(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFrame
     is broadcast back; the rolling co-moments then run on the panel's
     existing ticker partitioning, so no second exchange of the wide panel.
     """
+    base = list(df.columns)
+    out = market_comoments(market_join(df, pw), pw, n)
+    extra = ["market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta"]
+    if "relative_strength" in out.columns:
+        extra.append("relative_strength")
+    return out.select(base + extra)
+
+
+def market_join(df: DataFrame, pw: PanelWindow = PW) -> DataFrame:
+    """The per-date aggregate joined back, relative strength."""
     t = pw.time
     median = "return_21d" if "return_21d" in df.columns else None
-    stats = market_stats(df, time=t, median_of=median)
-    out = join_per_date(df, stats, t)
-    out = out.withColumn("correlation_market", rolling_corr_col("return_1d", "market_return_1d", n, pw))
-    out = out.withColumn("beta", rolling_beta_col("return_1d", "market_return_1d", n, pw))
-    if "return_21d" in df.columns:
+    out = join_per_date(df, market_stats(df, time=t, median_of=median), t)
+    if median:
         out = out.withColumn("relative_strength", F.col("return_21d") - F.col("__median")).drop("__median")
     return out
+
+
+def market_comoments(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFrame:
+    """W15 / W16 against the joined market return."""
+    return (df.withColumn("correlation_market", rolling_corr_col("return_1d", "market_return_1d", n, pw))
+            .withColumn("beta", rolling_beta_col("return_1d", "market_return_1d", n, pw)))

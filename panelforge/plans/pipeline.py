@@ -18,8 +18,11 @@ from panelforge.functions.frames import PanelWindow
 from panelforge.operators import windows as W
 from panelforge.operators.ema import macd
 from panelforge.operators.features import panel_features
+from panelforge.operators.halo import BUCKET, positions, with_halo
 from panelforge.operators.labels import labels
-from panelforge.operators.market import market_regime
+from panelforge.operators.market import market_comoments, market_join, market_regime
+
+SIGNAL_COLUMNS = ["momentum_1m", "momentum_3m", "reversal_signal", "trend_consistency"]
 from panelforge.operators.signals import signals
 from panelforge.operators.xsection import cross_sectional
 
@@ -64,8 +67,27 @@ def base_features(df: DataFrame, pw: PanelWindow = PW) -> DataFrame:
     return panel_features(df, pw)
 
 
+def _engineer_halo(df: DataFrame, pw: PanelWindow, label_mode: str, bucket: int) -> DataFrame:
+    """X10 with every per-ticker window run on halo buckets (see ``halo``)."""
+    base = list(df.columns)
+    df = positions(df, pw)
+    df = with_halo(df, lambda d, w: panel_features(d, w, labels=label_mode), pw, bucket=bucket)
+    df = market_join(df, pw)
+    df = with_halo(df, lambda d, w: market_comoments(d, w), pw, back=64, fwd=0, bucket=bucket)
+    df = cross_sectional(df.drop("__gpos"), time=pw.time)
+    df = signals(df)
+    targets = [c for c in df.columns if c.startswith("target_")]
+    market = ["market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta",
+              "relative_strength"]
+    rest = [c for c in df.columns if c not in base and c not in targets and c not in market]
+    feats = [c for c in rest if not c.endswith(("_rank", "_zscore")) and c not in SIGNAL_COLUMNS]
+    xs = [c for c in rest if c.endswith(("_rank", "_zscore"))]
+    return df.select(base + feats + market + xs + SIGNAL_COLUMNS + targets)
+
+
 def engineer_features(df: DataFrame, pw: PanelWindow = PW, label_mode: str = "strict",
-                      universe: DataFrame | None = None) -> DataFrame:
+                      universe: DataFrame | None = None, mode: str = "plain",
+                      bucket: int = BUCKET) -> DataFrame:
     """Base → market regime → cross-section → signals → targets.
 
     Labels only need the ticker order, so they are computed in the ticker
@@ -75,6 +97,8 @@ def engineer_features(df: DataFrame, pw: PanelWindow = PW, label_mode: str = "st
     """
     if universe is not None:
         df = df.join(universe.select(pw.key).distinct(), pw.key, "left_semi")
+    if mode == "halo":
+        return _engineer_halo(df, pw, label_mode, bucket)
     if "return_1d" not in df.columns:
         df = panel_features(df, pw, labels=label_mode)
     else:
