@@ -178,3 +178,18 @@ def class_weights(balance: DataFrame, ratio: float = 0.7) -> DataFrame:
         F.when(imb, F.col("__tot") / (F.col("k") * F.col("n"))).otherwise(F.lit(1.0)).alias("weight"),
         F.when(imb & (F.col("__pos") > 0), F.col("__neg") / F.col("__pos")).otherwise(F.lit(1.0))
         .alias("scale_pos_weight"))
+
+
+def regression_metrics(df: DataFrame, y: str, pred: str, by: Sequence[str] = ()) -> DataFrame:
+    """Planned in the proposal: MAE, RMSE and R² of a continuous prediction,
+    over rows where both are present; one aggregate pass."""
+    both = df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull())
+    err = F.col(y) - F.col(pred)
+    res = both.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.abs(err)).alias("mae"),
+        F.sqrt(F.avg(err * err)).alias("rmse"),
+        F.sum(err * err).alias("__ssr"),
+        (F.var_pop(y) * F.count(F.lit(1))).alias("__sst"))
+    return res.select(*by, "n", "mae", "rmse",
+                      (1 - div(F.col("__ssr"), F.col("__sst"))).alias("r2"))

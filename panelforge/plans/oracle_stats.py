@@ -225,3 +225,14 @@ SELECT st.metric, st.target, """ + ", ".join(
     f"round(coalesce(max(CASE WHEN model = '{m}' THEN value END), 0.0), 6) + 0.0 AS {m}" for m in _MODELS) + """,
   round(any_value(rg.y_min), 6) + 0.0 AS y_min, round(any_value(rg.y_max), 6) + 0.0 AS y_max
 FROM st JOIN rg USING (metric) GROUP BY st.metric, st.target"""
+
+_RM = PANEL + f""",
+rm0 AS (SELECT date, """ + ", ".join(
+    f"adj_close / nullif(lag(adj_close, {h}) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r{h}, "
+    f"lead(adj_close, {h}) OVER (PARTITION BY ticker ORDER BY date) / nullif(adj_close, 0) - 1 AS f{h}"
+    for h in (1, 5, 21)) + f""" FROM panel),
+rm1 AS ({" UNION ALL ".join(f"SELECT 'return_{h}d' AS target, f{h} AS y, r{h} AS pred FROM rm0 WHERE date >= {CUT}" for h in (1, 5, 21))})"""
+ORACLE["regression_metrics"] = with_(_RM) + """
+SELECT target, count(*) AS n, round(avg(abs(y - pred)), 6) + 0.0 AS mae, round(sqrt(avg((y - pred) * (y - pred))), 6) + 0.0 AS rmse,
+  round(1 - sum((y - pred) * (y - pred)) / nullif(var_pop(y) * count(*), 0), 6) + 0.0 AS r2
+FROM rm1 WHERE y IS NOT NULL AND pred IS NOT NULL GROUP BY target"""

@@ -308,3 +308,16 @@ def q_top_models(spark, sf_dir):
 def q_results_pivot(spark, sf_dir):
     """E14."""
     return rnd(E.results_pivot(results(spark, sf_dir), ALL_MODELS))
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    """MAE / RMSE / R² of a persistence forecast (past h-row return as the
+    next h-row return) per horizon, on the test period."""
+    hz = [("1d", 1), ("5d", 5), ("21d", 21)]
+    df = labels(W.pct_change(panel(spark, sf_dir), "adj_close", [h for _, h in hz]), horizons=hz)
+    _, test = P.time_split(df, CUT)
+    long = test.select(F.inline(F.array(*[
+        F.struct(F.lit(f"return_{n}").alias("target"), F.col(f"target_return_{n}").alias("y"),
+                 F.col(f"return_{n}").alias("pred")) for n, _ in hz])))
+    return rnd(E.regression_metrics(long, "y", "pred", ["target"]))
