@@ -4,20 +4,22 @@ Every statistic over all rows is a single aggregation pass, combined
 map-side; the per-feature results are stacked into long tables with
 ``inline`` (no shuffle). Correlations are composed from population moments
 with ``try_divide`` (Spark's ``corr`` raises on a constant column under ANSI).
-Large correlation matrices are computed from centred cross-products in
-chunks of pairs, so no single aggregate grows past the code-generation limit.
+Large correlation matrices of complete columns use Spark ML's one-pass
+centred Gramian instead of one aggregate expression per pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import math
+
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import div
 
-PAIR_CHUNK = 400
 
 
 def _corr_pair(a: str, b: str) -> Column:
@@ -53,38 +55,25 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -> DataF
                                  F.col(f"__p{i}_{j}").alias("corr")) for i, j in pairs])
 
 
-def dense_corr_pairs(df: DataFrame, cols: Sequence[str], chunk: int = PAIR_CHUNK) -> DataFrame:
-    """Upper-triangle correlations (pos_a < pos_b) of columns without NULLs.
+def dense_corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Upper-triangle Pearson correlations (pos_a < pos_b) of columns without
+    NULLs, as a long table.
 
-    Two-pass centred form: means in one aggregate, then sums of centred
-    cross-products in chunks of pairs (each chunk one aggregate over the
-    input, which should be cached or checkpointed by the caller).
+    One distributed pass of Spark ML's ``Correlation`` (column means, then
+    the Gramian of mean-centred rows, combined by tree aggregation). Only the
+    k x k matrix returns to the driver: its size is bounded by the number of
+    features, not by the data. A constant column gives NULL.
     """
-    means = df.agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)])
-    cen = df.crossJoin(F.broadcast(means)).select(
-        *[(F.col(c) - F.col(f"__m{i}")).alias(f"__x{i}") for i, c in enumerate(cols)])
-    sq = cen.agg(*[F.sum(F.col(f"__x{i}") * F.col(f"__x{i}")).alias(f"__s{i}") for i in range(len(cols))])
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    parts = []
-    for k in range(0, len(pairs), chunk):
-        block = pairs[k:k + chunk]
-        one = cen.agg(*[F.sum(F.col(f"__x{i}") * F.col(f"__x{j}")).alias(f"__p{i}_{j}") for i, j in block])
-        parts.append(_stack(one, [F.struct(F.lit(i).alias("pos_a"), F.lit(j).alias("pos_b"),
-                                           F.col(f"__p{i}_{j}").alias("sxy")) for i, j in block]))
-    cross = parts[0]
-    for p in parts[1:]:
-        cross = cross.unionByName(p)
-    sq_long = _stack(sq, [F.struct(F.lit(i).alias("pos"), F.col(f"__s{i}").alias("sxx"))
-                          for i in range(len(cols))])
-    a = sq_long.select(F.col("pos").alias("pos_a"), F.col("sxx").alias("sa"))
-    b = sq_long.select(F.col("pos").alias("pos_b"), F.col("sxx").alias("sb"))
-    names = _stack(df.sparkSession.range(1), [F.struct(F.lit(i).alias("pos"), F.lit(c).alias("feature"))
-                                              for i, c in enumerate(cols)])
-    out = (cross.join(F.broadcast(a), "pos_a").join(F.broadcast(b), "pos_b")
-           .select("pos_a", "pos_b", div(F.col("sxy"), F.sqrt(F.col("sa") * F.col("sb"))).alias("corr")))
-    na = names.select(F.col("pos").alias("pos_a"), F.col("feature").alias("feature_a"))
-    nb = names.select(F.col("pos").alias("pos_b"), F.col("feature").alias("feature_b"))
-    return out.join(F.broadcast(na), "pos_a").join(F.broadcast(nb), "pos_b")
+    from pyspark.ml.stat import Correlation
+    vec = VectorAssembler(inputCols=list(cols), outputCol="__v").transform(df.select(*cols))
+    m = Correlation.corr(vec, "__v", "pearson").first()[0].toArray()
+    rows = []
+    for i in range(len(cols)):
+        for j in range(i + 1, len(cols)):
+            v = float(m[i, j])
+            rows.append((i, j, cols[i], cols[j], None if math.isnan(v) else v))
+    return df.sparkSession.createDataFrame(
+        rows, "pos_a int, pos_b int, feature_a string, feature_b string, corr double")
 
 
 def variance_filter(df: DataFrame, cols: Sequence[str], t: float = 0.01) -> DataFrame:

@@ -133,14 +133,15 @@ def train_target(train: DataFrame, features: Sequence[str], label: str, n_featur
 
 def train_all(train: DataFrame, features: Sequence[str], targets: dict[str, int],
               families: Sequence[str] = FAMILIES, rounds: int = 300, min_rows: int = 1000,
-              threads: int = 3) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
+              threads: int = 6, select_rounds: int = 100
+              ) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
     """Fit every target with enough labelled rows, a few at a time."""
     def one(name):
         label = f"target_{name}"
         data = train.filter(F.col(label).isNotNull())
         if data.count() < min_rows:
             return name, None
-        return name, train_target(data, features, label, targets[name], families, rounds)
+        return name, train_target(data, features, label, targets[name], families, rounds, select_rounds)
     with ThreadPoolExecutor(max_workers=threads) as pool:
         done = dict(pool.map(one, list(targets)))
     return {k: v for k, v in done.items() if v is not None}
