@@ -71,8 +71,12 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ("target", "model"), y: str =
             p: str = "p", ranges: int = 64) -> DataFrame:
     """E5: exact ROC AUC per group; NULL unless both classes are present."""
     by = list(by)
+    # distinct scores with class counts, materialised once (reliable
+    # checkpoint): the range bounds, the range offsets and the final sum all
+    # read it instead of re-running the scoring lineage
     g = scores.groupBy(*by, F.col(p).alias("s")).agg(
-        F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
+        F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg")
+    ).checkpoint()
     qs = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
     bounds = g.groupBy(*by).agg(F.percentile_approx("s", qs, 1000).alias("__b"))
     g = g.join(small(bounds), by).withColumn(

@@ -16,27 +16,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import div
+from panelforge.functions.quantiles import exact_quantiles
 
 QUANTILES = [0.25, 0.5, 0.75]
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker",
-               time: str = "date", min_rows: int = 10, approx: bool = False,
+               time: str = "date", min_rows: int = 10, method: str = "exact",
                accuracy: int = 10000) -> DataFrame:
     """Median and IQR of each column per ticker on rows before ``cut``.
 
     NULL counts as 0 (the reference fills before fitting); an IQR of 0 gives
     scale 1; tickers with fewer than ``min_rows`` training rows get no
-    parameters. ``percentile`` is exact (numpy's linear rule);
-    ``approx=True`` uses the bounded-memory ``percentile_approx`` sketch for
-    tickers too long to hold in one aggregation buffer.
+    parameters. Quantiles follow numpy's linear rule.
+
+    ``method="exact"`` (default) ranks distinct values in bounded ranges
+    (``functions.quantiles``), so no ticker's series is held in one task;
+    ``"buffer"`` is Spark's ``percentile`` (one buffer per ticker);
+    ``"approx"`` the ``percentile_approx`` sketch.
     """
     train = df.filter(F.col(time) < F.lit(cut).cast("date"))
+    if method == "exact":
+        long = train.select(key, F.inline(F.array(*[
+            F.struct(F.lit(c).alias("feature"),
+                     F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("x")) for c in cols])))
+        q = exact_quantiles(long, [key, "feature"], "x", QUANTILES)
+        iqr = F.col("q2") - F.col("q0")
+        return (q.filter(F.col("n") >= min_rows)
+                .select(key, "feature", F.col("q1").alias("center"),
+                        F.when(iqr == 0, F.lit(1.0)).otherwise(iqr).alias("scale"),
+                        F.col("n").alias("n_train")))
     qs = F.array(*[F.lit(q) for q in QUANTILES])
     aggs = [F.count(F.lit(1)).alias("n_train")]
     for c in cols:
         x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        q = F.percentile_approx(x, qs, accuracy) if approx else F.percentile(x, qs)
+        q = F.percentile_approx(x, qs, accuracy) if method == "approx" else F.percentile(x, qs)
         aggs.append(q.alias(f"__q_{c}"))
     wide = train.groupBy(key).agg(*aggs).filter(F.col("n_train") >= min_rows)
     rows = []
@@ -72,9 +86,9 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str],
 
 def robust_scale(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker",
                  time: str = "date", min_rows: int = 10,
-                 approx: bool = False) -> tuple[DataFrame, DataFrame]:
+                 method: str = "exact") -> tuple[DataFrame, DataFrame]:
     """Fit on the training period and transform every row."""
-    params = fit_scaler(df, cols, cut, key, time, min_rows, approx)
+    params = fit_scaler(df, cols, cut, key, time, min_rows, method)
     return apply_scaler(df, params, cols, key), params
 
 

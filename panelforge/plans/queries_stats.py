@@ -237,7 +237,9 @@ def score_table(spark, sf_dir) -> DataFrame:
 
 
 def scores(spark, sf_dir) -> DataFrame:
-    return E.soft_vote(score_table(spark, sf_dir), SCORE_MODELS)
+    """The score table with its ensemble rows, checkpointed: every metric
+    query reads it in several branches."""
+    return E.soft_vote(score_table(spark, sf_dir), SCORE_MODELS).checkpoint()
 
 
 @query("soft_vote")
