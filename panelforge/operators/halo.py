@@ -28,7 +28,10 @@ from panelforge.functions.nulls import small
 PW = PanelWindow()
 BACK = 720   # rows a feature may look back (EMA 26 / 9 chain: q^k < 1e-20)
 FWD = 252    # rows a label may look ahead
-BUCKET = 4096
+# bucket + both halos (3,072 + 720 + 252 = 4,044 rows) stays within the
+# window operator's default in-memory row buffer (4,096 rows), beyond which it
+# switches to an external, spillable buffer
+BUCKET = 3072
 
 
 def positions(df: DataFrame, pw: PanelWindow = PW, grain: str = "year") -> DataFrame:

@@ -17,7 +17,7 @@ from panelforge.functions.nulls import rnd
 from panelforge.operators import benchmark as B
 from panelforge.operators import windows as W
 from panelforge.operators.ema import ema, macd
-from panelforge.operators.labels import HORIZONS, forward_returns, labels
+from panelforge.operators.labels import HORIZONS, direction_col, forward_returns, labels
 from panelforge.operators.market import market_regime, rolling_beta, rolling_corr
 from panelforge.operators.signals import momentum_signals, reversal_signal, trend_consistency
 from panelforge.operators.xsection import (
@@ -55,7 +55,11 @@ def out(df: DataFrame, cols) -> DataFrame:
 
 
 def panel(spark, sf_dir) -> DataFrame:
-    return stock_panel(spark, sf_dir)
+    """The bar panel as a stored stage: built once from the trades and
+    checkpointed, so queries that read it in several branches (per-date
+    statistics joined back, fit-then-apply) never re-run the raw scan, and a
+    lost executor recomputes from the stage, not from the trades."""
+    return stock_panel(spark, sf_dir).checkpoint()
 
 
 def based(spark, sf_dir) -> DataFrame:
@@ -186,11 +190,11 @@ def q_forward_returns(spark, sf_dir):
 @query("direction_labels")
 def q_direction_labels(spark, sf_dir):
     """W22 in both modes: strict (NULL unknown) and reference (0 unknown)."""
-    p = panel(spark, sf_dir)
-    strict = labels(p, mode="strict")
+    strict = labels(panel(spark, sf_dir), mode="strict")
     cols = [f"target_direction_{n}" for n, _ in HORIZONS]
-    ref = labels(p, mode="reference").select(*KEYS, *[F.col(c).alias(c + "_ref") for c in cols])
-    return strict.select(*KEYS, *cols).join(ref, KEYS)
+    ref = [direction_col(f"target_return_{n}", "reference").alias(f"target_direction_{n}_ref")
+           for n, _ in HORIZONS]
+    return strict.select(*KEYS, *cols, *ref)
 
 
 # ---------------------------------------------------------------- cross-section
@@ -273,8 +277,7 @@ def engineered(spark, sf_dir, label_mode: str = "strict") -> DataFrame:
     checkpointed (reliable, in the shared checkpoint folder), so the per-date
     statistics branch and every consumer re-read them instead of re-running
     the raw scan and the window chain."""
-    bars = panel(spark, sf_dir).checkpoint()
-    return engineer_features(bars, label_mode=label_mode).checkpoint()
+    return engineer_features(panel(spark, sf_dir), label_mode=label_mode).checkpoint()
 
 
 @query("engineer_features")

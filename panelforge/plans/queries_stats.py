@@ -141,10 +141,8 @@ def q_minmax_scale(spark, sf_dir):
 @query("binary_remap")
 def q_binary_remap(spark, sf_dir):
     """A two-valued label remapped to 0/1 and a continuous target min-max scaled."""
-    df = labels(panel(spark, sf_dir), mode="reference")
-    a = Z.binary_remap(df.select(*KEYS, "target_direction_21d"), "target_direction_21d")
-    b = Z.binary_remap(df.select(*KEYS, "target_return_21d"), "target_return_21d")
-    return rnd(a.join(b, KEYS))
+    df = labels(panel(spark, sf_dir), mode="reference").select(*KEYS, "target_direction_21d", "target_return_21d")
+    return rnd(Z.binary_remap(Z.binary_remap(df, "target_direction_21d"), "target_return_21d"))
 
 
 # ---------------------------------------------------------------- selection statistics
@@ -273,7 +271,9 @@ def q_log_loss(spark, sf_dir):
 
 
 def results(spark, sf_dir) -> DataFrame:
-    return E.results_table(scores(spark, sf_dir))
+    """The (target, model) result table, checkpointed (a few dozen rows that
+    several report queries read twice)."""
+    return E.results_table(scores(spark, sf_dir)).checkpoint()
 
 
 @query("results_table")

@@ -153,3 +153,19 @@ def test_confusion_always_four_cells(spark):
     r = E.classification_metrics(s).first()
     assert (r["true_neg"], r["false_pos"], r["false_neg"], r["true_pos"]) == (0, 0, 0, 2)
     assert r["specificity"] == 0.0 and r["precision"] == 1.0
+
+
+def test_exact_quantiles_skewed_ties(spark):
+    import numpy as np
+    from panelforge.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(3)
+    hot = np.concatenate([np.zeros(3000), rng.normal(size=2000)])   # one group: a third of rows are zeros
+    cold = rng.normal(size=7)
+    rows = [("hot", float(v)) for v in hot] + [("cold", float(v)) for v in cold]
+    df = spark.createDataFrame(rows, "g string, x double")
+    qs = [0.25, 0.5, 0.75, 0.9]
+    got = {r["g"]: r for r in exact_quantiles(df, ["g"], "x", qs, ranges=8).collect()}
+    for g, vals in [("hot", hot), ("cold", cold)]:
+        for i, q in enumerate(qs):
+            assert got[g][f"q{i}"] == pytest.approx(np.percentile(vals, q * 100), rel=1e-12, abs=1e-12)
+        assert got[g]["n"] == len(vals)
