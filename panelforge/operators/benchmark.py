@@ -76,13 +76,24 @@ def asof_join(df: DataFrame, series: DataFrame, cols, time: str = "date") -> Dat
     row at or before its date, even if that date is not in the panel.
 
     The fill runs on the calendar (distinct dates of panel and series, one
-    row per date), not on the panel: a small ordered scan whose size is
-    bounded by the number of dates, then a broadcast equi-join.
+    row per date), not on the panel, and in two levels so no window spans
+    the whole calendar: a running fill inside each year, then each year's
+    gaps at the start take the last value of the years before it (a table
+    of one row per year). The filled calendar is broadcast to the panel.
     """
+    year = F.year(time).alias("__y")
     cal = (df.select(time).distinct()
-           .join(series.select(time, *cols), time, "full_outer"))
-    w = Window.orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cal = cal.select(time, *[F.last(c, ignorenulls=True).over(w).alias(c) for c in cols])
+           .join(series.select(time, *cols), time, "full_outer")
+           .select("*", year))
+    inside = Window.partitionBy("__y").orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = cal.select(time, "__y", *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in cols])
+    # last non-null value of each year, carried over the years that follow
+    ends = cal.groupBy("__y").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(time))).alias(c)
+                                    for c in cols])
+    before = Window.orderBy("__y").rowsBetween(Window.unboundedPreceding, -1)
+    carry = ends.select("__y", *[F.last(c, ignorenulls=True).over(before).alias(f"__carry_{c}") for c in cols])
+    cal = filled.join(F.broadcast(carry), "__y", "left").select(
+        time, *[F.coalesce(F.col(c), F.col(f"__carry_{c}")).alias(c) for c in cols])
     return df.join(_bcast(cal, time), time, "left")
 
 

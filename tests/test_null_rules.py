@@ -169,3 +169,12 @@ def test_exact_quantiles_skewed_ties(spark):
         for i, q in enumerate(qs):
             assert got[g][f"q{i}"] == pytest.approx(np.percentile(vals, q * 100), rel=1e-12, abs=1e-12)
         assert got[g]["n"] == len(vals)
+
+
+def test_label_purge_keeps_only_known_labels(spark):
+    from panelforge.operators.labels import purge
+    df = series(spark, [float(i + 1) for i in range(10)])
+    cut = str(day(6))
+    kept = [r["date"] for r in purge(df, cut, "5d").orderBy("date").collect()]
+    # rows before the cut whose 5-row-ahead date is also before it
+    assert kept == [day(0)]
