@@ -77,6 +77,16 @@ def market_join(df: DataFrame, pw: PanelWindow = PW) -> DataFrame:
 
 
 def market_comoments(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFrame:
-    """W15 / W16 against the joined market return."""
-    return (df.withColumn("correlation_market", rolling_corr_col("return_1d", "market_return_1d", n, pw))
-            .withColumn("beta", rolling_beta_col("return_1d", "market_return_1d", n, pw)))
+    """W15 / W16 against the joined market return, sharing one set of frame
+    moments: when all n pairs are complete the market column equals its
+    pair-masked copy on the frame, so beta = cov / var(market) needs no
+    separate frame (the n / (n - 1) factors of the sample forms cancel)."""
+    pa, pb = _pairs("return_1d", "market_return_1d")
+    w = pw.rows(n)
+    df = df.select("*", F.count(pa).over(w).alias("__n"), F.covar_pop(pa, pb).over(w).alias("__cov"),
+                   F.stddev_pop(pa).over(w).alias("__sa"), F.stddev_pop(pb).over(w).alias("__sb"))
+    full = F.col("__n") == n
+    sb = F.col("__sb")
+    return (df.withColumn("correlation_market", F.when(full, div(F.col("__cov"), F.col("__sa") * sb)))
+            .withColumn("beta", F.when(full, div(F.col("__cov"), sb * sb)))
+            .drop("__n", "__cov", "__sa", "__sb"))
