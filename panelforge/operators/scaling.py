@@ -19,10 +19,12 @@ from panelforge.functions.nulls import div
 from panelforge.functions.quantiles import exact_quantiles
 
 QUANTILES = [0.25, 0.5, 0.75]
+# Longest per-ticker training series held in one ``percentile`` buffer.
+BUFFER_ROWS = 500_000
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker",
-               time: str = "date", min_rows: int = 10, method: str = "exact",
+               time: str = "date", min_rows: int = 10, method: str = "auto",
                accuracy: int = 10000) -> DataFrame:
     """Median and IQR of each column per ticker on rows before ``cut``.
 
@@ -30,12 +32,19 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker"
     scale 1; tickers with fewer than ``min_rows`` training rows get no
     parameters. Quantiles follow numpy's linear rule.
 
-    ``method="exact"`` (default) ranks distinct values in bounded ranges
+    ``method="auto"`` (default) counts the longest training series first:
+    up to ``BUFFER_ROWS`` rows Spark's ``percentile`` buffer is bounded and
+    used, beyond it ``"exact"`` ranks distinct values in bounded ranges
     (``functions.quantiles``), so no ticker's series is held in one task;
     ``"buffer"`` is Spark's ``percentile`` (one buffer per ticker);
     ``"approx"`` the ``percentile_approx`` sketch.
     """
     train = df.filter(F.col(time) < F.lit(cut).cast("date"))
+    if method == "auto":
+        # one small aggregate decides: a ticker's buffer is bounded when its
+        # longest training series is short; otherwise split by value ranges
+        longest = train.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        method = "buffer" if longest <= BUFFER_ROWS else "exact"
     if method == "exact":
         long = train.select(key, F.inline(F.array(*[
             F.struct(F.lit(c).alias("feature"),
@@ -86,7 +95,7 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str],
 
 def robust_scale(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker",
                  time: str = "date", min_rows: int = 10,
-                 method: str = "exact") -> tuple[DataFrame, DataFrame]:
+                 method: str = "auto") -> tuple[DataFrame, DataFrame]:
     """Fit on the training period and transform every row."""
     params = fit_scaler(df, cols, cut, key, time, min_rows, method)
     return apply_scaler(df, params, cols, key), params

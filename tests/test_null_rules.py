@@ -178,3 +178,19 @@ def test_label_purge_keeps_only_known_labels(spark):
     kept = [r["date"] for r in purge(df, cut, "5d").orderBy("date").collect()]
     # rows before the cut whose 5-row-ahead date is also before it
     assert kept == [day(0)]
+
+
+def test_scaler_exact_path_equals_buffer_path(spark):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    rows = [(t, day(i), float(v) if v > -1.5 else None)
+            for t, n in [("A", 300), ("B", 40), ("C", 8)] for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "ticker string, date date, x double")
+    a = {(r["ticker"], r["feature"]): (r["center"], r["scale"], r["n_train"])
+         for r in Z.fit_scaler(df, ["x"], "2030-01-01", method="exact").collect()}
+    b = {(r["ticker"], r["feature"]): (r["center"], r["scale"], r["n_train"])
+         for r in Z.fit_scaler(df, ["x"], "2030-01-01", method="buffer").collect()}
+    assert a.keys() == b.keys() == {("A", "x"), ("B", "x")}
+    for k in a:
+        assert a[k][0] == pytest.approx(b[k][0], abs=1e-12) and a[k][1] == pytest.approx(b[k][1], abs=1e-12)
+        assert a[k][2] == b[k][2]
