@@ -56,10 +56,10 @@ def out(df: DataFrame, cols) -> DataFrame:
 
 def panel(spark, sf_dir) -> DataFrame:
     """The bar panel as a stored stage: built once from the trades and
-    checkpointed, so queries that read it in several branches (per-date
+    written as Parquet to the checkpoint folder (``io.stage``), so queries that read it in several branches (per-date
     statistics joined back, fit-then-apply) never re-run the raw scan, and a
     lost executor recomputes from the stage, not from the trades."""
-    return stock_panel(spark, sf_dir).checkpoint()
+    return io.stage(stock_panel(spark, sf_dir), "bars")
 
 
 def based(spark, sf_dir) -> DataFrame:
@@ -274,10 +274,10 @@ def top_momentum(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
 # ---------------------------------------------------------------- full pipeline
 def engineered(spark, sf_dir, label_mode: str = "strict") -> DataFrame:
     """The engineered panel as a stage output: bars and the result are
-    checkpointed (reliable, in the shared checkpoint folder), so the per-date
-    statistics branch and every consumer re-read them instead of re-running
-    the raw scan and the window chain."""
-    return engineer_features(panel(spark, sf_dir), label_mode=label_mode).checkpoint()
+    Parquet stages in the shared checkpoint folder, so the per-date
+    statistics branch and every consumer re-read them (pruned to the columns
+    they use) instead of re-running the raw scan and the window chain."""
+    return io.stage(engineer_features(panel(spark, sf_dir), label_mode=label_mode), "engineered")
 
 
 @query("engineer_features")
