@@ -137,3 +137,35 @@ def components(edges: DataFrame, name: str, chunk: int = EDGE_CHUNK, max_rounds:
             raise RuntimeError(f"{name}: components still change after {max_rounds} rounds")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def ids(key: str) -> list:
+    """``id`` (0 for null) and ``z`` (is null): pandas would turn a long column
+    with nulls into doubles and lose digits of large ids."""
+    k = F.col(key).cast("long")
+    return [F.coalesce(k, F.lit(0).cast("long")).alias("id"), k.isNull().alias("z")]
+
+
+def back(key: str):
+    """The key column again from ``id`` and ``z``."""
+    return F.when(~F.col("z"), F.col("id")).alias(key)
+
+
+def text_hash(text: str):
+    """64-bit hash of the raw text: with the key it names a row."""
+    return F.xxhash64(F.col(text))
+
+
+def pick_rows(docs: DataFrame, kept: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of ``docs`` (all columns) that ``kept`` names: stored rows (id, th,
+    copies) with a null-safe id, the hash of the raw text, and how many rows of
+    ``docs`` repeat that pair. Of repeated rows one is returned."""
+    d = docs.withColumn("__th", text_hash(text))
+    k = kept.select(F.col("id").alias("__id"), F.col("th").alias("__kth"), F.col("copies").alias("__c"))
+    on = F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__kth"))
+    once = k.where(F.col("__c") == 1)
+    out = d.join(small_side(once, 32), on, "left_semi")
+    more = k.where(F.col("__c") > 1)
+    if not more.isEmpty():
+        out = out.unionByName(d.join(small_side(more, 32), on, "left_semi").dropDuplicates([key, "__th"]))
+    return out.drop("__th")

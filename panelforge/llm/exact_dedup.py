@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SPACE, map_groups, small_side, split_runs
+from panelforge.llm.common import SPACE, back, ids, map_groups, small_side, split_runs
 from panelforge.sources.io import stage
 
 SPARE = 12            # fingerprint bits beyond log2(rows): 2**-12 false suspects
@@ -126,20 +126,22 @@ def suspects(fp: DataFrame) -> DataFrame:
         again = np.bincount(slot) > 1                # repeats within the sender
         bad = np.zeros(len(o), dtype=bool)
         bad[order] = (hit | again)[slot]
-        return pdf.loc[bad, ["uid", "id", "sha"]]
+        return pdf.loc[bad, ["uid", "id", "z", "sha"]]
 
     sent = map_groups(fp.select("src", "fp"), "src", send, "owner long, src long, n int, k int, blob binary")
     maps = stage(map_groups(sent, "owner", answer, "src long, owner long, n int, bitmap binary"), "exact_maps")
-    return stage(fp.select("uid", "id", "src", "fp", "sha").groupBy("src").cogroup(maps.groupBy("src"))
-                 .applyInPandas(mark, "uid long, id long, sha binary"), "exact_suspects")
+    rows = fp.select("uid", *ids("id"), "src", "fp", "sha")
+    return stage(rows.groupBy("src").cogroup(maps.groupBy("src"))
+                 .applyInPandas(mark, "uid long, id long, z boolean, sha binary")
+                 .select("uid", back("id"), "sha"), "exact_suspects")
 
 
 def verified_classes(docs: DataFrame, sus: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Stored classes (sha, keep_id, keep_uid, group_size) of suspects whose
     texts are equal byte by byte; a SHA-256 shared by different texts raises."""
-    ids = stage(sus.select(F.col("id").alias("sid")).distinct(), "exact_ids")
+    those = stage(sus.select(F.col("id").alias("sid")).distinct(), "exact_ids")
     rows = docs.select(F.col(key).cast("long").alias("id"), text)
-    rows = rows.join(small_side(ids, 16), F.col("id").eqNullSafe(F.col("sid")), "left_semi")
+    rows = rows.join(small_side(those, 16), F.col("id").eqNullSafe(F.col("sid")), "left_semi")
     texts = rows.groupBy(normalised(text).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
     texts = (texts.groupBy(F.unhex(F.sha2("norm", 256)).alias("vsha"))
              .agg(F.count(F.lit(1)).alias("variants")))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from panelforge.session import apply_conf
 
 from panelforge.llm.exact_dedup import exact_dedup
+from panelforge.llm.langid import language_id
+from panelforge.llm.minhash import near_dedup
 from panelforge.llm.mixing import mix
 from panelforge.llm.packing import pack
+from panelforge.llm.secret_scan import secret_scan
+from panelforge.llm.toxicity import toxicity
 
 REGISTRY: dict = {}
 ORACLE: dict = {}
@@ -77,3 +80,27 @@ FROM c
 def op10_hierarchical_packing(spark, sf_dir):
     """Pieces of all documents in windows of 4096 ids and shorter tiers."""
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_hyperdimensional_language(spark, sf_dir):
+    """Language of every document from letter n-gram profiles."""
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_kneser_ney_toxicity(spark, sf_dir):
+    """Toxicity of every document."""
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op3_randomness_secret_scan(spark, sf_dir):
+    """Secrets in every document: fixed patterns and random-looking runs."""
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_bbit_minhash_near_dedup(spark, sf_dir):
+    """Near copies among all documents (5-word shingles, similarity 0.85)."""
+    return near_dedup(table(spark, sf_dir, "documents"))
