@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.session import apply_conf
 from panelforge.sources.io import stage
 
 # Runs of these characters separate words (fixed value of the contracts).
@@ -20,6 +21,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 << 20  # bound of every explicit broadcast
 
 
+def prepare(spark) -> None:
+    """Session settings: UTC, and batches of whole texts that stay small in a
+    Python worker (the default of 10,000 rows is meant for numbers)."""
+    apply_conf(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a stored table for broadcast when rows * row_bytes stays under
     BROADCAST_BYTES; beyond that it is left to a shuffle join."""

@@ -26,7 +26,8 @@ from panelforge.llm.common import back, ids
 SYMBOLS = 64        # letter classes: 0 = between words, 1-26 = a-z, 27-63 = all other letters, hashed
 DIM = 1024
 SEED = 5
-MAX_BINS = 4_000_000   # cells of a batch's count matrix
+MAX_BINS = 2_000_000   # cells of a batch's count matrix
+BATCH_GRAMS = 500_000  # n-grams of the documents that are bundled together
 UND = "und"
 
 
@@ -100,7 +101,10 @@ class Space:
     def bundle(self, docs: list[np.ndarray]) -> np.ndarray:
         """One bundled vector per document (list of n-gram codes)."""
         r = self.rows(np.concatenate(docs))
-        used, col = np.unique(r, return_inverse=True)
+        seen = np.zeros(len(self.codes), dtype=bool)
+        seen[r] = True
+        used = np.flatnonzero(seen)
+        col = (np.cumsum(seen) - 1)[r]
         vec = self.vectors[used].astype(np.float32)
         size = np.array([len(d) for d in docs])
         step = max(1, MAX_BINS // max(1, len(used)))
@@ -170,16 +174,26 @@ def _counts(sums):
 def classify(texts: list[str | None], langs: list[str], protos: np.ndarray, dim: int = DIM,
              seed: int = SEED) -> tuple[list[str], np.ndarray]:
     """Language and cosine (cut at 0) of each text; ties go to the first language."""
-    codes = [trigrams(t) for t in texts]
-    have = [i for i, c in enumerate(codes) if c is not None]
     pred, score = [UND] * len(texts), np.zeros(len(texts))
-    if have and langs:
-        v = space(dim, seed).bundle([codes[i] for i in have]).astype(np.float64)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        cos = (v @ protos.T) / np.where(norm > 0, norm, 1.0)
-        best = cos.argmax(axis=1)
-        for i, b, c in zip(have, best, cos[np.arange(len(have)), best]):
-            pred[i], score[i] = langs[b], min(1.0, max(0.0, float(c)))
+    if not langs:
+        return pred, score
+    have: list[int] = []
+    codes: list[np.ndarray] = []
+    held = 0
+    for i, t in enumerate(texts):
+        c = trigrams(t)
+        if c is not None:
+            have.append(i)
+            codes.append(c)
+            held += len(c)
+        if held and (held >= BATCH_GRAMS or i == len(texts) - 1):
+            v = space(dim, seed).bundle(codes).astype(np.float64)
+            norm = np.linalg.norm(v, axis=1, keepdims=True)
+            cos = (v @ protos.T) / np.where(norm > 0, norm, 1.0)
+            best = cos.argmax(axis=1)
+            for k, b, x in zip(have, best, cos[np.arange(len(have)), best]):
+                pred[k], score[k] = langs[b], min(1.0, max(0.0, float(x)))
+            have, codes, held = [], [], 0
     return pred, score
 
 

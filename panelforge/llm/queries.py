@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.session import apply_conf
-
+from panelforge.llm.common import prepare
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.langid import language_id
 from panelforge.llm.minhash import near_dedup
@@ -24,7 +23,7 @@ def query(fn):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    apply_conf(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
