@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import back, ids
 from panelforge.llm.tokens import word_ids
 from panelforge.sources.io import stage
 
@@ -38,7 +39,7 @@ SHORTEST = 512                 # shortest tier that packs several documents
 BUFFER_TOKENS = 2_000_000      # tokens a task holds at a time
 STEP_TOKENS = 64 * WINDOW      # tokens of a step group
 
-PIECES = ("id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
+PIECES = ("id long, z boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long, tier int, part int, tier_no long")
 
 
@@ -159,21 +160,24 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     """
     names = [c.split()[0] for c in PIECES.split(", ")]
 
+    def frame(rows):
+        return pd.DataFrame([(*r[0], *r[1:]) for r in rows], columns=names)
+
     def run(frames):
         from pyspark import TaskContext
         enc = word_ids(tokenizer)
         end = int(end_id).to_bytes(4, "little")
         p = Packer(TaskContext.get().partitionId(), window, shortest, buffer_tokens)
         for f in frames:
-            for k, t in zip(f["id"].tolist(), f["text"].tolist()):
-                p.add(None if k != k or k is None else int(k), enc.text(t) + end)
+            for i, z, t in zip(f["id"].tolist(), f["z"].tolist(), f["text"].tolist()):
+                p.add((i, z), enc.text(t) + end)
             if p.rows:
-                yield _frame(p.take_rows(), names)
+                yield frame(p.take_rows())
         p.finish()
         if p.rows:
-            yield _frame(p.take_rows(), names)
+            yield frame(p.take_rows())
 
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    rows = docs.select(*ids(key), F.col(text).alias("text"))
     pieces = stage(rows.mapInPandas(run, PIECES), "pack_pieces")
     per = pieces.where("offset = 0").groupBy("tier", "part").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("tier").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -183,11 +187,6 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 2,
     out = pieces.join(per, (F.col("tier") == F.col("t")) & (F.col("part") == F.col("p")))
     per_step = F.greatest(F.lit(1), F.floor(F.lit(step_tokens) / F.col("tier")))
     step = F.floor((F.col("base") + F.col("tier_no")) / per_step).cast("long")
-    return out.select(F.col("id").alias(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
+    return out.select(back(key), "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
                       "offset", "tier", step.alias("step"))
 
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    f = pd.DataFrame(rows, columns=names)
-    f["id"] = f["id"].astype("Int64")
-    return f

@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-WORDS_KEPT = 400_000   # entries of each cache; a full cache starts again
+WORDS_KEPT = 600_000   # entries of each cache; a full cache starts again
 
 # Words made of these only: printable ASCII but the apostrophe, and the
 # letters of Latin-1. Their pieces are letters, single digits, runs of marks.
@@ -41,22 +41,22 @@ class WordIds:
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        # how the tokenizer spells the letters of Latin-1 to its model
+        self.spelt = {cp: self.tok.pre_tokenizer.pre_tokenize_str(chr(cp))[0][0]
+                      for cp in range(0xDF, 0x100) if cp != 0xF7}
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= WORDS_KEPT:
-                self.pieces.clear()
-            mapped = piece if piece.isascii() else self.tok.pre_tokenizer.pre_tokenize_str(piece)[0][0]
-            got = np.array([t.id for t in self.tok.model.tokenize(mapped)], dtype="<u4").tobytes()
-            self.pieces[piece] = got
+        if len(self.pieces) >= WORDS_KEPT:
+            self.pieces.clear()
+        mapped = piece if piece.isascii() else piece.translate(self.spelt)
+        got = np.array([t.id for t in self.tok.model.tokenize(mapped)], dtype="<u4").tobytes()
+        self.pieces[piece] = got
         return got
 
     def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if _PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            return b"".join(map(self._piece, _PIECE.findall(word.lower())))
+        if _PLAIN.fullmatch(word) and not ("<" in word and any(s in word for s in self.special)):
+            parts = _PIECE.findall(word.lower())
+            return b"".join([self.pieces.get(p) or self._piece(p) for p in parts])
         ids = self.tok.encode(word, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
@@ -69,16 +69,18 @@ class WordIds:
                 text = text.replace(c, " ")
         words = text.split(" ")
         cache = self.words
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
         if len(cache) >= WORDS_KEPT:
             cache.clear()
-        for w in words:
-            if w not in cache:
-                cache[w] = self._word(w)
-        return b"".join(map(cache.__getitem__, words))
+        got = list(map(cache.get, words))
+        if None in got:
+            for i, g in enumerate(got):
+                if g is None:
+                    w = words[i]
+                    g = cache.get(w)
+                    if g is None:
+                        g = cache[w] = self._word(w) if w else b""
+                    got[i] = g
+        return b"".join(got)
 
 
 _READY: dict[str, WordIds] = {}
