@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import SPACE, back, ids, map_groups, small_side, split_runs
+from panelforge.llm.common import SPACE, back, ids, map_groups, small_side, split_runs, text_hash
 from panelforge.sources.io import stage
 
 SPARE = 12            # fingerprint bits beyond log2(rows): 2**-12 false suspects
@@ -61,10 +61,11 @@ def golomb_decode(blob: bytes, n: int, k: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Stored narrow table: uid, id, src, fp (64 bits), sha (of the normalised text)."""
+    """Stored narrow table: uid, id, th (hash of the raw text), src, fp (64 bits),
+    sha (of the normalised text)."""
     norm = normalised(text)
-    return stage(docs.select(F.col(key).cast("long").alias("id"), norm.alias("norm"))
-                 .select(F.monotonically_increasing_id().alias("uid"), "id",
+    return stage(docs.select(F.col(key).cast("long").alias("id"), text_hash(text).alias("th"), norm.alias("norm"))
+                 .select(F.monotonically_increasing_id().alias("uid"), "id", "th",
                          F.spark_partition_id().cast("long").alias("src"),
                          F.xxhash64("norm").alias("fp"), F.unhex(F.sha2("norm", 256)).alias("sha")),
                  "exact_fp")

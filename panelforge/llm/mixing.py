@@ -29,13 +29,14 @@ BUCKET_ROWS = 500
 WEIGHTS = (5, 2, 1)
 
 
-def sizes(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
-    """Stored narrow table: id, src, size (words), h (seeded order)."""
+def sizes(docs: DataFrame, key: str, text: str, source: str, seed: int, carry: str | None = None) -> DataFrame:
+    """Stored narrow table: id, src, size (words), h (seeded order), x (carried column)."""
     t = F.coalesce(F.col(text), F.lit(""))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null:"), t)))
               .cast("binary"))
     return stage(docs.select(F.col(key).alias("id"), F.col(source).alias("src"),
-                             F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), h.alias("h")), "mix_sizes")
+                             F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), h.alias("h"),
+                             (F.col(carry) if carry else F.lit(0)).alias("x")), "mix_sizes")
 
 
 def water_fill(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
@@ -64,7 +65,8 @@ def water_fill(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-        weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 0) -> DataFrame:
+        weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 0,
+        carry: str | None = None) -> DataFrame:
     """One row per input row: ``key``, size, source_size, target, taken (words
     the mix takes, repeats counted) and ``repeats`` (whole repetitions).
 
@@ -72,9 +74,10 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     ranked last. Empty texts take 0 words. Rows that repeat a key are ordered
     by size and share the source's rest one after the other; rows with a null
     key are ordered by their text. Reruns agree: the order depends on seed and
-    key alone. An empty table gives an empty result; other columns are not read.
+    key alone. An empty table gives an empty result; other columns are not read
+    but ``carry``, which passes through.
     """
-    d = sizes(docs, key, text, source, seed)
+    d = sizes(docs, key, text, source, seed, carry)
     rows = d.count()
     digits = 1  # hex digits of the order that name a bucket: 16**digits buckets
     while rows > BUCKET_ROWS * 16 ** digits:
@@ -95,4 +98,5 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     return j.select(F.col("id").alias(key), "size", "source_size", "target",
-                    (F.col("repeats") * F.col("size") + part).alias("taken"), "repeats")
+                    (F.col("repeats") * F.col("size") + part).alias("taken"), "repeats",
+                    *([F.col("x").alias(carry)] if carry else []))

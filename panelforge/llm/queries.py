@@ -9,9 +9,12 @@ from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.langid import language_id
 from panelforge.llm.minhash import near_dedup
 from panelforge.llm.mixing import mix
+from panelforge.llm.nn_descent import near_vectors
 from panelforge.llm.packing import pack
+from panelforge.llm.role_repair import repair_roles
 from panelforge.llm.secret_scan import secret_scan
 from panelforge.llm.toxicity import toxicity
+from panelforge.llm.url_tree import judge_urls
 
 REGISTRY: dict = {}
 ORACLE: dict = {}
@@ -103,3 +106,21 @@ def op3_randomness_secret_scan(spark, sf_dir):
 def op9_bbit_minhash_near_dedup(spark, sf_dir):
     """Near copies among all documents (5-word shingles, similarity 0.85)."""
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_nn_descent_near_dedup(spark, sf_dir):
+    """Near copies among all embeddings of a label (cosine 0.98)."""
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_path_template_filter(spark, sf_dir):
+    """Verdict for every page url."""
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_role_repair(spark, sf_dir):
+    """Cheapest legal reading of every conversation, turn by turn."""
+    return repair_roles(table(spark, sf_dir, "conversations"))
