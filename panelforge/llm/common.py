@@ -4,6 +4,8 @@ size-checked broadcasts and connected components.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,6 +20,26 @@ from panelforge.sources.io import stage
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEAR: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = []
+
+
+def claim(name: str, clear: Callable[[], None]) -> None:
+    """Called where a task starts to fill a cache that its Python worker keeps:
+    caches that other operators left in this worker are dropped, and their
+    memory is handed back, so a worker holds one operator's cache at a time."""
+    _CLEAR[name] = clear
+    if _OWNER != [name]:
+        for other, drop in _CLEAR.items():
+            if other != name:
+                drop()
+        _OWNER[:] = [name]
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 BROADCAST_BYTES = 32 << 20  # bound of every explicit broadcast
 
 

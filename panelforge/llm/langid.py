@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import back, ids
+from panelforge.llm.common import back, claim, ids
 
 SYMBOLS = 64        # letter classes: 0 = between words, 1-26 = a-z, 27-63 = all other letters, hashed
 DIM = 1024
@@ -123,6 +123,7 @@ _SPACES: dict = {}
 
 def space(dim: int, seed: int) -> Space:
     """One per Python worker; starts again when it holds 65,536 n-grams."""
+    claim("langid", _SPACES.clear)
     s = _SPACES.get((dim, seed))
     if s is None or len(s.codes) > 65_536:
         s = _SPACES[(dim, seed)] = Space(dim, seed)

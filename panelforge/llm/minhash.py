@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import back, components, forest, ids, map_groups, small_side, split_runs, text_hash
+from panelforge.llm.common import back, claim, components, forest, ids, map_groups, small_side, split_runs, text_hash
 from panelforge.sources.io import stage
 
 WORDS = 5
@@ -38,7 +38,7 @@ HASHES = BANDS * ROWS
 SURE = 0.66
 BUCKET_CHUNK = 1024    # classes of a bucket that meet in one cell, per side
 SET_CHUNK = 256        # full sets that meet in one cell, per side
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 
 _RNG = np.random.default_rng(9)
 _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)
@@ -61,6 +61,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.encode().lower().split() if text else []
     if not words:
         return np.zeros(0, dtype=np.uint64)
+    claim("minhash", _WORD.clear)
     if len(_WORD) >= WORDS_KEPT:
         _WORD.clear()
     h = list(map(_WORD.get, words))

@@ -14,7 +14,10 @@ import re
 
 import numpy as np
 
-WORDS_KEPT = 600_000   # entries of each cache; a full cache starts again
+from panelforge.llm.common import claim
+
+WORDS_KEPT = 350_000    # entries of the caches; a full cache starts again
+PIECES_KEPT = 250_000
 
 # Words made of these only: printable ASCII but the apostrophe, and the
 # letters of Latin-1. Their pieces are letters, single digits, runs of marks.
@@ -46,7 +49,7 @@ class WordIds:
                       for cp in range(0xDF, 0x100) if cp != 0xF7}
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= WORDS_KEPT:
+        if len(self.pieces) >= PIECES_KEPT:
             self.pieces.clear()
         mapped = piece if piece.isascii() else piece.translate(self.spelt)
         got = np.array([t.id for t in self.tok.model.tokenize(mapped)], dtype="<u4").tobytes()
@@ -88,6 +91,7 @@ _READY: dict[str, WordIds] = {}
 
 def word_ids(tokenizer: str) -> WordIds:
     """One instance per Python worker, kept from task to task."""
+    claim("tokens", _READY.clear)
     if tokenizer not in _READY:
         _READY[tokenizer] = WordIds(tokenizer)
     return _READY[tokenizer]
