@@ -18,8 +18,11 @@ from pyspark.sql.types import DateType
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import div
+from panelforge.operators.carry import forward_fill
+from panelforge.operators.halo import positions, with_halo
 from panelforge.operators.market import rolling_beta_col
 from panelforge.sources.bars import BENCHMARKS
+from panelforge.sources.io import stage
 
 PW = PanelWindow()
 
@@ -65,12 +68,6 @@ def benchmark_join(df: DataFrame, table: DataFrame, cols, time: str = "date") ->
     return df.join(_bcast(table.select(time, *cols), time), time, "left")
 
 
-def forward_fill(df: DataFrame, cols, pw: PanelWindow = PW) -> DataFrame:
-    """Carry the last non-null value forward within each ticker."""
-    return df.select(*[c for c in df.columns if c not in cols], *[
-        F.last(c, ignorenulls=True).over(pw.running).alias(c) for c in cols])
-
-
 def asof_join(df: DataFrame, series: DataFrame, cols, time: str = "date") -> DataFrame:
     """Backward as-of join on time: each panel row gets the latest series
     row at or before its date, even if that date is not in the panel.
@@ -82,9 +79,9 @@ def asof_join(df: DataFrame, series: DataFrame, cols, time: str = "date") -> Dat
     of one row per year). The filled calendar is broadcast to the panel.
     """
     year = F.year(time).alias("__y")
-    cal = (df.select(time).distinct()
-           .join(series.select(time, *cols), time, "full_outer")
-           .select("*", year))
+    cal = stage(df.select(time).distinct()
+                .join(series.select(time, *cols), time, "full_outer")
+                .select("*", year), "calendar")   # small, read by two branches
     inside = Window.partitionBy("__y").orderBy(time).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = cal.select(time, "__y", *[F.last(c, ignorenulls=True).over(inside).alias(c) for c in cols])
     # last non-null value of each year, carried over the years that follow
@@ -105,13 +102,16 @@ def benchmark_features(df: DataFrame, bench: DataFrame, pw: PanelWindow = PW,
     forward fill of the five series features (reference holiday handling).
     """
     table = series_table(bench, time=pw.time)
-    out = benchmark_join(df, table, ["nasdaq_close", *FILLED], pw.time)
-    out = forward_fill(out, FILLED, pw)
+    out = benchmark_join(positions(df, pw), table, ["nasdaq_close", *FILLED], pw.time)
+    out = forward_fill(out, {**{c: c for c in FILLED}, "close": "__fs", "nasdaq_close": "__fb"}, pw)
+
+    def frames(d: DataFrame, w: PanelWindow) -> DataFrame:
+        # beta vs the broad index: filled daily changes of both closes, per ticker
+        d = d.withColumn("__sret", div(F.col("__fs"), w.lag("__fs", 1)) - 1)
+        d = d.withColumn("__bret", div(F.col("__fb"), w.lag("__fb", 1)) - 1)
+        return d.withColumn("beta_nasdaq", rolling_beta_col("__sret", "__bret", n_beta, w))
+
     out = out.withColumn("relative_strength_nasdaq", F.col("return_21d") - F.col("nasdaq_return_1m"))
     out = out.withColumn("relative_strength_spy", F.col("return_21d") - F.col("spy_return_1m"))
-    # beta vs the broad index: filled daily changes of both closes, per ticker
-    for src, dst in [("close", "__sret"), ("nasdaq_close", "__bret")]:
-        out = out.withColumn("__fill", F.last(src, ignorenulls=True).over(pw.running))
-        out = out.withColumn(dst, div(F.col("__fill"), pw.lag("__fill", 1)) - 1).drop("__fill")
-    out = out.withColumn("beta_nasdaq", rolling_beta_col("__sret", "__bret", n_beta, pw))
-    return out.drop("__sret", "__bret", "nasdaq_close")
+    out = with_halo(out, frames, pw, n_beta + 1)
+    return out.drop("__sret", "__bret", "__fs", "__fb", "nasdaq_close", *([] if "__gpos" in df.columns else ["__gpos"]))

@@ -2,29 +2,27 @@
 
 Spark plans one Window operator per window specification and ``select``
 level, and every Window operator buffers and copies whole rows. The
-standalone operators in ``windows`` / ``ema`` / ``labels`` add one level each;
-here the same columns are laid out by dependency instead:
-
-    L1  (ticker)          lags, leads, every rolling statistic of raw columns,
-                          the EMA position counter
-    P1                    row expressions (ratios, bands, distances, RSI legs)
-    B1  (ticker, block)   EMA 12 / 26 block sums
-    L2  (ticker)          rolling statistics of L1 outputs, EMA carry-in
-    B2  (ticker, block)   signal EMA block sums
-    L3, L4 (ticker)       signal carry-in, forward fills
-
-All of them share the one hash exchange on ticker; the (ticker, block) levels
-only re-sort. Results equal the standalone operators (tests compare them).
+standalone operators in ``windows`` / ``labels`` add one level each; here the
+same columns are laid out by dependency instead:
+
+    L1  lags, leads, every rolling statistic of raw columns
+    P1  row expressions (ratios, bands, distances, RSI legs)
+    L2  rolling statistics of L1 outputs
+
+All of them run on halo buckets (``halo``): one exchange on (ticker, bucket).
+The MACD columns come first, from ``carry``. Results equal the standalone
+operators (tests compare them).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import div
-from panelforge.operators.ema import block_size
+from panelforge.operators.carry import macd
+from panelforge.operators.halo import BACK, BUCKET, FWD, positions, with_halo
 from panelforge.operators.labels import HORIZONS, direction_col
 from panelforge.operators.windows import (
     EXTREMES, RETURN_PERIODS, RSI_PERIODS, SMA_PERIODS, VOL_PERIODS, VOL_RATIOS,
@@ -51,34 +49,27 @@ def _sel(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select(*keep, *[v.alias(k) for k, v in cols.items()])
 
 
-def _ema_terms(x: Column, spans, B: int) -> dict[str, Column]:
-    j = F.col("__j").cast("double")
-    out = {}
-    for s in spans:
-        a = 2.0 / (s + 1)
-        q = 1.0 - a
-        w = F.when(F.col("__pos") == 0, F.lit(1.0)).otherwise(F.lit(a))
-        out[f"__t{s}"] = F.coalesce(w * x * F.pow(F.lit(q), -j), F.lit(0.0))
-    return out
-
-
-def _ema_value(x: Column, s: float, B: int) -> Column:
-    """y = loc + q^(j+1) * L_prev where x is present, else NULL."""
-    q = 1.0 - 2.0 / (s + 1)
-    j = F.col("__j").cast("double")
-    y = F.col(f"__loc{s}") + F.pow(F.lit(q), j + 1) * F.coalesce(F.col(f"__prev{s}"), F.lit(0.0))
-    return F.when(x.isNotNull(), y)
-
-
 def panel_features(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close",
-                   labels: str | None = None) -> DataFrame:
+                   labels: str | None = None, bucket: int = BUCKET, with_macd: bool = True) -> DataFrame:
     """Base features (and, with ``labels`` = "strict" / "reference", the
-    forward returns and direction labels) of a bar panel."""
-    x = F.col(price)
-    base_cols = list(df.columns)
-    fast, slow, signal = 12, 26, 9
-    B = block_size([fast, slow, signal])
+    forward returns and direction labels) of a bar panel. A ``__gpos`` column
+    that is there already is used and kept; ``with_macd`` = False leaves out
+    the MACD columns and the stage they need."""
+    had = "__gpos" in df.columns
+    base = [c for c in df.columns if c != "__gpos"]
+    df = positions(df, pw)
+    if with_macd:
+        df = macd(df, pw, price, bucket=bucket)
+    df = with_halo(df, lambda d, w: _frames(d, w, price, labels), pw, BACK, FWD if labels else 0, bucket)
+    order = base + [x for x in BASE_ORDER if with_macd or not x.startswith("macd")]
+    if labels:
+        order += [x for n, _ in HORIZONS for x in (f"target_return_{n}", f"target_direction_{n}")]
+    return df.select(*order, *(["__gpos"] if had else []))
 
+
+def _frames(df: DataFrame, pw: PanelWindow, price: str, labels: str | None) -> DataFrame:
+    """The rolling features on one frame of buckets."""
+    x = F.col(price)
     # L1: one pass over raw columns
     l1 = {f"return_{p}d": div(x, pw.lag(price, p)) - 1 for p in RETURN_PERIODS}
     l1 |= {f"sma_{n}": pw.roll(price, n, "avg") for n in SMA_PERIODS}
@@ -90,7 +81,6 @@ def panel_features(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close"
         l1[f"__min_{lbl}"] = pw.roll("close", n, "min")
     l1["__prev_close"] = pw.lag("close", 1)
     l1["__delta"] = x - pw.lag(price, 1)
-    l1["__pos"] = F.count(x).over(pw.running) - 1
     if labels:
         l1 |= {f"target_return_{n}": div(pw.lead(price, h), x) - 1 for n, h in HORIZONS}
     df = _sel(df, l1)
@@ -110,54 +100,23 @@ def panel_features(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close"
         p1[f"dist_from_{lbl}_low"] = div(c("close"), c(f"__min_{lbl}")) - 1
     p1["__gain"] = F.coalesce(F.when(c("__delta") > 0, c("__delta")), F.lit(0.0))
     p1["__loss"] = F.coalesce(F.when(c("__delta") < 0, -c("__delta")), F.lit(0.0))
-    p1["__b"] = F.floor(c("__pos") / B)
     df = _sel(df, p1)
-    df = _sel(df, {"__j": c("__pos") - c("__b") * B} | {
+    df = _sel(df, {
         "bb_position": div(x - c("bb_lower"), c("bb_upper") - c("bb_lower")),
         "bb_width": div(c("bb_upper") - c("bb_lower"), c("sma_20"))})
-    df = _sel(df, _ema_terms(x, [fast, slow], B))
-
-    # B1: EMA block sums
-    wb = Window.partitionBy(pw.key, *pw.extra, "__b").orderBy(pw.time).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    jj = c("__j").cast("double")
-    df = _sel(df, {f"__loc{s}": F.pow(F.lit(1.0 - 2.0 / (s + 1)), jj) * F.sum(f"__t{s}").over(wb)
-                   for s in (fast, slow)})
 
-    # L2: rolling statistics of L1 outputs + EMA carry-in
-    end = (c("__j") == B - 1) & x.isNotNull()
+    # L2: rolling statistics of L1 outputs
     l2 = {f"volatility_{n}d": pw.roll("return_1d", n, "std") for n in VOL_PERIODS}
     l2 |= {f"__g{n}": pw.roll("__gain", n, "avg") for n in RSI_PERIODS}
     l2 |= {f"__l{n}": pw.roll("__loss", n, "avg") for n in RSI_PERIODS}
-    l2 |= {f"__prev{s}": F.last(F.when(end, c(f"__loc{s}")), ignorenulls=True).over(pw.before)
-           for s in (fast, slow)}
     df = _sel(df, l2)
 
     p2 = {name: div(f"volatility_{a}d", f"volatility_{b}d") for name, a, b in VOL_RATIOS}
     for n in RSI_PERIODS:
         g, lo = c(f"__g{n}"), c(f"__l{n}")
         p2[f"rsi_{n}"] = F.when((lo == 0) & (g > 0), F.lit(100.0)).otherwise(100 - 100 / (1 + div(g, lo)))
-    p2["__macd"] = _ema_value(x, fast, B) - _ema_value(x, slow, B)
     df = _sel(df, p2)
-    df = _sel(df, _ema_terms(c("__macd"), [signal], B))
-
-    # B2: signal block sums (same positions: __macd is present where x is)
-    df = _sel(df, {f"__loc{signal}": F.pow(F.lit(1.0 - 2.0 / (signal + 1)), jj) * F.sum(f"__t{signal}").over(wb)})
-
-    # L3: signal carry-in and forward fill of the MACD line
-    started = c("__pos") >= 0
-    df = _sel(df, {
-        f"__prev{signal}": F.last(F.when(end, c(f"__loc{signal}")), ignorenulls=True).over(pw.before),
-        "macd": F.when(started, F.last("__macd", ignorenulls=True).over(pw.running)),
-    })
-    df = _sel(df, {"__sig": _ema_value(x, signal, B)})
-    # L4: forward fill of the signal line
-    df = _sel(df, {"macd_signal": F.when(started, F.last("__sig", ignorenulls=True).over(pw.running))})
-    df = df.withColumn("macd_hist", c("macd") - c("macd_signal"))
-
-    order = base_cols + BASE_ORDER
     if labels:
         df = df.select("*", *[direction_col(f"target_return_{n}", labels).alias(f"target_direction_{n}")
                               for n, _ in HORIZONS])
-        order += [x for n, _ in HORIZONS for x in (f"target_return_{n}", f"target_direction_{n}")]
-    return df.select(order)
+    return df

@@ -1,16 +1,16 @@
-"""Halo mode: per-ticker windows without one task per ticker.
+"""Per-ticker windows without one task per ticker.
 
 ``partitionBy(ticker)`` puts a whole series in one task, so a ticker holding a
-third of all rows becomes a third of the work in one task. Every per-ticker
-feature here reaches a bounded number of rows back (at most 252 for returns,
-about 700 for the EMA, whose older terms fall below double precision) and
-forward (252 for labels). So the series is cut into buckets of ``bucket``
-rows; each bucket also receives copies of the last ``back`` rows of the
-bucket before it and the first ``fwd`` rows of the bucket after it; the
-window code runs partitioned by (ticker, bucket); the copies are dropped.
+third of all rows becomes a third of the work in one task. Every rolling
+feature and every label reaches a fixed number of rows back or ahead (at most
+252). So the series is cut into buckets of ``bucket`` rows; each bucket also
+receives copies of the last ``back`` rows of the bucket before it and the
+first ``fwd`` rows of the bucket after it; the window code runs partitioned by
+(ticker, bucket); the copies are dropped. Features without a fixed reach
+(EMA, forward fills) carry state between buckets instead: see ``carry``.
 
 Row positions come without a ticker-wide window: rows are counted per
-(ticker, year) — a map-side-combined aggregate — the counts are accumulated
+(ticker, year) - a map-side-combined aggregate -, the counts are accumulated
 over the years of each ticker (a table of tickers x years), and a row's
 position is that offset plus its row number inside its (ticker, year).
 """
@@ -23,37 +23,40 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
-from panelforge.functions.nulls import small
 
 PW = PanelWindow()
-BACK = 720   # rows a feature may look back (EMA 26 / 9 chain: q^k < 1e-20)
-FWD = 252    # rows a label may look ahead
-# bucket + both halos (3,072 + 720 + 252 = 4,044 rows) stays within the
-# window operator's default in-memory row buffer (4,096 rows), beyond which it
-# switches to an external, spillable buffer
-BUCKET = 3072
+BACK = 256     # rows that a rolling feature may look back
+FWD = 252      # rows that a label may look ahead
+# bucket + both halos stays within the window operator's default in-memory
+# row buffer (4,096 rows), beyond which it switches to a spillable buffer
+BUCKET = 2048
 
 
 def positions(df: DataFrame, pw: PanelWindow = PW, grain: str = "year") -> DataFrame:
     """Add ``__gpos``: 0-based row position of each row within its ticker."""
-    g = F.date_trunc(grain, F.col(pw.time)).alias("__grain")
-    df = df.select("*", g)
-    counts = df.groupBy(pw.key, "__grain").agg(F.count(F.lit(1)).alias("__n"))
-    counts = counts.withColumn("__off", F.coalesce(F.sum("__n").over(
-        Window.partitionBy(pw.key).orderBy("__grain").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    df = df.join(small(counts.select(pw.key, "__grain", "__off"), 2_000_000), [pw.key, "__grain"])
+    if "__gpos" in df.columns:
+        return df
+    df = df.select("*", F.date_trunc(grain, F.col(pw.time)).alias("__grain"))
+    counts = df.groupBy(F.col(pw.key).alias("__ck"), F.col("__grain").alias("__cg")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    counts = counts.select("__ck", "__cg", F.coalesce(F.sum("__n").over(
+        Window.partitionBy("__ck").orderBy("__cg").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__off"))
+    df = df.join(counts, F.col(pw.key).eqNullSafe(F.col("__ck")) & F.col("__grain").eqNullSafe(F.col("__cg")))
     rn = F.row_number().over(Window.partitionBy(pw.key, "__grain").orderBy(pw.time)) - 1
-    return df.withColumn("__gpos", F.col("__off") + rn).drop("__off", "__grain")
+    return df.withColumn("__gpos", F.col("__off") + rn).drop("__off", "__grain", "__ck", "__cg")
 
 
 def with_halo(df: DataFrame, fn: Callable[[DataFrame, PanelWindow], DataFrame],
-              pw: PanelWindow = PW, back: int = BACK, fwd: int = FWD,
-              bucket: int = BUCKET) -> DataFrame:
-    """Run ``fn(frame, window)`` on halo buckets and return its rows once."""
-    if bucket < max(back, fwd):
+              pw: PanelWindow = PW, back: int = BACK, fwd: int = 0, bucket: int = BUCKET) -> DataFrame:
+    """Run ``fn(frame, window)`` on halo buckets and return its rows once.
+
+    ``back`` / ``fwd`` are the rows that ``fn`` reaches back / ahead; a
+    ``__gpos`` column that is there already is used and kept."""
+    if bucket < max(back, fwd, 1):
         raise ValueError("bucket must hold at least one halo")
-    if "__gpos" not in df.columns:
-        df = positions(df, pw)
+    had = "__gpos" in df.columns
+    df = positions(df, pw)
     b = F.floor(F.col("__gpos") / bucket)
     off = F.col("__gpos") - b * bucket
     targets = F.array(
@@ -65,4 +68,5 @@ def with_halo(df: DataFrame, fn: Callable[[DataFrame, PanelWindow], DataFrame],
     copies = copies.select("*", "__t.__bucket", "__t.__halo").drop("__t")
     hw = PanelWindow(key=pw.key, time=pw.time, extra=(*pw.extra, "__bucket"))
     out = fn(copies, hw)
-    return out.filter(~F.col("__halo")).drop("__bucket", "__halo")
+    out = out.filter(~F.col("__halo")).drop("__bucket", "__halo")
+    return out if had else out.drop("__gpos")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import div
+from panelforge.operators.halo import with_halo
 from panelforge.operators.xsection import join_per_date, market_stats
 
 PW = PanelWindow()
@@ -55,11 +56,10 @@ def market_regime(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFrame
     """X1-X4 + W15 + W16 in the reference's column order.
 
     One per-date aggregate (mean, std, breadth, median of the 21-row return)
-    is broadcast back; the rolling co-moments then run on the panel's
-    existing ticker partitioning, so no second exchange of the wide panel.
+    is broadcast back; the rolling co-moments then run on halo buckets.
     """
     base = list(df.columns)
-    out = market_comoments(market_join(df, pw), pw, n)
+    out = with_halo(market_join(df, pw), lambda d, w: market_comoments(d, w, n), pw, n + 1)
     extra = ["market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta"]
     if "relative_strength" in out.columns:
         extra.append("relative_strength")

@@ -1,9 +1,9 @@
 """Per-ticker time features.
 
 Every function takes a panel and returns it with new columns. All windows
-share ``PanelWindow`` (partition by ticker, order by date), so Spark plans a
-single hash exchange on ticker and a single sort for the whole family; each
-level of dependent columns adds a Window node over the already-sorted data.
+share ``PanelWindow``; ``halo.with_halo`` hands in one partitioned by (ticker,
+bucket), so that no series is one task. Each level of dependent columns adds a
+Window node over the already-sorted data.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import div
+from panelforge.operators.carry import forward_fill
 
 # Horizons, periods and column names of the reference feature set (fixed values).
 RETURN_PERIODS = [1, 5, 10, 21, 63, 126, 252]
@@ -42,7 +43,7 @@ def pct_change(df: DataFrame, col: str, periods: Sequence[int] = (1,), pw: Panel
     src = col
     if fill:
         src = f"__ffill_{col}"
-        df = df.withColumn(src, F.last(col, ignorenulls=True).over(pw.running))
+        df = forward_fill(df, {col: src}, pw)
     out = _with(df, {name.format(p=p): div(F.col(src), pw.lag(src, p)) - 1 for p in periods})
     return out.drop(src) if fill else out
 

@@ -2,11 +2,12 @@
 
 Shuffle budget of ``engineer_features`` on the wide panel:
 
-1. one hash exchange on ticker: base features, EMA blocks and labels all run
-   on it (the blocks and every frame share the partitioning, only sorts);
+1. row positions from per-(ticker, year) counts, then one exchange on
+   (ticker, bucket) with halo rows for base features and labels; the MACD
+   columns carry their state between buckets and are stored first;
 2. per-date market statistics are a map-side-combined aggregate broadcast
-   back (one row per date), so the rolling co-moments against the market
-   stay on the ticker partitioning;
+   back (one row per date); the rolling co-moments against the market run on
+   halo buckets again;
 3. one exchange on date for the cross-sectional ranks and z-scores.
 """
 
@@ -16,11 +17,10 @@ from pyspark.sql import DataFrame
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.operators import windows as W
-from panelforge.operators.ema import macd
+from panelforge.operators.carry import macd
 from panelforge.operators.features import panel_features
-from panelforge.operators.halo import BUCKET, positions, with_halo
-from panelforge.operators.labels import labels
-from panelforge.operators.market import market_comoments, market_join, market_regime
+from panelforge.operators.halo import BUCKET, positions
+from panelforge.operators.market import market_regime
 
 SIGNAL_COLUMNS = ["momentum_1m", "momentum_3m", "reversal_signal", "trend_consistency"]
 from panelforge.operators.signals import signals
@@ -62,49 +62,27 @@ def base_features_chained(df: DataFrame, pw: PanelWindow = PW) -> DataFrame:
     return df
 
 
-def base_features(df: DataFrame, pw: PanelWindow = PW) -> DataFrame:
+def base_features(df: DataFrame, pw: PanelWindow = PW, with_macd: bool = True) -> DataFrame:
     """W1-W14 in the reference's column order, in the fewest window passes."""
-    return panel_features(df, pw)
-
-
-def _engineer_halo(df: DataFrame, pw: PanelWindow, label_mode: str, bucket: int) -> DataFrame:
-    """X10 with every per-ticker window run on halo buckets (see ``halo``)."""
-    base = list(df.columns)
-    df = positions(df, pw)
-    df = with_halo(df, lambda d, w: panel_features(d, w, labels=label_mode), pw, bucket=bucket)
-    df = market_join(df, pw)
-    df = with_halo(df, lambda d, w: market_comoments(d, w), pw, back=64, fwd=0, bucket=bucket)
-    df = cross_sectional(df.drop("__gpos"), time=pw.time)
-    df = signals(df)
-    targets = [c for c in df.columns if c.startswith("target_")]
-    market = ["market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta",
-              "relative_strength"]
-    rest = [c for c in df.columns if c not in base and c not in targets and c not in market]
-    feats = [c for c in rest if not c.endswith(("_rank", "_zscore")) and c not in SIGNAL_COLUMNS]
-    xs = [c for c in rest if c.endswith(("_rank", "_zscore"))]
-    return df.select(base + feats + market + xs + SIGNAL_COLUMNS + targets)
+    return panel_features(df, pw, with_macd=with_macd)
 
 
 def engineer_features(df: DataFrame, pw: PanelWindow = PW, label_mode: str = "strict",
-                      universe: DataFrame | None = None, mode: str = "plain",
-                      bucket: int = BUCKET) -> DataFrame:
-    """Base → market regime → cross-section → signals → targets.
-
-    Labels only need the ticker order, so they are computed in the ticker
-    phase (same window pass as the base features) and moved to the end of
-    the column list. ``universe`` (ticker column) keeps only the listed
-    tickers first (index rows out).
+                      universe: DataFrame | None = None, bucket: int = BUCKET,
+                      with_macd: bool = True) -> DataFrame:
+    """Base -> market regime -> cross-section -> signals -> targets.
+
+    Labels only need the ticker order, so they are computed with the base
+    features (same pass) and moved to the end of the column list. ``universe``
+    (ticker column) keeps only the listed tickers first (index rows out).
+    ``with_macd`` = False leaves out the MACD columns and their stage.
     """
     if universe is not None:
         df = df.join(universe.select(pw.key).distinct(), pw.key, "left_semi")
-    if mode == "halo":
-        return _engineer_halo(df, pw, label_mode, bucket)
-    if "return_1d" not in df.columns:
-        df = panel_features(df, pw, labels=label_mode)
-    else:
-        df = labels(df, pw, mode=label_mode)
+    df = positions(df, pw)
+    df = panel_features(df, pw, labels=label_mode, bucket=bucket, with_macd=with_macd)
     targets = [c for c in df.columns if c.startswith("target_")]
-    df = market_regime(df, pw)
+    df = market_regime(df, pw).drop("__gpos")
     df = cross_sectional(df, time=pw.time)
     df = signals(df)
     return df.select([c for c in df.columns if c not in targets] + targets)

@@ -16,8 +16,9 @@ from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import rnd
 from panelforge.operators import benchmark as B
 from panelforge.operators import windows as W
-from panelforge.operators.ema import ema, macd
-from panelforge.operators.labels import HORIZONS, direction_col, forward_returns, labels
+from panelforge.operators.carry import ema, macd
+from panelforge.operators.halo import with_halo
+from panelforge.operators.labels import HORIZONS, direction_col, forward_returns, panel_labels
 from panelforge.operators.market import market_regime, rolling_beta, rolling_corr
 from panelforge.operators.signals import momentum_signals, reversal_signal, trend_consistency
 from panelforge.operators.xsection import (
@@ -55,15 +56,21 @@ def out(df: DataFrame, cols) -> DataFrame:
 
 
 def panel(spark, sf_dir) -> DataFrame:
-    """The bar panel as a stored stage: built once from the trades and
-    written as Parquet to the checkpoint folder (``io.stage``), so queries that read it in several branches (per-date
-    statistics joined back, fit-then-apply) never re-run the raw scan, and a
-    lost executor recomputes from the stage, not from the trades."""
+    """The bar panel as a stored stage, for queries that read it in several
+    branches (row positions, per-date statistics joined back): they never
+    re-run the raw scan, and a lost executor recomputes from the stage.
+    Queries with one branch read ``stock_panel`` itself."""
     return io.stage(stock_panel(spark, sf_dir), "bars")
 
 
-def based(spark, sf_dir) -> DataFrame:
-    return base_features(panel(spark, sf_dir))
+def framed(spark, sf_dir, fn, back: int = 0, fwd: int = 0) -> DataFrame:
+    """A rolling operator over the stored panel on halo buckets, so that no
+    ticker is one task; ``back`` / ``fwd`` are the rows it reaches."""
+    return with_halo(panel(spark, sf_dir), fn, PW, back, fwd)
+
+
+def based(spark, sf_dir, with_macd: bool = False) -> DataFrame:
+    return base_features(panel(spark, sf_dir), with_macd=with_macd)
 
 
 # ---------------------------------------------------------------- sources
@@ -92,7 +99,7 @@ def q_wide_to_long(spark, sf_dir):
 def q_union_panel(spark, sf_dir):
     """Stock bars + benchmark closes; missing columns become NULL."""
     bench = benchmark_series(spark, sf_dir)
-    return io.union_panel(panel(spark, sf_dir), bench)
+    return io.union_panel(stock_panel(spark, sf_dir), bench)
 
 
 @query("sort_panel")
@@ -110,59 +117,62 @@ def q_panel_profile(spark, sf_dir):
 # ---------------------------------------------------------------- time windows
 @query("returns_multi")
 def q_returns_multi(spark, sf_dir):
-    return out(W.returns_multi(panel(spark, sf_dir)), [f"return_{p}d" for p in W.RETURN_PERIODS])
+    return out(framed(spark, sf_dir, lambda d, w: W.returns_multi(d, w), 252), [f"return_{p}d" for p in W.RETURN_PERIODS])
 
 
 @query("sma")
 def q_sma(spark, sf_dir):
-    return out(W.sma(panel(spark, sf_dir)), [f"sma_{n}" for n in W.SMA_PERIODS])
+    return out(framed(spark, sf_dir, lambda d, w: W.sma(d, w), 200), [f"sma_{n}" for n in W.SMA_PERIODS])
 
 
 @query("price_to_sma")
 def q_price_to_sma(spark, sf_dir):
-    return out(W.price_to_sma(W.sma(panel(spark, sf_dir))), [f"price_to_sma{n}" for n in W.SMA_PERIODS])
+    return out(W.price_to_sma(framed(spark, sf_dir, lambda d, w: W.sma(d, w), 200)), [f"price_to_sma{n}" for n in W.SMA_PERIODS])
 
 
 @query("volume_features")
 def q_volume_features(spark, sf_dir):
-    return out(W.volume_features(panel(spark, sf_dir)), ["volume_sma_20", "volume_ratio"])
+    return out(framed(spark, sf_dir, lambda d, w: W.volume_features(d, w), 20), ["volume_sma_20", "volume_ratio"])
 
 
 @query("dollar_volume")
 def q_dollar_volume(spark, sf_dir):
-    return out(W.dollar_volume(panel(spark, sf_dir)), ["dollar_volume", "dollar_vol_20"])
+    return out(framed(spark, sf_dir, lambda d, w: W.dollar_volume(d, w), 20), ["dollar_volume", "dollar_vol_20"])
+
+
+def _volatility(spark, sf_dir):
+    return framed(spark, sf_dir, lambda d, w: W.volatility(W.pct_change(d, "adj_close", [1], w), w), 127)
 
 
 @query("volatility")
 def q_volatility(spark, sf_dir):
-    df = W.volatility(W.pct_change(panel(spark, sf_dir), "adj_close", [1]))
-    return out(df, [f"volatility_{n}d" for n in W.VOL_PERIODS])
+    return out(_volatility(spark, sf_dir), [f"volatility_{n}d" for n in W.VOL_PERIODS])
 
 
 @query("vol_ratios")
 def q_vol_ratios(spark, sf_dir):
-    df = W.vol_ratios(W.volatility(W.pct_change(panel(spark, sf_dir), "adj_close", [1])))
+    df = W.vol_ratios(_volatility(spark, sf_dir))
     return out(df, [n for n, _, _ in W.VOL_RATIOS])
 
 
 @query("bar_patterns")
 def q_bar_patterns(spark, sf_dir):
-    return out(W.bar_patterns(panel(spark, sf_dir)), ["high_low_ratio", "close_to_high"])
+    return out(W.bar_patterns(stock_panel(spark, sf_dir)), ["high_low_ratio", "close_to_high"])
 
 
 @query("gap")
 def q_gap(spark, sf_dir):
-    return out(W.gap(panel(spark, sf_dir)), ["gap"])
+    return out(framed(spark, sf_dir, lambda d, w: W.gap(d, w), 1), ["gap"])
 
 
 @query("rsi")
 def q_rsi(spark, sf_dir):
-    return out(W.rsi(panel(spark, sf_dir)), [f"rsi_{n}" for n in W.RSI_PERIODS])
+    return out(framed(spark, sf_dir, lambda d, w: W.rsi(d, w), 22), [f"rsi_{n}" for n in W.RSI_PERIODS])
 
 
 @query("bollinger")
 def q_bollinger(spark, sf_dir):
-    return out(W.bollinger(panel(spark, sf_dir)), ["bb_upper", "bb_lower", "bb_position", "bb_width"])
+    return out(framed(spark, sf_dir, lambda d, w: W.bollinger(d, w), 20), ["bb_upper", "bb_lower", "bb_position", "bb_width"])
 
 
 @query("ema")
@@ -178,19 +188,19 @@ def q_macd(spark, sf_dir):
 
 @query("dist_extremes")
 def q_dist_extremes(spark, sf_dir):
-    return out(W.dist_extremes(panel(spark, sf_dir)),
+    return out(framed(spark, sf_dir, lambda d, w: W.dist_extremes(d, w), 252),
                ["dist_from_52w_high", "dist_from_52w_low", "dist_from_1m_high", "dist_from_1m_low"])
 
 
 @query("forward_returns")
 def q_forward_returns(spark, sf_dir):
-    return out(forward_returns(panel(spark, sf_dir)), [f"target_return_{n}" for n, _ in HORIZONS])
+    return out(framed(spark, sf_dir, lambda d, w: forward_returns(d, w), 0, 252), [f"target_return_{n}" for n, _ in HORIZONS])
 
 
 @query("direction_labels")
 def q_direction_labels(spark, sf_dir):
     """W22 in both modes: strict (NULL unknown) and reference (0 unknown)."""
-    strict = labels(panel(spark, sf_dir), mode="strict")
+    strict = panel_labels(panel(spark, sf_dir), mode="strict")
     cols = [f"target_direction_{n}" for n, _ in HORIZONS]
     ref = [direction_col(f"target_return_{n}", "reference").alias(f"target_direction_{n}_ref")
            for n, _ in HORIZONS]
@@ -199,7 +209,7 @@ def q_direction_labels(spark, sf_dir):
 
 # ---------------------------------------------------------------- cross-section
 def _market(spark, sf_dir):
-    return W.pct_change(panel(spark, sf_dir), "adj_close", [1, 21])
+    return framed(spark, sf_dir, lambda d, w: W.pct_change(d, "adj_close", [1, 21], w), 21)
 
 
 @query("market_regime")
@@ -227,12 +237,12 @@ def _with_market_return(spark, sf_dir):
 
 @query("rolling_corr")
 def q_rolling_corr(spark, sf_dir):
-    return out(rolling_corr(_with_market_return(spark, sf_dir)), ["correlation_market"])
+    return out(with_halo(_with_market_return(spark, sf_dir), lambda d, w: rolling_corr(d, pw=w), PW, 64), ["correlation_market"])
 
 
 @query("rolling_beta")
 def q_rolling_beta(spark, sf_dir):
-    return out(rolling_beta(_with_market_return(spark, sf_dir)), ["beta"])
+    return out(with_halo(_with_market_return(spark, sf_dir), lambda d, w: rolling_beta(d, pw=w), PW, 64), ["beta"])
 
 
 @query("xs_rank")
@@ -265,19 +275,22 @@ def q_trend_consistency(spark, sf_dir):
 def top_momentum(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     """Minimal slice: bars → 21-row return → dense percent rank per date; the
     top n names on the last date that has a 21-row return."""
-    df = xs_rank(W.pct_change(panel(spark, sf_dir), "adj_close", [21]), ["return_21d"])
+    df = xs_rank(framed(spark, sf_dir, lambda d, w: W.pct_change(d, "adj_close", [21], w), 21), ["return_21d"])
     last = df.filter(F.col("return_21d").isNotNull()).agg(F.max("date").alias("date"))
     top = df.join(last, "date").orderBy(F.desc("return_21d_rank"), "ticker").limit(n)
     return rnd(top.select("ticker", "date", "return_21d", "return_21d_rank"))
 
 
 # ---------------------------------------------------------------- full pipeline
-def engineered(spark, sf_dir, label_mode: str = "strict") -> DataFrame:
-    """The engineered panel as a stage output: bars and the result are
-    Parquet stages in the shared checkpoint folder, so the per-date
-    statistics branch and every consumer re-read them (pruned to the columns
-    they use) instead of re-running the raw scan and the window chain."""
-    return io.stage(engineer_features(panel(spark, sf_dir), label_mode=label_mode), "engineered")
+def engineered(spark, sf_dir, label_mode: str = "strict", cols=None) -> DataFrame:
+    """The engineered panel as a stage. ``cols`` (besides the keys) are selected
+    before it is written, so windows that no consumer needs are pruned and the
+    stage holds those columns only."""
+    macd_too = cols is None or any(c.startswith("macd") for c in cols)
+    df = engineer_features(panel(spark, sf_dir), label_mode=label_mode, with_macd=macd_too)
+    if cols is not None:
+        df = df.select(*KEYS, *[c for c in cols if c not in KEYS])
+    return io.stage(df, "engineered")
 
 
 @query("engineer_features")
@@ -289,7 +302,8 @@ def q_engineer_features(spark, sf_dir):
 
 # ---------------------------------------------------------------- benchmarks
 def _bench_panel(spark, sf_dir):
-    return W.pct_change(panel(spark, sf_dir), "adj_close", [21]), benchmark_series(spark, sf_dir)
+    return (framed(spark, sf_dir, lambda d, w: W.pct_change(d, "adj_close", [21], w), 21),
+            benchmark_series(spark, sf_dir))
 
 
 @query("benchmark_join")

@@ -1,14 +1,95 @@
-"""Halo mode must give the plain per-ticker windows' results."""
+"""Bucketed windows and carried state against plain loops over whole series."""
+import datetime as dt
+import math
+import random
+
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from conftest import SF01, rows
-from helpers import assert_frames_close
-from panelforge.operators.halo import positions
-from panelforge.plans.pipeline import engineer_features
+from panelforge.operators import windows as W
+from panelforge.operators.carry import ema, forward_fill, macd
+from panelforge.operators.halo import positions, with_halo
+from panelforge.operators.labels import labels
 from panelforge.sources.bars import stock_panel
 
 
+def day(i):
+    return dt.date(2000, 1, 1) + dt.timedelta(days=i)
+
+
+def frame(spark, series, col="adj_close"):
+    return spark.createDataFrame([(t, day(i), v) for t, xs in series.items() for i, v in enumerate(xs)],
+                                 f"ticker string, date date, {col} double").repartition(4)
+
+
+def ema_loop(xs, span):
+    """y0 = x0; after g rows: (q**g * y + a * x) / (q**g + a); kept where x is missing."""
+    a, y, gap, out = 2.0 / (span + 1), None, 0, []
+    for x in xs:
+        gap += 1
+        if x is not None:
+            p = (1 - a) ** gap
+            y = x if y is None else (p * y + a * x) / (p + a)
+            gap = 0
+        out.append(y)
+    return out
+
+
+def with_nulls(n, seed, runs):
+    r = random.Random(seed)
+    xs, x = [], 100.0
+    for _ in range(n):
+        x *= math.exp(r.gauss(0, 0.02))
+        xs.append(x)
+    for a, b in runs:
+        xs[a:b] = [None] * (b - a)
+    return xs
+
+
+SERIES = {
+    "dense": with_nulls(1700, 1, []),
+    "long_run": with_nulls(3000, 2, [(0, 5), (100, 2200), (2300, 2301)]),     # longer than three buckets
+    "sparse": [x if i % 14 == 3 else None for i, x in enumerate(with_nulls(2500, 3, []))],
+    "none": [None] * 900,
+    "one": [None] * 750 + [5.0] + [None] * 800,
+}
+
+
+def column(df, ticker, name):
+    return [r[name] for r in df.filter(F.col("ticker") == ticker).orderBy("date").collect()]
+
+
+def same(a, b, rel=1e-8):
+    assert len(a) == len(b)
+    for x, y in zip(a, b):
+        assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, rel=rel, abs=1e-9))
+
+
+def test_ema_and_macd_over_null_runs(spark):
+    d = frame(spark, SERIES)
+    e = ema(d, "adj_close", [12, 26], ["e12", "e26"], bucket=700).cache()
+    m = macd(d, bucket=700).cache()
+    assert e.columns == [*d.columns, "e12", "e26"]
+    for t, xs in SERIES.items():
+        fast, slow = ema_loop(xs, 12), ema_loop(xs, 26)
+        same(column(e, t, "e12"), fast)
+        same(column(e, t, "e26"), slow)
+        line = [None if f is None else f - s for f, s in zip(fast, slow)]
+        same(column(m, t, "macd_signal"), ema_loop(line, 9), rel=1e-6)
+
+
+def test_forward_fill_over_null_runs(spark):
+    got = forward_fill(frame(spark, SERIES), ["adj_close"], bucket=700).cache()
+    for t, xs in SERIES.items():
+        want, last = [], None
+        for x in xs:
+            last = x if x is not None else last
+            want.append(last)
+        assert column(got, t, "adj_close") == want
+
+
 def test_positions_are_row_numbers(spark):
     p = stock_panel(spark, SF01)
     got = positions(p).select("ticker", "date", "__gpos")
@@ -17,10 +98,22 @@ def test_positions_are_row_numbers(spark):
     assert rows(got) == rows(want)
 
 
-def test_halo_equals_plain(spark):
-    # sf0.01 tickers hold 1,277-1,700 rows: two buckets of 1,024 each, so
-    # every feature crosses a bucket boundary.
-    p = stock_panel(spark, SF01).checkpoint()
-    plain = engineer_features(p)
-    halo = engineer_features(p, mode="halo", bucket=1024)
-    assert_frames_close(plain, halo, rtol=1e-9)
+def test_hot_ticker_in_buckets(spark):
+    """One ticker with most of the rows: frames and labels cross many buckets."""
+    series = {"hot": with_nulls(2600, 5, [(900, 1300)]), "a": with_nulls(300, 6, []), "b": [1.0]}
+    d = frame(spark, series)
+    got = with_halo(d, lambda f, w: labels(W.dist_extremes(W.sma(W.returns_multi(f, w), w), w, "adj_close"), w),
+                    back=256, fwd=252, bucket=300).cache()
+    assert "__gpos" not in got.columns and got.count() == d.count()
+
+    def ratio(a, b):
+        return None if a is None or b is None else a / b - 1
+
+    for t, xs in series.items():
+        n = len(xs)
+        same(column(got, t, "return_252d"), [ratio(xs[i], xs[i - 252]) if i >= 252 else None for i in range(n)])
+        full = [xs[i - 199:i + 1] if i >= 199 else [None] for i in range(n)]
+        same(column(got, t, "sma_200"), [None if None in f else sum(f) / 200 for f in full])
+        high = [xs[i - 251:i + 1] if i >= 251 else [None] for i in range(n)]
+        same(column(got, t, "dist_from_52w_high"), [None if None in f else f[-1] / max(f) - 1 for f in high])
+        same(column(got, t, "target_return_12m"), [ratio(xs[i + 252], xs[i]) if i + 252 < n else None for i in range(n)])
