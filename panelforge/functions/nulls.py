@@ -65,14 +65,3 @@ def rnd(df: DataFrame, digits: int = 6, overrides: dict[str, int] | None = None)
             out.append(F.col(f.name))
     return df.select(out)
 
-
-def small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only after checking its size.
-
-    The table is cached (it is small by construction, or the check fails)
-    and counted; within ``max_rows`` it is hinted for broadcast, beyond it
-    the join stays a shuffle join that AQE can still split when skewed.
-    """
-    from pyspark.sql import functions as _F
-    df = df.cache()
-    return _F.broadcast(df) if df.count() <= max_rows else df

@@ -5,7 +5,7 @@ ticker with a third of all rows would sit in one task's memory. Here:
 
 1. values collapse to (group, value, multiplicity) — map-side combined, so
    heavy ties (for example the zeros of a NULL fill) become one row;
-2. each group's distinct values are cut into ``ranges`` ranges at
+2. each group's distinct values are cut into ranges of about RANGE_ROWS at
    approximate quantiles (one small row per group);
 3. the number of rows below each distinct value is a running sum inside its
    (group, range) plus the totals of the lower ranges (a small table);
@@ -22,21 +22,36 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.nulls import small
+RANGE_ROWS = 50_000   # distinct values of a group that one window holds
+
+
+def range_count(distinct: DataFrame, by: Sequence[str], rows: int = RANGE_ROWS) -> int:
+    """Ranges so that the group with the most distinct values has about
+    ``rows`` of them in each (``distinct`` is materialised; one small aggregate)."""
+    most = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    return min(10_000, -(-most // rows))
+
+
+def cut_points(distinct: DataFrame, by: Sequence[str], value: str, ranges: int, out: str) -> DataFrame:
+    """Adds the range number of each row's value, by approximate quantiles of
+    its group (one row a group, joined as Spark sees fit)."""
+    if ranges <= 1:
+        return distinct.withColumn(out, F.lit(0))
+    cuts = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
+    bounds = distinct.groupBy(*by).agg(F.percentile_approx(value, cuts, max(1000, 10 * ranges)).alias("__b"))
+    return distinct.join(bounds, list(by)).withColumn(
+        out, F.size(F.filter(F.col("__b"), lambda b: b < F.col(value)))).drop("__b")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
-                    ranges: int = 64, out: str = "q") -> DataFrame:
+                    ranges: int | None = None, out: str = "q") -> DataFrame:
     """(by..., n, q0, q1, ...) with q_i the exact ``qs[i]`` quantile of
     ``value`` (NULLs ignored) in each group."""
     by = list(by)
     d = (df.filter(F.col(value).isNotNull())
          .groupBy(*by, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
          .checkpoint())
-    cuts = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    bounds = d.groupBy(*by).agg(F.percentile_approx("__x", cuts, 1000).alias("__b"))
-    d = d.join(small(bounds), by).withColumn(
-        "__r", F.size(F.filter(F.col("__b"), lambda b: b < F.col("__x")))).drop("__b")
+    d = cut_points(d, by, "__x", ranges or range_count(d, by), "__r")
     per = d.groupBy(*by, "__r").agg(F.sum("__c").alias("__rc"))
     per = per.select(
         *by, "__r",
@@ -44,7 +59,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
             Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
         F.sum("__rc").over(Window.partitionBy(*by)).alias("__n"))
     inner = Window.partitionBy(*by, "__r").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(small(per, 100_000 * ranges), by + ["__r"]).withColumn(
+    d = d.join(per, by + ["__r"]).withColumn(
         "__lo", F.col("__off") + F.coalesce(F.sum("__c").over(inner), F.lit(0)))
     # this distinct value covers ranks [__lo, __lo + __c - 1]
     aggs = [F.first("__n").alias("n")]

@@ -19,7 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.functions.nulls import div, small
+from panelforge.functions.nulls import div
+from panelforge.functions.quantiles import cut_points, range_count
 
 # float64 machine epsilon: probabilities are clipped to [eps, 1 - eps].
 EPS = 2.220446049250313e-16
@@ -68,7 +69,7 @@ def classification_metrics(scores: DataFrame, by: Sequence[str] = ("target", "mo
 
 
 def roc_auc(scores: DataFrame, by: Sequence[str] = ("target", "model"), y: str = "y",
-            p: str = "p", ranges: int = 64) -> DataFrame:
+            p: str = "p", ranges: int | None = None) -> DataFrame:
     """E5: exact ROC AUC per group; NULL unless both classes are present."""
     by = list(by)
     # distinct scores with class counts, materialised once (reliable
@@ -77,15 +78,12 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ("target", "model"), y: str =
     g = scores.groupBy(*by, F.col(p).alias("s")).agg(
         F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg")
     ).checkpoint()
-    qs = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    bounds = g.groupBy(*by).agg(F.percentile_approx("s", qs, 1000).alias("__b"))
-    g = g.join(small(bounds), by).withColumn(
-        "rng", F.size(F.filter(F.col("__b"), lambda b: b < F.col("s")))).drop("__b")
+    g = cut_points(g, by, "s", ranges or range_count(g, by), "rng")
     per_rng = g.groupBy(*by, "rng").agg(F.sum("neg").alias("rneg"))
     per_rng = per_rng.withColumn("off", F.coalesce(F.sum("rneg").over(
         Window.partitionBy(*by).orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy(*by, "rng").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.join(small(per_rng.select(*by, "rng", "off"), 100_000 * ranges), by + ["rng"]).withColumn(
+    g = g.join(per_rng.select(*by, "rng", "off"), by + ["rng"]).withColumn(
         "below", F.col("off") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
     res = g.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("__num"),
@@ -158,11 +156,11 @@ def results_pivot(results: DataFrame, models: Sequence[str]) -> DataFrame:
     return piv.join(rng, "metric", "left")
 
 
-def class_balance(df: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """(target, label, n) for each label column, NULL labels skipped."""
-    long = df.select(F.inline(F.array(*[
+def class_balance(df: DataFrame, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by, target, label, n) for each label column, NULL labels skipped."""
+    long = df.select(*by, F.inline(F.array(*[
         F.struct(F.lit(c).alias("target"), F.col(c).cast("int").alias("label")) for c in labels])))
-    return long.filter(F.col("label").isNotNull()).groupBy("target", "label").agg(
+    return long.filter(F.col("label").isNotNull()).groupBy(*by, "target", "label").agg(
         F.count(F.lit(1)).alias("n"))
 
 

@@ -1,11 +1,10 @@
 """Scaling (Z1-Z5, J4, S10 for scaler parameters).
 
-Robust scaling per ticker is an aggregate (one group per ticker, training
-rows only) producing a long parameter table (ticker, feature, center, scale,
-n_train); applying it is a join on ticker. The panel coming out of the
-feature phase is already hash-partitioned by ticker, so the join only moves
-the small parameter side. No broadcast hint: the table grows with the number
-of tickers, so Spark's size-checked planner (and AQE at runtime) choose.
+Robust scaling per ticker produces a long parameter table (ticker, feature,
+center, scale, n_train) from training rows; applying it is a join on ticker.
+No broadcast hint: the table grows with the number of tickers, so Spark's
+size-checked planner (and AQE at runtime, which also splits a hot ticker)
+choose.
 """
 
 from __future__ import annotations
@@ -19,12 +18,10 @@ from panelforge.functions.nulls import div
 from panelforge.functions.quantiles import exact_quantiles
 
 QUANTILES = [0.25, 0.5, 0.75]
-# Longest per-ticker training series held in one ``percentile`` buffer.
-BUFFER_ROWS = 500_000
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker",
-               time: str = "date", min_rows: int = 10, method: str = "auto",
+               time: str = "date", min_rows: int = 10, method: str = "exact",
                accuracy: int = 10000) -> DataFrame:
     """Median and IQR of each column per ticker on rows before ``cut``.
 
@@ -32,19 +29,11 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker"
     scale 1; tickers with fewer than ``min_rows`` training rows get no
     parameters. Quantiles follow numpy's linear rule.
 
-    ``method="auto"`` (default) counts the longest training series first:
-    up to ``BUFFER_ROWS`` rows Spark's ``percentile`` buffer is bounded and
-    used, beyond it ``"exact"`` ranks distinct values in bounded ranges
+    ``method="exact"`` (default) ranks distinct values in bounded ranges
     (``functions.quantiles``), so no ticker's series is held in one task;
-    ``"buffer"`` is Spark's ``percentile`` (one buffer per ticker);
-    ``"approx"`` the ``percentile_approx`` sketch.
+    ``"approx"`` is the ``percentile_approx`` sketch.
     """
     train = df.filter(F.col(time) < F.lit(cut).cast("date"))
-    if method == "auto":
-        # one small aggregate decides: a ticker's buffer is bounded when its
-        # longest training series is short; otherwise split by value ranges
-        longest = train.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        method = "buffer" if longest <= BUFFER_ROWS else "exact"
     if method == "exact":
         long = train.select(key, F.inline(F.array(*[
             F.struct(F.lit(c).alias("feature"),
@@ -59,8 +48,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker"
     aggs = [F.count(F.lit(1)).alias("n_train")]
     for c in cols:
         x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        q = F.percentile_approx(x, qs, accuracy) if method == "approx" else F.percentile(x, qs)
-        aggs.append(q.alias(f"__q_{c}"))
+        aggs.append(F.percentile_approx(x, qs, accuracy).alias(f"__q_{c}"))
     wide = train.groupBy(key).agg(*aggs).filter(F.col("n_train") >= min_rows)
     rows = []
     for c in cols:
@@ -95,7 +83,7 @@ def apply_scaler(df: DataFrame, params: DataFrame, cols: Sequence[str],
 
 def robust_scale(df: DataFrame, cols: Sequence[str], cut: str, key: str = "ticker",
                  time: str = "date", min_rows: int = 10,
-                 method: str = "auto") -> tuple[DataFrame, DataFrame]:
+                 method: str = "exact") -> tuple[DataFrame, DataFrame]:
     """Fit on the training period and transform every row."""
     params = fit_scaler(df, cols, cut, key, time, min_rows, method)
     return apply_scaler(df, params, cols, key), params

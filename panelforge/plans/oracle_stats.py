@@ -19,6 +19,7 @@ SCALABLE = ["dollar_volume_rank", "dollar_volume_zscore", "market_volatility", "
 HEATMAP = ["macd_hist", "rsi_14", "volatility_21d", "price_to_sma200", "market_volatility",
            "volume_ratio", "beta", "target_return_21d"]
 DIRS = ["1d", "5d", "21d", "3m", "6m", "12m"]
+HORIZON_ROWS = [1, 5, 21, 63, 126, 252]   # rows ahead, in the order of DIRS
 
 
 def nan_null(x: str) -> str:
@@ -38,9 +39,8 @@ SELECT ticker, date, CAST(r21 > 0 AS INTEGER) AS target_direction_21d FROM lab21
 ORACLE["complete_cases"] = with_(ENG) + """
 SELECT ticker, date, round(target_return_21d, 6) + 0.0 AS target_return_21d FROM eng WHERE COLUMNS(*) IS NOT NULL"""
 
-_FZ = ["return_252d", "sma_200", "volatility_126d", "correlation_market", "beta", "rsi_21"]
 ORACLE["fill_zero"] = with_(ENG) + "SELECT ticker, date, " + ", ".join(
-    f"round(coalesce({c}, 0.0), 6) + 0.0 AS {c}" for c in _FZ) + " FROM eng"
+    f"round(coalesce({c}, 0.0), {LEVELS.get(c, 6)}) + 0.0 AS {c}" for c in FEATURES) + " FROM eng"
 
 ORACLE["sample_guard"] = with_(PANEL) + f"""
 SELECT ticker, count(*) AS n_rows FROM panel WHERE date < {CUT} GROUP BY ticker HAVING count(*) >= 10"""
@@ -141,7 +141,10 @@ dl AS (SELECT * FROM lab WHERE date < {CUT}),
 bal AS ({" UNION ALL ".join(
     f"SELECT 'target_direction_{d}' AS target, CAST(target_return_{d} > 0 AS INTEGER) AS label, count(*) AS n "
     f"FROM dl WHERE target_return_{d} IS NOT NULL GROUP BY ALL" for d in DIRS)})"""
-ORACLE["class_balance"] = with_(_DIRLAB) + "SELECT * FROM bal"
+ORACLE["class_balance"] = with_(PANEL, LABELS) + " UNION ALL ".join(
+    f"SELECT CASE WHEN date < {CUT} THEN 'train' ELSE 'test' END AS split, 'target_direction_{d}' AS target, "
+    f"CAST(target_return_{d} > 0 AS INTEGER) AS label, count(*) AS n "
+    f"FROM lab WHERE target_return_{d} IS NOT NULL GROUP BY ALL" for d in DIRS)
 ORACLE["class_weights"] = with_(_DIRLAB) + """,
 bw AS (SELECT *, sum(n) OVER (PARTITION BY target) AS tot, count(*) OVER (PARTITION BY target) AS k,
               min(n) OVER (PARTITION BY target) / max(n) OVER (PARTITION BY target) AS ratio,
@@ -156,19 +159,15 @@ FROM bw"""
 SCORES = BASE + f""",
 s1 AS (SELECT ticker, date, rsi_14, return_21d,
     CASE WHEN return_21d IS NOT NULL THEN dense_rank() OVER (PARTITION BY date ORDER BY return_21d NULLS LAST) END AS dr,
-    {lead('adj_close', 1)} / nullif(adj_close, 0) - 1 AS f1,
-    {lead('adj_close', 5)} / nullif(adj_close, 0) - 1 AS f5,
-    {lead('adj_close', 21)} / nullif(adj_close, 0) - 1 AS f21
+    {", ".join(f"{lead('adj_close', h)} / nullif(adj_close, 0) - 1 AS f{h}" for h in HORIZON_ROWS)}
   FROM base),
 s2 AS (SELECT *, dr / max(dr) OVER (PARTITION BY date) AS rk,
-    CAST(CASE WHEN f1 IS NOT NULL THEN f1 > 0 END AS INTEGER) AS y1,
-    CAST(CASE WHEN f5 IS NOT NULL THEN f5 > 0 END AS INTEGER) AS y5,
-    CAST(CASE WHEN f21 IS NOT NULL THEN f21 > 0 END AS INTEGER) AS y21
+    {", ".join(f"CAST(CASE WHEN f{h} IS NOT NULL THEN f{h} > 0 END AS INTEGER) AS y{h}" for h in HORIZON_ROWS)}
   FROM s1 WHERE date >= {CUT}),
 s3 AS (SELECT t.target, m.model, s2.ticker, s2.date,
-    CASE t.target WHEN 'direction_1d' THEN y1 WHEN 'direction_5d' THEN y5 ELSE y21 END AS y,
+    CASE t.target {" ".join(f"WHEN 'direction_{d}' THEN y{h}" for d, h in zip(DIRS, HORIZON_ROWS))} END AS y,
     CASE m.model WHEN 'momentum' THEN rk WHEN 'reversal' THEN 1 - rk ELSE rsi_14 / 100 END AS p
-  FROM s2, (VALUES ('direction_1d'), ('direction_5d'), ('direction_21d')) t(target),
+  FROM s2, (VALUES {", ".join(f"('direction_{d}')" for d in DIRS)}) t(target),
        (VALUES ('momentum'), ('reversal'), ('oscillator')) m(model)),
 s4 AS (SELECT * FROM s3 WHERE y IS NOT NULL AND p IS NOT NULL),
 ens AS (SELECT target, 'ensemble' AS model, ticker, date, first(y) AS y, avg(p) AS p FROM s4
@@ -230,9 +229,16 @@ _RM = PANEL + f""",
 rm0 AS (SELECT date, """ + ", ".join(
     f"adj_close / nullif(lag(adj_close, {h}) OVER (PARTITION BY ticker ORDER BY date), 0) - 1 AS r{h}, "
     f"lead(adj_close, {h}) OVER (PARTITION BY ticker ORDER BY date) / nullif(adj_close, 0) - 1 AS f{h}"
-    for h in (1, 5, 21)) + f""" FROM panel),
-rm1 AS ({" UNION ALL ".join(f"SELECT 'return_{h}d' AS target, f{h} AS y, r{h} AS pred FROM rm0 WHERE date >= {CUT}" for h in (1, 5, 21))})"""
+    for h in HORIZON_ROWS) + f""" FROM panel),
+rm1 AS ({" UNION ALL ".join(f"SELECT 'return_{h}d' AS target, f{h} AS y, r{h} AS pred FROM rm0 WHERE date >= {CUT}" for h in HORIZON_ROWS)})"""
 ORACLE["regression_metrics"] = with_(_RM) + """
 SELECT target, count(*) AS n, round(avg(abs(y - pred)), 6) + 0.0 AS mae, round(sqrt(avg((y - pred) * (y - pred))), 6) + 0.0 AS rmse,
   round(1 - sum((y - pred) * (y - pred)) / nullif(var_pop(y) * count(*), 0), 6) + 0.0 AS r2
 FROM rm1 WHERE y IS NOT NULL AND pred IS NOT NULL GROUP BY target"""
+
+# ---------------------------------------------------------------- Spark ML: what SQL can state of it
+ORACLE["model_roundtrip"] = with_(PANEL, _LAB21) + f"""
+SELECT count(*) AS n, 0.0::DOUBLE AS max_abs_diff FROM lab21 WHERE r21 IS NOT NULL AND date >= {CUT}"""
+ORACLE["select_variance"] = "SELECT feature FROM (" + ORACLE["variance_filter"] + ")"
+ORACLE["select_correlation"] = "SELECT feature FROM (" + ORACLE["correlation_filter"] + ")"
+ORACLE["select_mutual_info"] = "SELECT feature FROM (" + ORACLE["mutual_info_topk"] + ")"

@@ -3,6 +3,8 @@ balance and evaluation (P, Z, F, T1-T3, T7, E)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +14,19 @@ from panelforge.operators import filters as P
 from panelforge.operators import scaling as Z
 from panelforge.operators import selection as S
 from panelforge.operators import windows as W
-from panelforge.operators.labels import labels
+from panelforge.operators.labels import HORIZONS, labels, panel_labels
 from panelforge.operators.xsection import xs_rank
 from panelforge.plans.pipeline import SCALABLE, feature_columns
-from panelforge.plans.queries import KEYS, LEVELS, engineered, out, panel, query
+from panelforge.plans.queries import KEYS, LEVELS, engineered, framed, out, panel, query
 from panelforge.session import checkpoint_dir
 from panelforge.sources import io
-from panelforge.sources.bars import benchmark_series
+from panelforge.sources.bars import benchmark_series, stock_panel
 
 # Train / test cut of the fixture panel (FIXTURES.md §3) and the target the
 # selection statistics are computed for.
 CUT = "2000-01-01"
 TARGET = "target_direction_21d"
-SCORE_TARGETS = [("direction_1d", 1), ("direction_5d", 5), ("direction_21d", 21)]
+SCORE_TARGETS = [(f"direction_{n}", h) for n, h in HORIZONS]
 SCORE_MODELS = ["momentum", "reversal", "oscillator"]
 ALL_MODELS = SCORE_MODELS + ["ensemble"]
 # Columns of the redundancy heatmap (fixed values).
@@ -36,7 +38,7 @@ HEATMAP = ["macd_hist", "rsi_14", "volatility_21d", "price_to_sma200", "market_v
 @query("time_split")
 def q_time_split(spark, sf_dir):
     """Each bar tagged train / test at the cut."""
-    return P.tag_split(panel(spark, sf_dir), CUT).select(*KEYS, "split")
+    return P.tag_split(stock_panel(spark, sf_dir), CUT).select(*KEYS, "split")
 
 
 @query("feature_projection")
@@ -49,7 +51,7 @@ def q_feature_projection(spark, sf_dir):
 @query("drop_unlabelled")
 def q_drop_unlabelled(spark, sf_dir):
     """P5: rows whose 21-row label is known."""
-    df = labels(panel(spark, sf_dir))
+    df = panel_labels(panel(spark, sf_dir))
     return P.drop_unlabelled(df, TARGET).select(*KEYS, TARGET)
 
 
@@ -71,16 +73,16 @@ def q_complete_cases(spark, sf_dir):
 
 @query("fill_zero")
 def q_fill_zero(spark, sf_dir):
-    """Model inputs with NULL → 0."""
+    """All model inputs with NULL → 0."""
     df = engineered(spark, sf_dir)
-    cols = ["return_252d", "sma_200", "volatility_126d", "correlation_market", "beta", "rsi_21"]
-    return rnd(P.fill_zero(df.select(*KEYS, *cols), cols))
+    cols = feature_columns(df)
+    return rnd(P.fill_zero(df.select(*KEYS, *cols), cols), overrides=LEVELS)
 
 
 @query("sample_guard")
 def q_sample_guard(spark, sf_dir):
     """P10: tickers with at least 10 training rows."""
-    train, _ = P.time_split(panel(spark, sf_dir), CUT)
+    train, _ = P.time_split(stock_panel(spark, sf_dir), CUT)
     return P.sample_guard(train, ["ticker"], 10)
 
 
@@ -89,7 +91,7 @@ def _stock_universe(spark, sf_dir) -> DataFrame:
 
 
 def _mixed_panel(spark, sf_dir) -> DataFrame:
-    return io.union_panel(panel(spark, sf_dir), benchmark_series(spark, sf_dir))
+    return io.union_panel(stock_panel(spark, sf_dir), benchmark_series(spark, sf_dir))
 
 
 @query("universe_semi")
@@ -108,23 +110,23 @@ def q_universe_anti(spark, sf_dir):
 @query("scaler_fit")
 def q_scaler_fit(spark, sf_dir):
     """Per-ticker median / IQR of the 13 scaled features on train rows."""
-    params = Z.fit_scaler(engineered(spark, sf_dir), SCALABLE, CUT)
+    params = Z.fit_scaler(engineered(spark, sf_dir, cols=SCALABLE), SCALABLE, CUT)
     return rnd(params)
 
 
 @query("robust_scale")
 def q_robust_scale(spark, sf_dir):
     """Every row scaled with its ticker's training parameters."""
-    scaled, _ = Z.robust_scale(engineered(spark, sf_dir), SCALABLE, CUT)
+    scaled, _ = Z.robust_scale(engineered(spark, sf_dir, cols=SCALABLE), SCALABLE, CUT)
     return rnd(scaled.select(*KEYS, *SCALABLE))
 
 
 @query("scaler_apply")
 def q_scaler_apply(spark, sf_dir):
-    """Parameters stored as Parquet in the checkpoint folder,
-    read back and applied."""
-    df = engineered(spark, sf_dir)
-    path = f"{checkpoint_dir(spark)}/scaler_params"
+    """Parameters stored as Parquet in the checkpoint folder (a
+    folder of their own for each call), read back and applied."""
+    df = engineered(spark, sf_dir, cols=SCALABLE)
+    path = f"{checkpoint_dir(spark)}/scaler_params-{uuid.uuid4().hex}"
     Z.save_params(Z.fit_scaler(df, SCALABLE, CUT), path)
     params = Z.load_params(spark, path)
     return rnd(Z.apply_scaler(df, params, SCALABLE).select(*KEYS, *SCALABLE))
@@ -141,7 +143,7 @@ def q_minmax_scale(spark, sf_dir):
 @query("binary_remap")
 def q_binary_remap(spark, sf_dir):
     """A two-valued label remapped to 0/1 and a continuous target min-max scaled."""
-    df = labels(panel(spark, sf_dir), mode="reference").select(*KEYS, "target_direction_21d", "target_return_21d")
+    df = panel_labels(panel(spark, sf_dir), mode="reference").select(*KEYS, "target_direction_21d", "target_return_21d")
     return rnd(Z.binary_remap(Z.binary_remap(df, "target_direction_21d"), "target_return_21d"))
 
 
@@ -164,7 +166,7 @@ def q_corr_with_target(spark, sf_dir):
 @query("corr_matrix")
 def q_corr_matrix(spark, sf_dir):
     """lower triangle of the heatmap's correlation matrix."""
-    return rnd(S.corr_matrix(engineered(spark, sf_dir), HEATMAP))
+    return rnd(S.corr_matrix(engineered(spark, sf_dir, cols=HEATMAP), HEATMAP))
 
 
 @query("variance_filter")
@@ -200,16 +202,15 @@ def q_selection_intersect(spark, sf_dir):
 
 @query("class_balance")
 def q_class_balance(spark, sf_dir):
-    """Label counts of the six targets on the training rows."""
-    df = labels(panel(spark, sf_dir))
-    train, _ = P.time_split(df, CUT)
-    return E.class_balance(train, [c for c in df.columns if c.startswith("target_direction_")])
+    """Label counts of the six targets in the training and test periods."""
+    df = P.tag_split(panel_labels(panel(spark, sf_dir)), CUT)
+    return E.class_balance(df, [c for c in df.columns if c.startswith("target_direction_")], by=["split"])
 
 
 @query("class_weights")
 def q_class_weights(spark, sf_dir):
     """Balanced class weights and scale_pos_weight per target."""
-    df = labels(panel(spark, sf_dir))
+    df = panel_labels(panel(spark, sf_dir))
     train, _ = P.time_split(df, CUT)
     bal = E.class_balance(train, [c for c in df.columns if c.startswith("target_direction_")])
     return rnd(E.class_weights(bal, 0.7))
@@ -218,11 +219,13 @@ def q_class_weights(spark, sf_dir):
 # ---------------------------------------------------------------- evaluation on a fixed score table
 def score_table(spark, sf_dir) -> DataFrame:
     """(target, model, ticker, date, y, p) on the test period: three rule
-    "models" (momentum rank, its reverse, RSI / 100) and three label horizons."""
-    df = W.rsi(W.pct_change(panel(spark, sf_dir), "adj_close", [21]), periods=[14])
-    df = xs_rank(df, ["return_21d"])
-    hz = [(t.removeprefix("direction_"), h) for t, h in SCORE_TARGETS]
-    df = labels(df, horizons=hz)
+    "models" (momentum rank, its reverse, RSI / 100) and the six label horizons."""
+    hz = HORIZONS
+
+    def frames(d, w):
+        return labels(W.rsi(W.pct_change(d, "adj_close", [21], w), w, periods=[14]), w, horizons=hz)
+
+    df = xs_rank(framed(spark, sf_dir, frames, 22, 252), ["return_21d"])
     _, test = P.time_split(df, CUT)
     p = {"momentum": F.col("return_21d_rank"), "reversal": 1 - F.col("return_21d_rank"),
          "oscillator": F.col("rsi_14") / 100}
@@ -235,9 +238,11 @@ def score_table(spark, sf_dir) -> DataFrame:
 
 
 def scores(spark, sf_dir) -> DataFrame:
-    """The score table with its ensemble rows, checkpointed: every metric
-    query reads it in several branches."""
-    return E.soft_vote(score_table(spark, sf_dir), SCORE_MODELS).checkpoint()
+    """The score table with its ensemble rows: the table is stored before the
+    vote reads it twice, and again with the vote, as every metric query reads
+    it in several branches."""
+    s = io.stage(score_table(spark, sf_dir), "scores")
+    return io.stage(E.soft_vote(s, SCORE_MODELS), "voted")
 
 
 @query("soft_vote")
@@ -316,8 +321,12 @@ def q_results_pivot(spark, sf_dir):
 def q_regression_metrics(spark, sf_dir):
     """MAE / RMSE / R² of a persistence forecast (past h-row return as the
     next h-row return) per horizon, on the test period."""
-    hz = [("1d", 1), ("5d", 5), ("21d", 21)]
-    df = labels(W.pct_change(panel(spark, sf_dir), "adj_close", [h for _, h in hz]), horizons=hz)
+    hz = [(f"{h}d", h) for _, h in HORIZONS]
+
+    def frames(d, w):
+        return labels(W.pct_change(d, "adj_close", [h for _, h in hz], w), w, horizons=hz)
+
+    df = framed(spark, sf_dir, frames, 252, 252)
     _, test = P.time_split(df, CUT)
     long = test.select(F.inline(F.array(*[
         F.struct(F.lit(f"return_{n}").alias("target"), F.col(f"target_return_{n}").alias("y"),
