@@ -53,12 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting one only when unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, S3...)
-    and is used as is. Only a session without one (tests, local runs) gets a
-    fresh scratch folder.
+    and is used as is. Only a local session without one (tests) gets a fresh
+    scratch folder; on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="panelforge-ckpt-",
                              dir=os.environ.get("PANELFORGE_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixture roles of the order priorities (fixed values, see FIXTURES.md §4):
@@ -23,7 +23,7 @@ def ohlcv_bars(df: DataFrame, key: str, ts: str, price: str, volume: str,
                tiebreak: Sequence[str], out_key: str = "ticker") -> DataFrame:
     """One OHLCV bar per (key, day); open / close are the first / last trade by
     ``tiebreak`` (a unique trade order within the day)."""
-    order = F.struct(*[F.col(c) for c in tiebreak])
+    order = trade_order(tiebreak)
     return (
         df.groupBy(F.col(key).alias(out_key), F.to_date(F.col(ts)).alias("date"))
         .agg(
@@ -36,6 +36,26 @@ def ohlcv_bars(df: DataFrame, key: str, ts: str, price: str, volume: str,
     )
 
 
+# Digits that the parts of a trade order may have (non-negative whole numbers).
+ORDER_DIGITS = {"l_orderkey": 15, "l_linenumber": 3, "l_partkey": 10, "l_suppkey": 10}
+
+
+def trade_order(tiebreak: Sequence[str]) -> Column:
+    """The order of trades as one value. Whole numbers with known digits are
+    packed into a DECIMAL(38), which a hash aggregate can update in place; a
+    struct would make Spark sort all trades. Too large a number is an error,
+    not a wrong order."""
+    if not all(c in ORDER_DIGITS for c in tiebreak):
+        return F.struct(*[F.col(c) for c in tiebreak])
+    out = F.lit(0).cast("decimal(38,0)")
+    below = sum(ORDER_DIGITS[c] for c in tiebreak)
+    for c in tiebreak:
+        below -= ORDER_DIGITS[c]
+        part = F.col(c).cast(f"decimal({ORDER_DIGITS[c]},0)")
+        out = (out + part * F.lit("1" + "0" * below).cast(f"decimal({below + 1},0)")).cast("decimal(38,0)")
+    return out
+
+
 def trade_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw trades of the fixture: lineitem priced per unit, ticker = part brand.
 

@@ -10,12 +10,13 @@ Index tickers carry NULL adj_close / dividends / stock_splits.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from panelforge.functions.nulls import nan_to_null
 
@@ -152,15 +153,30 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stage_path(path: str, params: dict | None = None) -> str:
+    """``path``, or ``path-<fingerprint>`` of the parameters it depends on."""
+    if not params:
+        return path
+    text = json.dumps(params, sort_keys=True, default=str)
+    return f"{path}-{hashlib.sha256(text.encode()).hexdigest()[:16]}"
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a finished write left its ``_SUCCESS`` mark under ``path``."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
-                  fmt: str = "parquet") -> DataFrame:
-    """Reuse a stored stage output when present, else build and store it.
+                  fmt: str = "parquet", params: dict | None = None) -> DataFrame:
+    """Reuse a stored stage output when it is complete, else build and store it.
 
-    The stored table also cuts the lineage of everything before it, so a
-    lost executor later recomputes from the table, not from the raw scan.
+    ``params`` are what the output depends on; other parameters give another
+    path, so a changed cut never reads what an old cut has fitted. A folder
+    without ``_SUCCESS`` is built again; any other error on reading is raised.
+    The stored table also cuts the lineage of everything before it.
     """
-    try:
-        return spark.read.format(fmt).load(path)
-    except AnalysisException:
+    path = stage_path(path, params)
+    if not is_complete(spark, path):
         write_stage(build(), path, fmt=fmt)
-        return spark.read.format(fmt).load(path)
+    return spark.read.format(fmt).load(path)

@@ -45,6 +45,52 @@ def test_read_or_build_reuses(spark):
     assert a.count() == b.count() == 5 and len(calls) == 1
 
 
+def test_read_or_build_looks_at_parameters_and_completeness(spark):
+    d = tempfile.mkdtemp(dir=os.environ.get("PANELFORGE_SCRATCH"))
+    made = []
+
+    def build(n):
+        return lambda: made.append(n) or spark.range(n)
+
+    assert io.read_or_build(spark, f"{d}/s", build(3), params={"cut": "a"}).count() == 3
+    assert io.read_or_build(spark, f"{d}/s", build(4), params={"cut": "b"}).count() == 4
+    assert io.read_or_build(spark, f"{d}/s", build(5), params={"cut": "a"}).count() == 3
+    os.remove(io.stage_path(f"{d}/s", {"cut": "a"}) + "/_SUCCESS")
+    assert io.read_or_build(spark, f"{d}/s", build(6), params={"cut": "a"}).count() == 6
+    assert made == [3, 4, 6]
+
+
+def test_scaler_apply_twice_stays_readable(spark):
+    import __spark_entry__ as E
+    q = E.queries()["scaler_apply"]
+    a, b = q(spark, SF001), q(spark, SF001)
+    assert a.count() == b.count() > 0
+
+
+def test_checkpoint_folder_must_be_set_on_a_cluster():
+    import pytest
+    from panelforge.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return Conf()
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(Session())
+
+
 def test_profile(spark):
     long = benchmark_series(spark, SF001)
     r = io.panel_profile(long).first()
