@@ -4,9 +4,10 @@ F11, E7, S10).
 The reference's three boosting libraries are re-aimed at Spark ML families:
 gradient-boosted trees (its main model, same depth / rate / sampling), a
 random forest and an elastic-net logistic regression. Importances are Spark's
-gain-based ``featureImportances``. Every fit reads one assembled, checkpointed
-training frame; targets are fitted from a small driver thread pool so their
-Spark jobs overlap.
+gain-based ``featureImportances``. Features are assembled once into a stored
+vector table that selection and all families read (a subset of the features is
+a slice of the vector); targets are fitted from a small driver thread pool so
+their Spark jobs overlap.
 """
 
 from __future__ import annotations
@@ -14,16 +15,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.operators.evaluate import class_balance, class_weights
+from panelforge.sources.io import stage
+
 SEED = 42
 FAMILIES = ("gbt", "rf", "lr")
 # Features kept per target (the reference's per-horizon counts, fixed values).
@@ -31,8 +35,26 @@ N_FEATURES = {"direction_1d": 30, "direction_5d": 35, "direction_21d": 40,
               "direction_3m": 40, "direction_6m": 35, "direction_12m": 30}
 
 
-def assembler(features: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
+# Rows of the vector table per task: a boosted tree runs a job per level, so
+# many tiny tasks would be all overhead.
+ROWS_PER_TASK = 20_000
+
+
+def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
+
+
+def vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Stored (keep..., all): the features as one vector, NULL as 0."""
+    data = df.select(*keep, *features).fillna(0.0, subset=list(features))
+    tasks = max(1, -(-df.count() // ROWS_PER_TASK))
+    return stage(assembler(features, "all").transform(data).select(*keep, "all").repartition(tasks), "vectors")
+
+
+def sliced(vec: DataFrame, features: Sequence[str], some: Sequence[str]) -> DataFrame:
+    """The vector table with a ``features`` column of the listed features."""
+    at = {f: i for i, f in enumerate(features)}
+    return VectorSlicer(inputCol="all", outputCol="features", indices=[at[f] for f in some]).transform(vec)
 
 
 def classifier(family: str, label: str, rounds: int = 300, weight: str | None = None):
@@ -52,24 +74,27 @@ def classifier(family: str, label: str, rounds: int = 300, weight: str | None =
 
 
 def with_weights(df: DataFrame, label: str, ratio: float = 0.7) -> tuple[DataFrame, str | None]:
-    """Balanced weights n / (k * n_c) when the class ratio is below ``ratio``."""
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(counts) != 2 or min(counts.values()) / max(counts.values()) >= ratio:
+    """Balanced weights (``evaluate.class_weights``) for a two-class label."""
+    rows = class_weights(class_balance(df, [label]), ratio).limit(3).collect()
+    if len(rows) != 2 or all(r["weight"] == 1.0 for r in rows):
         return df, None
-    n, k = sum(counts.values()), len(counts)
-    w = F.when(F.col(label) == 0, n / (k * counts.get(0, 1))).otherwise(n / (k * counts.get(1, 1)))
+    w = F.when(F.col(label) == rows[0]["label"], rows[0]["weight"]).otherwise(rows[1]["weight"])
     return df.withColumn("__w", w), "__w"
 
 
+def fit_vectors(vec: DataFrame, features: Sequence[str], some: Sequence[str], label: str, family: str,
+                rounds: int = 300, weighted: bool = True) -> PipelineModel:
+    """Fit one family on a slice of the vector table; the model takes raw
+    columns (its first stage assembles ``some``)."""
+    data, wcol = with_weights(vec, label) if weighted else (vec, None)
+    m = classifier(family, label, rounds, wcol).fit(sliced(data, features, some))
+    return PipelineModel(stages=[assembler(some), m])
+
+
 def fit_model(df: DataFrame, features: Sequence[str], label: str, family: str,
               rounds: int = 300, weighted: bool = True) -> PipelineModel:
-    """Fit assembler + one classifier; NULL features count as 0."""
-    data = df.fillna(0.0, subset=list(features))
-    wcol = None
-    if weighted:
-        data, wcol = with_weights(data, label)
-    pipe = Pipeline(stages=[assembler(features), classifier(family, label, rounds, wcol)])
-    return pipe.fit(data)
+    """Assemble, store and fit one classifier; NULL features count as 0."""
+    return fit_vectors(vectors(df, features, [label]), features, features, label, family, rounds, weighted)
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -78,38 +103,51 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str], keep: Se
     return out.select(*keep, vector_to_array("probability")[1].alias("p"))
 
 
-def importances(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """(feature, importance) from the fitted tree stage."""
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return spark.createDataFrame(list(zip(features, [float(v) for v in imp])), "feature string, importance double")
+def _ranked(model, features: Sequence[str]) -> list[tuple[str, float]]:
+    """(feature, importance), best first, ties by name: one row a feature."""
+    imp = [float(v) for v in model.featureImportances.toArray()]
+    return sorted(zip(features, imp), key=lambda x: (-x[1], x[0]))
+
+
+def _booster(label: str, rounds: int, task: str):
+    kw = {"labelCol": label, "featuresCol": "features", "maxIter": rounds, "maxDepth": 5, "seed": SEED}
+    return GBTClassifier(**kw) if task == "classification" else GBTRegressor(**kw)
+
+
+def top_features(vec: DataFrame, features: Sequence[str], some: Sequence[str], label: str, n: int,
+                 rounds: int = 100, task: str = "classification") -> list[tuple[str, float]]:
+    m = _booster(label, rounds, task).fit(sliced(vec, features, some))
+    return _ranked(m, some)[:n]
 
 
 def importance_topk(df: DataFrame, features: Sequence[str], label: str, n: int,
                     rounds: int = 100) -> DataFrame:
     """top n features by boosted-tree importance (100 trees of depth 5)."""
-    data = df.fillna(0.0, subset=list(features))
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", maxIter=rounds, maxDepth=5, seed=SEED)
-    m = Pipeline(stages=[assembler(features), gbt]).fit(data)
-    imp = importances(m, features, df.sparkSession)
-    return imp.orderBy(F.desc("importance"), "feature").limit(n)
+    top = top_features(vectors(df, features, [label]), features, features, label, n, rounds)
+    return df.sparkSession.createDataFrame(top, "feature string, importance double")
 
 
-def rfe(df: DataFrame, features: Sequence[str], label: str, n: int, step: int = 5,
-        trees: int = 50, depth: int = 5) -> DataFrame:
-    """F8: recursive elimination with a forest; drop the ``step`` weakest per
-    round (fewer in the last) until n remain. Each round is one distributed
-    fit; only the importance vector comes back to the driver."""
-    keep = list(features)
-    data = df.fillna(0.0, subset=list(features)).checkpoint()
+def rfe_list(vec: DataFrame, features: Sequence[str], some: Sequence[str], label: str, n: int, step: int = 5,
+             trees: int = 50, depth: int = 5, task: str = "classification") -> list[str]:
+    """Recursive elimination with a forest: drop the ``step`` weakest per round
+    (fewer in the last) until n remain. Each round is one distributed fit on a
+    slice of the stored vectors."""
+    keep = list(some)
+    forest = RandomForestClassifier if task == "classification" else RandomForestRegressor
     while len(keep) > n:
-        rf = RandomForestClassifier(labelCol=label, featuresCol="features", numTrees=trees,
-                                    maxDepth=depth, seed=SEED)
-        m = Pipeline(stages=[assembler(keep), rf]).fit(data)
-        imp = m.stages[-1].featureImportances.toArray().tolist()
-        drop = min(step, len(keep) - n)
+        m = forest(labelCol=label, featuresCol="features", numTrees=trees, maxDepth=depth,
+                   seed=SEED).fit(sliced(vec, features, keep))
+        imp = m.featureImportances.toArray().tolist()
         order = sorted(range(len(keep)), key=lambda i: (imp[i], keep[i]))
-        gone = {keep[i] for i in order[:drop]}
+        gone = {keep[i] for i in order[:min(step, len(keep) - n)]}
         keep = [f for f in keep if f not in gone]
+    return keep
+
+
+def rfe(df: DataFrame, features: Sequence[str], label: str, n: int, step: int = 5,
+        trees: int = 50, depth: int = 5) -> DataFrame:
+    """F8: recursive feature elimination."""
+    keep = rfe_list(vectors(df, features, [label]), features, features, label, n, step, trees, depth)
     return df.sparkSession.createDataFrame([(f, i) for i, f in enumerate(keep)], "feature string, position int")
 
 
@@ -118,17 +156,24 @@ def rf_importance(df: DataFrame, features: Sequence[str], target: str,
     """random-forest regression importances."""
     rf = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees,
                                maxDepth=depth, seed=SEED)
-    m = Pipeline(stages=[assembler(features), rf]).fit(df.fillna(0.0, subset=list(features)))
-    return importances(m, features, df.sparkSession)
+    m = rf.fit(sliced(vectors(df, features, [target]), features, features))
+    return df.sparkSession.createDataFrame(_ranked(m, features), "feature string, importance double")
 
 
-def train_target(train: DataFrame, features: Sequence[str], label: str, n_features: int,
+def train_target(vec: DataFrame, features: Sequence[str], label: str, n_features: int,
                  families: Sequence[str] = FAMILIES, rounds: int = 300,
                  select_rounds: int = 100) -> tuple[list[str], dict[str, PipelineModel]]:
-    """T8 for one target: importance selection, then one fit per family."""
-    sel = [r["feature"] for r in importance_topk(train, features, label, n_features, select_rounds).collect()]
-    models = {f: fit_model(train, sel, label, f, rounds) for f in families}
-    return sel, models
+    """T8 for one target: importance selection, then one fit per family, all
+    from the labelled rows of the vector table."""
+    data = vec.filter(F.col(label).isNotNull())
+    sel = [f for f, _ in top_features(data, features, features, label, n_features, select_rounds)]
+    return sel, {f: fit_vectors(data, features, sel, label, f, rounds) for f in families}
+
+
+def enough_rows(df: DataFrame, targets: Sequence[str], least: int) -> list[str]:
+    """P10: the targets with at least ``least`` labelled rows (one aggregate)."""
+    n = df.agg(*[F.count(f"target_{t}").alias(t) for t in targets]).first()
+    return [t for t in targets if n[t] >= least]
 
 
 def train_all(train: DataFrame, features: Sequence[str], targets: dict[str, int],
@@ -136,31 +181,34 @@ def train_all(train: DataFrame, features: Sequence[str], targets: dict[str, int]
               threads: int = 6, select_rounds: int = 100
               ) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
     """Fit every target with enough labelled rows, a few at a time."""
-    def one(name):
-        label = f"target_{name}"
-        data = train.filter(F.col(label).isNotNull())
-        if data.count() < min_rows:
-            return name, None
-        return name, train_target(data, features, label, targets[name], families, rounds, select_rounds)
+    names = enough_rows(train, list(targets), min_rows)
+    if not names:
+        return {}
+    vec = vectors(train, features, [f"target_{t}" for t in names])
     with ThreadPoolExecutor(max_workers=threads) as pool:
-        done = dict(pool.map(one, list(targets)))
-    return {k: v for k, v in done.items() if v is not None}
+        return dict(pool.map(lambda t: (t, train_target(vec, features, f"target_{t}", targets[t], families,
+                                                        rounds, select_rounds)), names))
 
 
-def scores_long(models: dict, test: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """One long score table (target, model, keys, y, p) plus the
-    soft-vote ensemble of the fitted families."""
+def scores_long(models: dict, test: DataFrame, keys: Sequence[str], min_rows: int = 100) -> DataFrame:
+    """One stored score table (target, model, keys, y, p) plus the
+    soft-vote ensemble of the fitted families; targets with fewer than
+    ``min_rows`` labelled rows are left out (P10)."""
     from panelforge.operators.evaluate import soft_vote
     parts = []
-    for name, (sel, fams) in models.items():
+    for name in enough_rows(test, list(models), min_rows):
         label = f"target_{name}"
         data = test.filter(F.col(label).isNotNull())
+        sel, fams = models[name]
         for fam, m in fams.items():
             s = score(m, data, sel, [*keys, F.col(label).cast("int").alias("y")])
             parts.append(s.select(F.lit(name).alias("target"), F.lit(fam).alias("model"), *keys, "y", "p"))
+    if not parts:
+        raise ValueError(f"no target has {min_rows} labelled rows to score")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    out = stage(out, "model_scores")
     fams = sorted({f for _, fs in models.values() for f in fs})
     return soft_vote(out, fams, keys=["target", *keys]) if len(fams) > 1 else out
 

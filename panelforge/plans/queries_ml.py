@@ -2,11 +2,13 @@
 
 They use the reference's fast mode (T10: 150 boosting rounds, no ensemble
 refit) and the 21-row direction target unless the operator itself spans all
-targets (``train_all``).
+targets (``train_all``); ``train_gbt_full`` is the 300-round mode.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,10 +17,12 @@ from panelforge.operators import evaluate as E
 from panelforge.operators import filters as P
 from panelforge.operators import selection as S
 from panelforge.operators import train as T
+from panelforge.operators.selector import FeatureSelector
 from panelforge.plans.pipeline import feature_columns
 from panelforge.plans.queries import KEYS, engineered, query
 from panelforge.plans.queries_stats import CUT, report_frame
 from panelforge.session import checkpoint_dir
+from panelforge.sources import io
 
 FAST_ROUNDS = 150
 NAME = "direction_21d"
@@ -34,10 +38,10 @@ def split_frames(spark, sf_dir) -> tuple[DataFrame, DataFrame, list[str]]:
     return train, test, feats
 
 
-def _family_scores(spark, sf_dir, family: str) -> DataFrame:
+def _family_scores(spark, sf_dir, family: str, rounds: int = FAST_ROUNDS) -> DataFrame:
     train, test, feats = split_frames(spark, sf_dir)
     data = train.filter(F.col(LABEL).isNotNull())
-    m = T.fit_model(data, feats, LABEL, family, FAST_ROUNDS)
+    m = T.fit_model(data, feats, LABEL, family, rounds)
     t = test.filter(F.col(LABEL).isNotNull())
     s = T.score(m, t, feats, [*KEYS, F.col(LABEL).cast("int").alias("y")])
     return rnd(s.select(F.lit(NAME).alias("target"), F.lit(family).alias("model"), *KEYS, "y", "p"))
@@ -49,6 +53,12 @@ def q_train_gbt(spark, sf_dir):
     return _family_scores(spark, sf_dir, "gbt")
 
 
+@query("train_gbt_full")
+def q_train_gbt_full(spark, sf_dir):
+    """T4: boosted trees with the full 300 rounds."""
+    return _family_scores(spark, sf_dir, "gbt", 300)
+
+
 @query("train_rf")
 def q_train_rf(spark, sf_dir):
     """T5 (re-aimed): random forest."""
@@ -64,11 +74,13 @@ def q_train_lr(spark, sf_dir):
 @query("train_all")
 def q_train_all(spark, sf_dir):
     """T8/T9/P10 + E13: every target (per-target feature counts), three
-    families and their soft vote, scored out of time → result table."""
+    families and their soft vote; accuracy, AUC and F1 in sample (``train``)
+    and out of time (``test``)."""
     train, test, feats = split_frames(spark, sf_dir)
     models = T.train_all(train, feats, T.N_FEATURES, rounds=FAST_ROUNDS)
-    scores = T.scores_long(models, test, KEYS)
-    return rnd(E.results_table(scores))
+    parts = [E.results_table(io.stage(T.scores_long(models, df, KEYS), "voted")).withColumn("sample", F.lit(name))
+             for name, df in (("train", train), ("test", test))]
+    return rnd(parts[0].unionByName(parts[1]))
 
 
 @query("importance_topk")
@@ -87,20 +99,33 @@ def q_rfe(spark, sf_dir):
 
 @query("select_features")
 def q_select_features(spark, sf_dir):
-    """F9 'all': variance → correlation → mutual-information top 30 →
-    importance top 30 intersected; at most 30 kept (importance cut)."""
+    """F9 'all': variance, correlation, mutual information and importance, one
+    after the other; at most 30 features."""
+    train, _, feats = split_frames(spark, sf_dir)
+    return FeatureSelector("all", 30).fit(train, feats, LABEL).table(spark)
+
+
+def _select(spark, sf_dir, method: str) -> DataFrame:
     train, _, feats = split_frames(spark, sf_dir)
-    data = P.fill_zero(train.filter(F.col(LABEL).isNotNull()), feats).checkpoint()
-    sel = [r["feature"] for r in S.variance_filter(data, feats).orderBy("position").collect()]
-    kept = {r["feature"] for r in S.correlation_filter(data, sel).collect()}
-    sel = [f for f in sel if f in kept]
-    mi = {r["feature"] for r in S.top_by(S.mutual_info(data, sel, LABEL), "mi", 30).collect()}
-    sel = [f for f in sel if f in mi]
-    imp = {r["feature"] for r in T.importance_topk(data, sel, LABEL, 30).collect()}
-    sel = [f for f in sel if f in imp]
-    if len(sel) > 30:
-        sel = [r["feature"] for r in T.importance_topk(data, sel, LABEL, 30).collect()]
-    return spark.createDataFrame([(f, i) for i, f in enumerate(sel)], "feature string, position int")
+    return FeatureSelector(method, 30).fit(train, feats, LABEL).table(spark).select("feature")
+
+
+@query("select_variance")
+def q_select_variance(spark, sf_dir):
+    """F9 'variance'."""
+    return _select(spark, sf_dir, "variance")
+
+
+@query("select_correlation")
+def q_select_correlation(spark, sf_dir):
+    """F9 'correlation'."""
+    return _select(spark, sf_dir, "correlation")
+
+
+@query("select_mutual_info")
+def q_select_mutual_info(spark, sf_dir):
+    """F9 'mutual_info'."""
+    return _select(spark, sf_dir, "mutual_info")
 
 
 @query("rf_importance")
@@ -112,17 +137,22 @@ def q_rf_importance(spark, sf_dir):
 
 def _report(spark, sf_dir) -> DataFrame:
     df, feats = report_frame(spark, sf_dir)
-    df = df.checkpoint()
     corrs = S.corr_with_target(df, feats, "target_return_21d", top=None)
     return S.feature_report(corrs, T.rf_importance(df, feats, "target_return_21d"))
 
 
 @query("feature_report")
 def q_feature_report(spark, sf_dir):
-    """|corr| and forest importance per feature."""
+    """|corr| and forest importance per feature."""
     return rnd(_report(spark, sf_dir))
 
 
+@query("feature_top20")
+def q_feature_top20(spark, sf_dir):
+    """The 20 features with the largest forest importance."""
+    return rnd(_report(spark, sf_dir).orderBy(F.desc("importance"), "feature").limit(20))
+
+
 @query("feature_duel")
 def q_feature_duel(spark, sf_dir):
     """sma_20 (raw level) against price_to_sma20 (ratio) in the report."""
@@ -136,7 +166,7 @@ def q_model_roundtrip(spark, sf_dir):
     train, test, feats = split_frames(spark, sf_dir)
     data = train.filter(F.col(LABEL).isNotNull())
     models = {NAME: (feats, {"lr": T.fit_model(data, feats, LABEL, "lr")})}
-    path = f"{checkpoint_dir(spark)}/models"
+    path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
     T.save_models(models, path, spark)
     loaded = T.load_model(path, NAME, "lr")
     t = test.filter(F.col(LABEL).isNotNull())
@@ -148,12 +178,12 @@ def q_model_roundtrip(spark, sf_dir):
 
 @query("score_batch")
 def q_score_batch(spark, sf_dir):
-    """Stored models scored on the test period (selected features read
-    back from the stored table)."""
+    """A stored model scored on the test period with its target's own
+    selected features, read back from the stored table."""
     train, test, feats = split_frames(spark, sf_dir)
-    data = train.filter(F.col(LABEL).isNotNull())
-    path = f"{checkpoint_dir(spark)}/models_batch"
-    T.save_models({NAME: (feats, {"lr": T.fit_model(data, feats, LABEL, "lr")})}, path, spark)
+    path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
+    vec = T.vectors(train.filter(F.col(LABEL).isNotNull()), feats, [LABEL])
+    T.save_models({NAME: T.train_target(vec, feats, LABEL, T.N_FEATURES[NAME], ("lr",))}, path, spark)
     sel = [r["feature"] for r in spark.read.parquet(f"{path}/selected_features")
            .filter(F.col("target") == NAME).orderBy("position").collect()]
     m = T.load_model(path, NAME, "lr")

@@ -180,17 +180,78 @@ def test_label_purge_keeps_only_known_labels(spark):
     assert kept == [day(0)]
 
 
-def test_scaler_exact_path_equals_buffer_path(spark):
+def test_scaler_against_sorted_values(spark):
     import numpy as np
     rng = np.random.default_rng(5)
-    rows = [(t, day(i), float(v) if v > -1.5 else None)
-            for t, n in [("A", 300), ("B", 40), ("C", 8)] for i, v in enumerate(rng.normal(size=n))]
-    df = spark.createDataFrame(rows, "ticker string, date date, x double")
-    a = {(r["ticker"], r["feature"]): (r["center"], r["scale"], r["n_train"])
-         for r in Z.fit_scaler(df, ["x"], "2030-01-01", method="exact").collect()}
-    b = {(r["ticker"], r["feature"]): (r["center"], r["scale"], r["n_train"])
-         for r in Z.fit_scaler(df, ["x"], "2030-01-01", method="buffer").collect()}
-    assert a.keys() == b.keys() == {("A", "x"), ("B", "x")}
-    for k in a:
-        assert a[k][0] == pytest.approx(b[k][0], abs=1e-12) and a[k][1] == pytest.approx(b[k][1], abs=1e-12)
-        assert a[k][2] == b[k][2]
+    data = {t: [float(v) if v > -1.5 else None for v in rng.normal(size=n)] for t, n in [("A", 300), ("B", 40), ("C", 8)]}
+    df = spark.createDataFrame([(t, day(i), v) for t, vs in data.items() for i, v in enumerate(vs)],
+                               "ticker string, date date, x double")
+    got = {r["ticker"]: r for r in Z.fit_scaler(df, ["x"], "2030-01-01").collect()}
+    assert set(got) == {"A", "B"}
+    for t, r in got.items():
+        v = [0.0 if x is None else x for x in data[t]]
+        lo, mid, hi = np.percentile(v, [25, 50, 75])
+        assert (r["center"], r["scale"], r["n_train"]) == (pytest.approx(mid, abs=1e-12), pytest.approx(hi - lo, abs=1e-12), len(v))
+
+
+def test_n2_nan_becomes_null(spark):
+    from panelforge.functions.nulls import clean_doubles, flag
+    df = spark.createDataFrame([(1, float("nan")), (2, 1.0), (3, None)], "i int, x double")
+    got = {r["i"]: (r["x"], r["f"]) for r in clean_doubles(df).withColumn("f", flag(F.col("x") > 0)).collect()}
+    assert got == {1: (None, 0), 2: (1.0, 1), 3: (None, 0)}
+
+
+def test_n12_filled_and_unfilled_changes(spark):
+    df = series(spark, [10.0, None, 20.0])
+    assert col(W.pct_change(df, "adj_close", [1]), "return_1d") == [None, None, None]
+    assert col(W.pct_change(df, "adj_close", [1], fill=True), "return_1d") == [None, 0.0, 1.0]
+
+
+def test_n13_n14_benchmarks_stay_within_a_ticker(spark):
+    from panelforge.operators.benchmark import benchmark_features
+    from panelforge.sources.bars import BENCHMARKS
+    bench = spark.createDataFrame([(t, day(i), 100.0 + i) for t in BENCHMARKS.values() for i in range(30)],
+                                  "ticker string, date date, close double")
+    rows = [("A", day(i), 10.0, 0.5) for i in range(20, 30)] + [("B", day(40), 10.0, 0.25)]
+    df = spark.createDataFrame(rows, "ticker string, date date, close double, return_21d double")
+    got = benchmark_features(df, bench)
+    b = got.filter("ticker = 'B'").first()
+    assert b["vix_level"] is None and b["relative_strength_spy"] is None     # nothing carried over from A
+    a = got.filter("ticker = 'A'").orderBy("date").collect()[-1]
+    assert a["relative_strength_spy"] == pytest.approx(0.5 - (129.0 / 108.0 - 1))
+
+
+def test_n20_universe_drops_index_rows(spark):
+    from panelforge.operators.filters import universe_anti, universe_semi
+    df = spark.createDataFrame([("A",), ("^IDX",), ("A",)], "ticker string")
+    uni = spark.createDataFrame([("A",), ("A",)], "ticker string")
+    assert universe_semi(df, uni).count() == 2 and universe_anti(df, uni).count() == 1
+
+
+def test_p10_thin_targets_are_not_scored(spark):
+    from panelforge.operators.train import enough_rows
+    df = spark.createDataFrame([(1, None)] * 99 + [(1, 1)], "target_a int, target_b int")
+    assert enough_rows(df, ["a", "b"], 100) == ["a"]
+
+
+def test_labels_purged_for_all_horizons(spark):
+    from panelforge.operators.labels import purge_labels
+    df = labels(series(spark, [float(i + 1) for i in range(10)]), horizons=[("1d", 1), ("5d", 5)])
+    got = purge_labels(df, str(day(6)), horizons=[("1d", 1), ("5d", 5)]).orderBy("date").collect()
+    assert len(got) == 6
+    assert [r["target_direction_5d"] for r in got] == [1, None, None, None, None, None]
+    assert [r["target_direction_1d"] for r in got] == [1, 1, 1, 1, 1, None]
+
+
+def test_selector_needs_fit_and_keeps_its_selection(spark):
+    from panelforge.operators.selector import FeatureSelector
+    df = spark.createDataFrame([(i % 2, float(i % 2), 0.0, float(i)) for i in range(60)], "y int, a double, b double, c double")
+    s = FeatureSelector("variance")
+    with pytest.raises(ValueError):
+        s.transform(df)
+    assert s.fit(df, ["a", "b", "c"], "y").selected == ["a", "c"]
+    assert s.transform(df, ["y"]).columns == ["y", "a", "c"]
+    assert FeatureSelector("mutual_info", 1).fit(df, ["a", "b", "c"], "y").selected == ["a"]
+    assert FeatureSelector("importance", 1, rounds=2, task="regression").fit(df, ["a", "b", "c"], "c").selected == ["a"]
+    with pytest.raises(ValueError):
+        FeatureSelector("magic")
