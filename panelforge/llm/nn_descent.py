@@ -12,7 +12,8 @@ Every pair that a round computes at or above the threshold is kept as an edge
 (a task sends the star forest of its edges, never all pairs). Components of
 the edges are then counted exactly: members meet chunk against chunk, and each
 gets the number of vectors linked to it, also in components far larger than
-any list. The recall audit compares a bounded sample of vectors with all
+any list. Rounds end when no unsaturated list finds
+another link. The recall audit compares a bounded sample of vectors with all
 vectors of their label; while links are missing, another set of sign codes and
 another descent add edges.
 
@@ -108,21 +109,23 @@ def best_pairs(node: np.ndarray, x: np.ndarray, keep: int, threshold: float, wor
     c = top.ravel()
     ok = s[r, c] > -1.5
     r, c = r[ok], c[ok]
-    return (node[r], node[c], s[r, c]), (node[i], node[j])
+    # a neighbour at the threshold for a list that still has entries below it
+    fresh = (s[r, c] >= threshold) & (worst[r] < threshold if worst is not None else True)
+    return (node[r], node[c], s[r, c], fresh), (node[i], node[j])
 
 
-PAIRS = "a long, b long, s double, edge boolean"
+PAIRS = "a long, b long, s double, edge boolean, fresh boolean"
 
 
 def pair_frame(found, edges, threshold: float) -> pd.DataFrame:
     """Neighbour candidates, and the star forest of the edges."""
-    a, b, s = (np.concatenate(z) if z else np.zeros(0) for z in zip(*found)) if found else ([], [], [])
-    out = pd.DataFrame({"a": a, "b": b, "s": s, "edge": False})
+    a, b, s, fresh = (np.concatenate(z) for z in zip(*found)) if found else ([], [], [], [])
+    out = pd.DataFrame({"a": a, "b": b, "s": s, "edge": False, "fresh": fresh})
     if edges:
         n, r = forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
         m = n != r
-        out = pd.concat([out, pd.DataFrame({"a": n[m], "b": r[m], "s": threshold, "edge": True})])
-    return out.astype({"a": "int64", "b": "int64", "s": "float64", "edge": "bool"})
+        out = pd.concat([out, pd.DataFrame({"a": n[m], "b": r[m], "s": threshold, "edge": True, "fresh": False})])
+    return out.astype({"a": "int64", "b": "int64", "s": "float64", "edge": "bool", "fresh": "bool"})
 
 
 def start(vectors: DataFrame, seeds: list[int], threshold: float) -> DataFrame:
@@ -210,11 +213,9 @@ def descend(vectors: DataFrame, seeds: list[int], threshold: float, rounds: int)
     for _ in range(rounds):
         pairs = stage(refine(vectors, graph, threshold), "nn_refine")
         edges = edges.unionByName(pairs.where("edge").select("a", "b"))
-        # neighbours at the threshold that are new to a list which had room
-        fresh = pairs.where((~F.col("edge")) & (F.col("s") >= threshold)).limit(1).count()
-        graph = lists(pairs, graph, threshold)
-        if not fresh:
+        if pairs.where("fresh").isEmpty():     # no list that had room found a link
             break
+        graph = lists(pairs, graph, threshold)
     return stage(edges.distinct(), "nn_edges")
 
 

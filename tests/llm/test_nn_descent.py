@@ -83,10 +83,10 @@ def test_odd_rows(spark):
 def test_lists_get_only_better_and_new_neighbours():
     x = np.array([[1.0, 0], [0.99, 0.141067], [0, 1.0]])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    (a, b, _), (p, q) = best_pairs(np.array([5, 6, 7]), x, 2, 0.98, np.array([-2.0, 0.5, 0.5]),
+    (a, b, _, fresh), (p, q) = best_pairs(np.array([5, 6, 7]), x, 2, 0.98, np.array([-2.0, 0.5, 0.5]),
                                    [np.array([7]), np.array([]), np.array([])])
     assert set(zip(a.tolist(), b.tolist())) == {(5, 6), (6, 5)}
-    assert list(zip(p.tolist(), q.tolist())) == [(5, 6)]
+    assert list(zip(p.tolist(), q.tolist())) == [(5, 6)] and fresh.all()
 
 
 def test_tables_grow_with_the_block():
