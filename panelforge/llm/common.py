@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ def claim(name: str, clear: Callable[[], None]) -> None:
                 drop()
         _OWNER[:] = [name]
         gc.collect()
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)
@@ -47,7 +49,7 @@ def prepare(spark) -> None:
     """Session settings: UTC, and batches of whole texts that stay small in a
     Python worker (the default of 10,000 rows is meant for numbers)."""
     apply_conf(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
 
 
 def small_side(df: DataFrame, row_bytes: int) -> DataFrame:

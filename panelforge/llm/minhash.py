@@ -38,7 +38,7 @@ HASHES = BANDS * ROWS
 SURE = 0.66
 BUCKET_CHUNK = 1024    # classes of a bucket that meet in one cell, per side
 SET_CHUNK = 256        # full sets that meet in one cell, per side
-WORDS_KEPT = 250_000
+WORDS_KEPT = 150_000
 
 _RNG = np.random.default_rng(9)
 _MUL = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32) | np.uint32(1)

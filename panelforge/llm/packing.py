@@ -36,7 +36,7 @@ from panelforge.sources.io import stage
 
 WINDOW = 4096
 SHORTEST = 512                 # shortest tier that packs several documents
-BUFFER_TOKENS = 2_000_000      # tokens a task holds at a time
+BUFFER_TOKENS = 1_000_000      # tokens a task holds at a time
 STEP_TOKENS = 64 * WINDOW      # tokens of a step group
 
 PIECES = ("id long, z boolean, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "

@@ -16,8 +16,8 @@ import numpy as np
 
 from panelforge.llm.common import claim
 
-WORDS_KEPT = 350_000    # entries of the caches; a full cache starts again
-PIECES_KEPT = 250_000
+WORDS_KEPT = 300_000    # entries of the caches; a full cache starts again
+PIECES_KEPT = 200_000
 
 # Words made of these only: printable ASCII but the apostrophe, and the
 # letters of Latin-1. Their pieces are letters, single digits, runs of marks.
