@@ -15,7 +15,7 @@ from panelforge.sources.io import stage
 STAGES = [
     ("language_id", S.language_id),
     ("exact_dedup", S.exact),
-    ("minhash_near_dedup", S.near),
+    ("minhash_near_dedup", S.near_stage),
     ("source_mixing", S.mixing_stage),
     ("packing", S.packing),
 ]

@@ -18,6 +18,7 @@ from panelforge.llm.packing import pack
 from panelforge.sources.io import stage
 
 LEAST_COSINE = 0.05   # below this a text looks like none of the languages
+NEAR_PERCENT = 80     # similarity of near copies in the pipeline (op9's own contract is 85)
 
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,17 +49,22 @@ def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _picked(docs, left, same)
 
 
-def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near(spark, docs: DataFrame, sf_dir: str, percent: int = minhash.PERCENT) -> DataFrame:
     """One document of each component of near copies: the smallest id (null
     ids last), of rows that repeat it one."""
     prepare(spark)
-    c = stage(minhash.near_components(docs), "near_rows")
+    c = stage(minhash.near_components(docs, percent=percent), "near_rows")
     first = c.groupBy("comp").agg(F.min(F.struct(F.col("id").isNull().alias("z"), "id", "uid", "th")).alias("k"))
     left = first.select("k.uid", "k.id", "k.th")
     same = c.groupBy("id", "th").agg(F.count(F.lit(1)).alias("copies"))
     return _picked(docs, left, same)
 
 
+def near_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``near`` at the pipeline's own similarity."""
+    return near(spark, docs, sf_dir, NEAR_PERCENT)
+
+
 def _picked(docs: DataFrame, left: DataFrame, same: DataFrame) -> DataFrame:
     """Rows of docs that ``left`` (uid, id, th) names; ``same`` counts the rows
     of docs per (id, th)."""

@@ -63,6 +63,19 @@ def test_stages_against_brute_force(spark):
     assert sum(r.length for r in p) == want
 
 
+def test_near_stage_joins_pairs_from_080_to_085(spark):
+    rows = []
+    for g in range(12):
+        w = [f"v{g}x{i}" for i in range(49 + g)]     # 45 + g shingles, five of them differ
+        other = [*w[:20], "zzz", *w[21:]]
+        same = len(w) - 9
+        assert 0.80 <= same / (same + 10) < 0.85
+        rows += [(2 * g, " ".join(w), "en", "a", 0), (2 * g + 1, " ".join(other), "en", "a", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id for r in dict(P.STAGES)["minhash_near_dedup"](spark, d, "").collect()}
+    assert got == {i for i, _, low in near_exact(rows, 80) if i == low} == set(range(0, 24, 2))
+
+
 def test_run_equals_the_stages_in_a_row(spark, tmp_path):
     rows = corpus()
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
