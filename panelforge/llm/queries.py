@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm.common import prepare
 from panelforge.llm.exact_dedup import exact_dedup
+from panelforge.llm.fim import fill_in_middle
 from panelforge.llm.langid import language_id
 from panelforge.llm.minhash import near_dedup
 from panelforge.llm.mixing import mix
@@ -124,3 +125,32 @@ def op4_path_template_filter(spark, sf_dir):
 def op2_role_repair(spark, sf_dir):
     """Cheapest legal reading of every conversation, turn by turn."""
     return repair_roles(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_piece_table_fim(spark, sf_dir):
+    """Fill-in-middle sequences of all documents, as digests."""
+    return fill_in_middle(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_piece_table_fim"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+k AS (SELECT *, ('0x' || substr(h, 1, 8))::UBIGINT % (n + 1) AS h1, ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1) AS h2,
+             ('0x' || substr(h, 17, 8))::UBIGINT % 100 AS h3, ('0x' || substr(h, 25, 8))::UBIGINT % 100 AS h4 FROM d),
+f AS (SELECT *, least(h1, h2)::BIGINT AS a, greatest(h1, h2)::BIGINT AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+                  WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM k),
+o AS (SELECT *, CASE form WHEN 'plain' THEN t
+                          WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a)
+                          ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a)
+                     END AS output FROM f),
+r AS (SELECT *, instr(output, '<P>') AS p, instr(output, '<S>') AS s, instr(output, '<M>') AS m FROM o)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+                        WHEN 'psm' THEN substr(output, 4, s - 4) || substr(output, m + 3) || substr(output, s + 3, m - s - 3)
+                        ELSE substr(output, p + 3, m - p - 3) || substr(output, m + 3) || substr(output, 4, p - 4)
+              END) AS restored_sha256
+FROM r
+"""
