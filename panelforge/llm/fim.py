@@ -143,10 +143,7 @@ def fill_in_middle(docs: DataFrame, key: str = "doc_id", text: str = "text", out
                 row = (i, z, len(t), form, *((None, None) if form == "plain" else (a, b - a)),
                        table.sha256(), parse(sequence, form).sha256())
                 out.append((*row, sequence, table.pieces) if outputs else row)
-            p = pd.DataFrame(out, columns=names)
-            for c in ("prefix_chars", "middle_chars"):
-                p[c] = p[c].astype("Int64")
-            yield p
+            yield pd.DataFrame(out, columns=names, dtype=object)
 
     schema = ("id long, z boolean, n long, form string, prefix_chars long, middle_chars long, "
               "output_sha256 string, restored_sha256 string")

@@ -8,12 +8,14 @@ from panelforge.llm.common import prepare
 from panelforge.llm.exact_dedup import exact_dedup
 from panelforge.llm.fim import fill_in_middle
 from panelforge.llm.langid import language_id
+from panelforge.llm.license_join import PHRASES, TEMPLATES, license_scan
 from panelforge.llm.minhash import near_dedup
 from panelforge.llm.mixing import mix
 from panelforge.llm.nn_descent import near_vectors
 from panelforge.llm.packing import pack
 from panelforge.llm.role_repair import repair_roles
 from panelforge.llm.secret_scan import secret_scan
+from panelforge.llm.spelling import spelling_variants
 from panelforge.llm.toxicity import toxicity
 from panelforge.llm.url_tree import judge_urls
 
@@ -154,3 +156,88 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS pre
               END) AS restored_sha256
 FROM r
 """
+
+
+@query
+def op12_license_set_join(spark, sf_dir):
+    """License phrases and notices in all documents."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def _values(rows) -> str:
+    return ", ".join("(%s)" % ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) for r in rows)
+
+
+# Every block against every template, without order or filters.
+ORACLE["op12_license_set_join"] = r"""
+WITH word AS MATERIALIZED (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS re, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up,
+                                  'abcdefghijklmnopqrstuvwxyz' AS low),
+d AS MATERIALIZED (
+  SELECT row_number() OVER () AS uid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+raw(label, thr, body) AS (VALUES %s),
+t0 AS (SELECT row_number() OVER () AS no, label, thr,
+              regexp_extract_all(translate(body, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM raw),
+t AS (SELECT no, label, list_distinct(w) AS tw, ceil(thr * len(list_distinct(w)) - 1e-9) AS need,
+             (2 * pow(2, ceil(log2(len(w)))))::BIGINT AS win FROM t0),
+b AS (SELECT uid, win, list_distinct(w[s + 1 : s + win]) AS b
+      FROM (SELECT uid, w, win, unnest(generate_series(0, len(w) - 1, win // 2)) AS s
+            FROM d, (SELECT DISTINCT win FROM t) WHERE len(w) > 0)),
+m AS (SELECT uid, label, len(list_intersect(b, tw)) / len(tw) AS c FROM b JOIN t USING (win)
+      WHERE len(list_intersect(b, tw)) >= need),
+ph(label, p) AS (VALUES %s),
+ps AS (SELECT label, string_split(p, ' ') AS p FROM ph),
+h AS (SELECT uid, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS pos FROM d, ps),
+base AS (SELECT uid, count(*) AS n, min(pos) AS a, max(pos) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+         FROM h GROUP BY uid),
+al AS (SELECT uid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(c) AS best
+       FROM (SELECT uid, label, c FROM m UNION ALL SELECT uid, label, 1.0 FROM h) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, base.a AS first_word, base.z AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, coalesce(best, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN base USING (uid) LEFT JOIN al USING (uid)
+""" % (_values(TEMPLATES), _values(PHRASES))
+
+
+@query
+def op13_fst_spelling_variants(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+# crc32 of every (document, run) byte by byte, all pairs through deleted letters.
+ORACLE["op13_fst_spelling_variants"] = r"""
+WITH RECURSIVE
+tab AS (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+        FROM range(256) g(i)),
+occ AS (SELECT doc_id, w, count(*) AS n FROM (
+          SELECT doc_id, unnest(regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w
+          FROM documents) WHERE length(w) >= 5 GROUP BY ALL),
+num AS MATERIALIZED (SELECT row_number() OVER () AS id, w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS h FROM occ),
+crc AS (SELECT id, h, 0 AS i, 4294967295 AS c FROM num
+        UNION ALL
+        SELECT id, h, crc.i + 1, xor(c >> 8, v) FROM crc
+        JOIN tab ON tab.i = xor(c, ('0x' || substr(h, 2 * crc.i + 1, 2))::BIGINT) & 255 WHERE 2 * crc.i < length(h)),
+cut AS (SELECT w, n, xor(c, 4294967295) AS hash FROM crc JOIN num USING (id) WHERE 2 * i = length(crc.h)),
+voc AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT CASE WHEN hash % 97 = 0 THEN substr(w, 1, hash % length(w)) || substr(w, hash % length(w) + 2) ELSE w END AS word, n
+    FROM cut) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+del AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest
+        FROM (SELECT word, n, unnest(range(length(word))) AS k FROM voc)),
+near AS MATERIALIZED (
+  SELECT DISTINCT a.word, a.n, b.word AS other, b.n AS m FROM del a JOIN del b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT v.word, v.n, d.word, d.n FROM voc v JOIN del d ON v.word = d.rest
+  UNION SELECT d.word, d.n, v.word, v.n FROM voc v JOIN del d ON v.word = d.rest),
+best AS MATERIALIZED (
+  SELECT word, n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY m DESC, other) AS r, count(*) OVER (PARTITION BY word) AS n_near FROM near)
+  WHERE r = 1),
+way AS (SELECT word, word AS root FROM voc
+        UNION ALL SELECT way.word, best.form FROM way JOIN best ON way.root = best.word WHERE best.form IS NOT NULL),
+ends AS (SELECT way.word, root FROM way LEFT JOIN best ON root = best.word WHERE form IS NULL)
+SELECT word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM voc LEFT JOIN best USING (word) JOIN ends USING (word)
+"""
