@@ -30,6 +30,7 @@ class PanelWindow:
     key: str = "ticker"
     time: str = "date"
     extra: tuple[str, ...] = field(default_factory=tuple)
+    lead_by: tuple[str, ...] = field(default_factory=tuple)   # sorts before time, rising with it
 
     @property
     def parts(self) -> list[str]:
@@ -37,7 +38,7 @@ class PanelWindow:
 
     @property
     def ordered(self) -> WindowSpec:
-        return Window.partitionBy(*self.parts).orderBy(self.time)
+        return Window.partitionBy(*self.parts).orderBy(*self.lead_by, self.time)
 
     def rows(self, n: int) -> WindowSpec:
         """The last n rows up to and including the current one."""

@@ -5,42 +5,53 @@ ticker with a third of all rows would sit in one task's memory. Here:
 
 1. values collapse to (group, value, multiplicity) — map-side combined, so
    heavy ties (for example the zeros of a NULL fill) become one row;
-2. each group's distinct values are cut into ranges of about RANGE_ROWS at
-   approximate quantiles (one small row per group);
+2. the distinct rows are range-partitioned by (group, value) into parts of
+   about RANGE_ROWS (``ranged``): Spark samples the cut points, so a group gets
+   parts in proportion to its distinct values, however many there are;
 3. the number of rows below each distinct value is a running sum inside its
-   (group, range) plus the totals of the lower ranges (a small table);
+   (group, part) plus the totals of the group's lower parts (a small table);
 4. the rows at ranks floor(k) and floor(k) + 1, k = q * (n - 1), are picked
    and interpolated linearly (numpy's and Spark's ``percentile`` rule).
 
-Every window holds at most one range of one group's distinct values.
+Every window holds at most one part of one group's distinct values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RANGE_ROWS = 50_000   # distinct values of a group that one window holds
+from panelforge.sources.io import stage
 
+RANGE_ROWS = 50_000   # rows of a part, about
 
-def range_count(distinct: DataFrame, by: Sequence[str], rows: int = RANGE_ROWS) -> int:
-    """Ranges so that the group with the most distinct values has about
-    ``rows`` of them in each (``distinct`` is materialised; one small aggregate)."""
-    most = distinct.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
-    return min(10_000, -(-most // rows))
 
+def ranged(df: DataFrame, by: Sequence[str], name: str, out: str, parts: int | None = None,
+           rows: int = RANGE_ROWS) -> DataFrame:
+    """``df`` stored in the order of ``by``, cut into parts of about ``rows`` rows
+    whose number (rising with ``by``) is ``out``. Rows that agree in ``by`` lie in one
+    part."""
+    if parts is None:
+        df = stage(df, name)
+        parts = max(1, -(-df.count() // rows))
+    return stage(df.repartitionByRange(parts, *by).withColumn(out, F.spark_partition_id()), name)
 
-def cut_points(distinct: DataFrame, by: Sequence[str], value: str, ranges: int, out: str) -> DataFrame:
-    """Adds the range number of each row's value, by approximate quantiles of
-    its group (one row a group, joined as Spark sees fit)."""
-    if ranges <= 1:
-        return distinct.withColumn(out, F.lit(0))
-    cuts = F.array(*[F.lit(k / ranges) for k in range(1, ranges)])
-    bounds = distinct.groupBy(*by).agg(F.percentile_approx(value, cuts, max(1000, 10 * ranges)).alias("__b"))
-    return distinct.join(bounds, list(by)).withColumn(
-        out, F.size(F.filter(F.col("__b"), lambda b: b < F.col(value)))).drop("__b")
+
+def below(df: DataFrame, by: Sequence[str], order: Sequence[str], weight: Column, part: str, out: str,
+          inclusive: bool = False) -> DataFrame:
+    """Adds the sum of ``weight`` over the rows of the group ``by`` that come
+    before the row in ``order`` (and itself when ``inclusive``). ``df`` is the
+    outcome of ``ranged`` with by + order, so a window holds one part."""
+    by = list(by)
+    d = df.withColumn("__w", weight)
+    per = d.groupBy(*by, part).agg(F.sum("__w").alias("__pw"))
+    off = F.sum("__pw").over(Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select(*by, part, F.coalesce(off, F.lit(0)).alias("__off"))
+    inner = Window.partitionBy(*by, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = d.join(per, [*by, part])
+    return d.withColumn(out, F.col("__off") + F.coalesce(F.sum("__w").over(inner), F.lit(0))).drop("__w", "__off")
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[float],
@@ -49,18 +60,10 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, qs: Sequence[f
     ``value`` (NULLs ignored) in each group."""
     by = list(by)
     d = (df.filter(F.col(value).isNotNull())
-         .groupBy(*by, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
-         .checkpoint())
-    d = cut_points(d, by, "__x", ranges or range_count(d, by), "__r")
-    per = d.groupBy(*by, "__r").agg(F.sum("__c").alias("__rc"))
-    per = per.select(
-        *by, "__r",
-        F.coalesce(F.sum("__rc").over(Window.partitionBy(*by).orderBy("__r").rowsBetween(
-            Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__rc").over(Window.partitionBy(*by)).alias("__n"))
-    inner = Window.partitionBy(*by, "__r").orderBy("__x").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(per, by + ["__r"]).withColumn(
-        "__lo", F.col("__off") + F.coalesce(F.sum("__c").over(inner), F.lit(0)))
+         .groupBy(*by, F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__c")))
+    d = ranged(d, [*by, "__x"], "quantiles", "__r", ranges)
+    total = d.groupBy(*by).agg(F.sum("__c").alias("__n"))
+    d = below(d, by, ["__x"], F.col("__c"), "__r", "__lo").join(total, by)
     # this distinct value covers ranks [__lo, __lo + __c - 1]
     aggs = [F.first("__n").alias("n")]
     for i, q in enumerate(qs):

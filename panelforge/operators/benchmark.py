@@ -18,8 +18,8 @@ from pyspark.sql.types import DateType
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import div
-from panelforge.operators.carry import forward_fill
-from panelforge.operators.halo import positions, with_halo
+from panelforge.operators.carry import Fill
+from panelforge.operators.halo import with_halo
 from panelforge.operators.market import rolling_beta_col
 from panelforge.sources.bars import BENCHMARKS
 from panelforge.sources.io import stage
@@ -101,9 +101,9 @@ def benchmark_features(df: DataFrame, bench: DataFrame, pw: PanelWindow = PW,
     ``df`` needs close and return_21d. Left join by date, then per-ticker
     forward fill of the five series features (reference holiday handling).
     """
-    table = series_table(bench, time=pw.time)
-    out = benchmark_join(positions(df, pw), table, ["nasdaq_close", *FILLED], pw.time)
-    out = forward_fill(out, {**{c: c for c in FILLED}, "close": "__fs", "nasdaq_close": "__fb"}, pw)
+    table = stage(series_table(bench, time=pw.time), "series")   # one row a date, read by two branches
+    out = benchmark_join(df, table, ["nasdaq_close", *FILLED], pw.time)
+    fill = Fill({**{c: c for c in FILLED}, "close": "__fs", "nasdaq_close": "__fb"})
 
     def frames(d: DataFrame, w: PanelWindow) -> DataFrame:
         # beta vs the broad index: filled daily changes of both closes, per ticker
@@ -111,7 +111,7 @@ def benchmark_features(df: DataFrame, bench: DataFrame, pw: PanelWindow = PW,
         d = d.withColumn("__bret", div(F.col("__fb"), w.lag("__fb", 1)) - 1)
         return d.withColumn("beta_nasdaq", rolling_beta_col("__sret", "__bret", n_beta, w))
 
+    out = with_halo(out, frames, pw, n_beta + 1, states=[fill])
     out = out.withColumn("relative_strength_nasdaq", F.col("return_21d") - F.col("nasdaq_return_1m"))
     out = out.withColumn("relative_strength_spy", F.col("return_21d") - F.col("spy_return_1m"))
-    out = with_halo(out, frames, pw, n_beta + 1)
-    return out.drop("__sret", "__bret", "__fs", "__fb", "nasdaq_close", *([] if "__gpos" in df.columns else ["__gpos"]))
+    return out.drop("__sret", "__bret", "__fs", "__fb", "nasdaq_close")

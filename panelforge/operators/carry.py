@@ -1,10 +1,17 @@
-"""State carried between buckets: forward fill (P8) and EMA.
+"""State carried between periods: forward fill (P8), EMA (W12), MACD.
 
 A forward fill or a recursion reaches back without bound, so a halo cannot
-hold what it needs. Each bucket of a series is reduced to a small summary (its
-last value, or how it maps the value it receives to the value it hands on);
-the summaries - one row per ticker and BUCKET rows - are scanned per ticker,
-and each bucket's incoming state is joined back by (ticker, bucket).
+hold what it needs. Each period of a series (at most 366 rows, see ``halo``)
+is folded into a summary: its last value, or the affine map
+
+    value at its end = alpha * value received + beta
+
+The summaries lie in the period table, one row per ticker and period, and are
+scanned there: affine maps compose, so the values received by all periods
+come from ceil(log2(periods)) levels, each of which composes a map with the
+one 1, 2, 4, ... periods before it (a lag). No map is cut off, so any span
+and any run of nulls is exact. The value that a period receives is joined to
+its rows before their one exchange.
 
 EMA is pandas ``ewm(span, adjust=False)``: y0 = x0, and after a gap of g rows
 since the last observation
@@ -12,41 +19,238 @@ since the last observation
     y = (q**g * y_prev + a * x) / (q**g + a),   a = 2 / (span + 1), q = 1 - a
 
 (g = 1 gives the usual q * y_prev + a * x); rows without an observation keep
-the value. Inside a bucket this is A * y_prev + B per observation, solved by
-running sums: with D the product of the A so far, y = D * (y_first + sum of
-B / D). D is q ** n for the n steps without a gap, exact to the last digits,
-times exp of a sum of logarithms for the others; it stays above q ** BUCKET,
-far from underflow. A bucket hands
-on y_end = alpha * y_received + beta. Over one more bucket alpha is below
-1e-12 for every gap pattern and over two below 1e-25, so y_received needs the
-two buckets with observations before, and no recursion over buckets.
+the value. From the first observation of a period on, y = C * y_first + D; the
+first one depends on the gap that reaches back into earlier periods, known
+from the table. The rows of a period get C and D from running sums, since
+D / C sums a * x / ((q**g + a) * C). C is q ** n for the n steps without a gap,
+exact to the last digits, times exp of a sum of logarithms for the others; in
+366 rows it stays far from underflow for spans from SHORTEST on.
+
+MACD adds the signal line, an EMA of the line on every row. Its map follows
+from the fold too: the signal at a period's end is linear in the signal, fast
+and slow values received, so it needs no second pass over the panel.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
-from panelforge.operators.halo import BUCKET, positions
-from panelforge.sources.io import stage
+from panelforge.operators.halo import BUCKET, longest_series, with_halo
 
 PW = PanelWindow()
+SHORTEST = 1.7     # spans below it (but 1, a forward fill) are refused
+
+
+def _series():
+    return Window.partitionBy("__k").orderBy("__per")
+
+
+def _before():
+    return _series().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _in_period(hw: PanelWindow):
+    """Window over the rows of one period of a bucket; it shares the frame's sort."""
+    return Window.partitionBy(*hw.parts, *hw.lead_by).orderBy(hw.time)
+
+
+class Fill:
+    """Last non-null value of each source column so far, under a new name."""
+
+    def __init__(self, names: dict[str, str]):
+        self.names = names
+
+    def aggs(self, time: str) -> list[Column]:
+        return [F.max_by(s, F.when(F.col(s).isNotNull(), F.col(time))).alias(f"__e_{t}") for s, t in self.names.items()]
+
+    def scan(self, t: DataFrame) -> DataFrame:
+        return t.select("*", *[F.last(f"__e_{o}", ignorenulls=True).over(_before()).alias(f"__p_{o}")
+                               for o in self.names.values()])
+
+    def entry(self) -> list[str]:
+        return [f"__p_{o}" for o in self.names.values()]
+
+    def rows(self, d: DataFrame, hw: PanelWindow) -> DataFrame:
+        run = _in_period(hw).rowsBetween(Window.unboundedPreceding, 0)
+        new = [F.coalesce(F.last(s, ignorenulls=True).over(run), F.col(f"__p_{o}")).alias(o)
+               for s, o in self.names.items()]
+        gone = {*self.entry(), *self.names.values()}
+        return d.select(*[c for c in d.columns if c not in gone], *new)
+
+
+def affine_scan(t: DataFrame, maps: Sequence[tuple[Column, Column]], outs: Sequence[str], periods: int) -> DataFrame:
+    """Adds, for each map (alpha, beta) of a period, the value it receives: the
+    maps of all periods before it, composed and applied to 0 (NULL in the
+    first period). ``periods`` bounds the rows of a series in ``t``."""
+    names = [(f"__a{i}", f"__b{i}") for i in range(len(maps))]
+    t = t.select("*", *[c for (a, b), (m, n) in zip(maps, names) for c in (a.alias(m), b.alias(n))])
+    reach = 1
+    while reach < periods:
+        new = {}
+        for a, b in names:
+            new[a] = F.col(a) * F.coalesce(F.lag(a, reach).over(_series()), F.lit(1.0))
+            new[b] = F.col(b) + F.col(a) * F.coalesce(F.lag(b, reach).over(_series()), F.lit(0.0))
+        t = t.select(*[c for c in t.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+        reach *= 2
+    t = t.select("*", *[F.lag(b, 1).over(_series()).alias(o) for (_, b), o in zip(names, outs)])
+    return t.drop(*[c for pair in names for c in pair])
+
+
+class Ema:
+    """EMA of ``src`` for each span."""
+
+    def __init__(self, src: str, spans: Sequence[float], outs: Sequence[str], tag: str = "e"):
+        if any(s < SHORTEST for s in spans):
+            raise ValueError(f"spans below {SHORTEST} are not supported (span 1 is a forward fill)")
+        self.src, self.outs, self.tag = src, list(outs), tag
+        self.rates = [2.0 / (s + 1) for s in spans]
+
+    def _n(self, name: str, k: int | str = "") -> str:
+        return f"__{self.tag}{name}{k}"
+
+    # -- one period --------------------------------------------------------
+    def _start(self) -> dict[str, Column]:
+        acc = {"i": F.lit(0), "first": F.lit(-1), "last": F.lit(-1), "x1": F.lit(None).cast("double")}
+        for k in range(len(self.rates)):
+            acc |= {f"c{k}": F.lit(0.0), f"d{k}": F.lit(0.0)}
+        return acc
+
+    def _step(self, acc: Column, x: Column) -> dict[str, Column]:
+        none, begun = x.isNull(), acc["first"] >= 0
+        gap = acc["i"] - acc["last"]
+        new = {"i": acc["i"] + 1, "first": F.when(none | begun, acc["first"]).otherwise(acc["i"]),
+               "last": F.when(none, acc["last"]).otherwise(acc["i"]), "x1": F.when(begun, acc["x1"]).otherwise(x)}
+        for k, a in enumerate(self.rates):
+            p = F.pow(F.lit(1.0 - a), gap)
+            c, d = acc[f"c{k}"], acc[f"d{k}"]
+            new[f"c{k}"] = F.when(none, c).when(begun, c * p / (p + a)).otherwise(1.0)
+            new[f"d{k}"] = F.when(none, d).when(begun, (d * p + a * x) / (p + a)).otherwise(0.0)
+        return new
+
+    def aggs(self, time: str) -> list[Column]:
+        """The fold of a period: its rows in order, at most 366 of them."""
+        rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(self.src).cast("double").alias("x"))))
+        start = self._start()
+
+        def merge(acc, row):
+            new = self._step(acc, row["x"])
+            return F.struct(*[new[n].alias(n) for n in start])
+
+        return [F.aggregate(rows, F.struct(*[v.alias(n) for n, v in start.items()]), merge).alias(self._n("f"))]
+
+    # -- all periods of a series ------------------------------------------
+    def scan(self, t: DataFrame) -> DataFrame:
+        periods = longest_series(t)
+        f = F.col(self._n("f"))
+        some = f["first"] >= 0
+        last = F.last(F.when(some, F.col("__c0") + f["last"]), ignorenulls=True).over(_before())
+        t = t.select("*", last.alias("__pl"))
+        first = F.col("__pl").isNull()
+        away = F.col("__c0") + f["first"] - F.col("__pl")
+        maps = []
+        for k, a in enumerate(self.rates):
+            p = F.pow(F.lit(1.0 - a), away)
+            c, d, x1 = f[f"c{k}"], f[f"d{k}"], f["x1"]
+            maps.append((F.when(~some, 1.0).when(first, 0.0).otherwise(c * p / (p + a)),
+                         F.when(~some, 0.0).when(first, c * x1 + d).otherwise(c * a * x1 / (p + a) + d)))
+        t = affine_scan(t, maps, [self._n("v", k) for k in range(len(maps))], periods)
+        new = []
+        for k, a in enumerate(self.rates):
+            p, v = F.pow(F.lit(1.0 - a), away), F.when(~first, F.col(self._n("v", k)))
+            new += [v.alias(self._n("in", k)),
+                    F.when(first, f["x1"]).otherwise((p * v + a * f["x1"]) / (p + a)).alias(self._n("y", k))]
+        t = t.select("*", *new).drop(*[self._n("v", k) for k in range(len(maps))])
+        return self._more(t, f, periods).drop("__pl")
+
+    def _more(self, t: DataFrame, f: Column, periods: int) -> DataFrame:
+        return t
+
+    def entry(self) -> list[str]:
+        return [self._n(n, k) for k in range(len(self.rates)) for n in ("in", "y")]
+
+    # -- rows --------------------------------------------------------------
+    def rows(self, d: DataFrame, hw: PanelWindow) -> DataFrame:
+        order = _in_period(hw)
+        run = order.rowsBetween(Window.unboundedPreceding, 0)
+        x = F.col(self.src).cast("double")
+        base = [c for c in d.columns if c not in self.outs]
+        d = d.select(*base, (F.row_number().over(order) - 1).alias("__i"))
+        at = F.when(x.isNotNull(), F.col("__i"))
+        d = d.select("*", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__lo"))
+        step = x.isNotNull() & F.col("__lo").isNotNull()
+        gap = F.col("__i") - F.col("__lo")
+
+        def weight(a, g):
+            return F.pow(F.lit(1.0 - a), g)
+
+        def decay(k):
+            return weight(self.rates[k], F.col("__dense")) * F.exp(-F.col(f"__s{k}"))
+
+        ks = range(len(self.rates))
+        d = d.select("*", F.count(F.when(step & (gap == 1), 1)).over(run).alias("__dense"), *[
+            F.sum(F.when(step & (gap > 1), -F.log(weight(self.rates[k], gap) / (weight(self.rates[k], gap) + self.rates[k])))
+                  .otherwise(0.0)).over(run).alias(f"__s{k}") for k in ks])
+        d = d.select("*", *[
+            F.sum(F.when(step, self.rates[k] * x / (weight(self.rates[k], gap) + self.rates[k]) / decay(k)).otherwise(0.0))
+            .over(run).alias(f"__c{k}") for k in ks])
+        seen = x.isNotNull() | F.col("__lo").isNotNull()
+        gone = {*self.entry(), "__lo", "__dense", *[f"__{n}{k}" for k in ks for n in "sc"]}
+        return d.select(*[c for c in d.columns if c not in gone], *[
+            F.when(seen, decay(k) * (F.col(self._n("y", k)) + F.col(f"__c{k}"))).otherwise(F.col(self._n("in", k))).alias(o)
+            for k, o in zip(ks, self.outs)]).drop(*(["__i"] if type(self) is Ema else []))
+
+
+class Macd(Ema):
+    """MACD line, signal line (EMA of the line) and histogram."""
+
+    def __init__(self, price: str = "adj_close", fast: float = 12, slow: float = 26, signal: float = 9):
+        super().__init__(price, [fast, slow], ["__fast", "__slow"], tag="m")
+        self.rate = 2.0 / (signal + 1)
+        if signal < SHORTEST:
+            raise ValueError(f"spans below {SHORTEST} are not supported")
+
+    def _start(self) -> dict[str, Column]:
+        # signal at the end = g * signal received + gm * line received
+        #                     + gf * first fast value + gs * first slow value + g0
+        return super()._start() | {"g": F.lit(1.0), "gm": F.lit(0.0), "gf": F.lit(0.0), "gs": F.lit(0.0), "g0": F.lit(0.0)}
 
+    def _step(self, acc: Column, x: Column) -> dict[str, Column]:
+        new = super()._step(acc, x)
+        a, q = self.rate, 1.0 - self.rate
+        seen = x.isNotNull() | (acc["first"] >= 0)
+        zero = F.lit(0.0)
+        new["g"] = q * acc["g"]
+        new["gm"] = q * acc["gm"] + F.when(seen, zero).otherwise(a)
+        new["gf"] = q * acc["gf"] + F.when(seen, a * new["c0"]).otherwise(zero)
+        new["gs"] = q * acc["gs"] - F.when(seen, a * new["c1"]).otherwise(zero)
+        new["g0"] = q * acc["g0"] + F.when(seen, a * (new["d0"] - new["d1"])).otherwise(zero)
+        return new
 
-def bucketed(df: DataFrame, pw: PanelWindow = PW, bucket: int = BUCKET) -> DataFrame:
-    """Add ``__gpos`` (kept), the bucket ``__eb`` and the row in it ``__i``."""
-    b = F.floor(F.col("__gpos") / bucket)
-    return positions(df, pw).withColumn("__eb", b).withColumn("__i", F.col("__gpos") - b * bucket)
+    def _more(self, t: DataFrame, f: Column, periods: int) -> DataFrame:
+        zero = F.lit(0.0)
+        line = F.coalesce(F.col(self._n("in", 0)) - F.col(self._n("in", 1)), zero)
+        beta = (f["gm"] * line + f["g0"] + F.coalesce(f["gf"] * F.col(self._n("y", 0)), zero)
+                + F.coalesce(f["gs"] * F.col(self._n("y", 1)), zero))
+        return affine_scan(t, [(f["g"], beta)], [self._n("sig")], periods)
 
+    def entry(self) -> list[str]:
+        return [*super().entry(), self._n("sig")]
 
-def _join_state(df: DataFrame, state: DataFrame, pw: PanelWindow) -> DataFrame:
-    """Attach one state row to every row of its (ticker, bucket)."""
-    on = F.col(pw.key).eqNullSafe(F.col("__sk")) & (F.col("__eb") == F.col("__sb"))
-    return df.join(state, on).drop("__sk", "__sb")
+    def rows(self, d: DataFrame, hw: PanelWindow) -> DataFrame:
+        had = [c for c in d.columns if c not in {*self.entry(), "macd", "macd_signal", "macd_hist"}]
+        # Ema.rows drops what entered; the signal's own state stays beside it
+        d = super().rows(d.withColumn("__sig", F.coalesce(self._n("sig"), F.lit(0.0))), hw)
+        d = d.withColumn("macd", F.col("__fast") - F.col("__slow"))
+        q = F.lit(1.0 - self.rate)
+        run = _in_period(hw).rowsBetween(Window.unboundedPreceding, 0)
+        d = d.select("*", F.sum(F.coalesce("macd", F.lit(0.0)) / F.pow(q, F.col("__i"))).over(run).alias("__m"))
+        signal = F.pow(q, F.col("__i")) * (q * F.col("__sig") + self.rate * F.col("__m"))
+        d = d.select(*had, "macd", F.when(F.col("macd").isNotNull(), signal).alias("macd_signal"))
+        return d.select("*", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str] | dict[str, str], pw: PanelWindow = PW,
@@ -54,103 +258,20 @@ def forward_fill(df: DataFrame, cols: Sequence[str] | dict[str, str], pw: PanelW
     """Carry the last non-null value forward within each ticker, over any
     number of rows. A dict fills source columns into new ones."""
     names = cols if isinstance(cols, dict) else {c: c for c in cols}
-    had = "__gpos" in df.columns
-    d = bucketed(df, pw, bucket)
-    run = Window.partitionBy(pw.key, "__eb").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = d.groupBy(F.col(pw.key).alias("__sk"), F.col("__eb").alias("__sb")).agg(
-        *[F.max_by(s, F.when(F.col(s).isNotNull(), F.col("__i"))).alias(f"__e_{t}") for s, t in names.items()])
-    before = Window.partitionBy("__sk").orderBy("__sb").rowsBetween(Window.unboundedPreceding, -1)
-    state = ends.select("__sk", "__sb", *[F.last(f"__e_{t}", ignorenulls=True).over(before).alias(f"__p_{t}")
-                                          for t in names.values()])
-    d = d.select("*", *[F.last(s, ignorenulls=True).over(run).alias(f"__l_{t}") for s, t in names.items()])
-    d = _join_state(d, state, pw)
-    keep = [c for c in d.columns if not c.startswith(("__p_", "__l_")) and c not in ("__eb", "__i", *names.values())]
-    if not had:
-        keep.remove("__gpos")
-    return d.select(*keep, *[F.coalesce(f"__l_{t}", f"__p_{t}").alias(t) for t in names.values()])
+    return with_halo(df, None, pw, 0, 0, bucket, [Fill(names)])
 
 
 def ema(df: DataFrame, src: str, spans: Sequence[float], outs: Sequence[str],
         pw: PanelWindow = PW, bucket: int = BUCKET) -> DataFrame:
     """EMA(span) of ``src`` for each span, as pandas computes it."""
-    rate = {s: 2.0 / (s + 1) for s in spans}
-    if bucket * -math.log(1 - max(rate.values())) > 650:
-        raise ValueError("bucket too long for the shortest span")
-    had = "__gpos" in df.columns
-    d = bucketed(df, pw, bucket)
-    x = F.col(src).cast("double")
-    order = Window.partitionBy(pw.key, "__eb").orderBy("__i")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    at = F.when(x.isNotNull(), F.col("__i"))
-    d = d.select("*", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__lo"))
-    step = x.isNotNull() & F.col("__lo").isNotNull()
-    gap = F.col("__i") - F.col("__lo")
-
-    def weight(a: float, g):
-        return F.pow(F.lit(1.0 - a), g)
-
-    def decay(k: int, a: float):
-        return weight(a, F.col("__dense")) * F.exp(-F.col(f"__s{k}"))
-
-    d = d.select("*", F.count(F.when(step & (gap == 1), 1)).over(run).alias("__dense"),
-                 *[F.sum(F.when(step & (gap > 1), -F.log(weight(a, gap) / (weight(a, gap) + a))).otherwise(0.0)).over(run)
-                   .alias(f"__s{k}") for k, a in enumerate(rate.values())])
-    d = d.select("*", *[F.sum(F.when(step, a * x / (weight(a, gap) + a) / decay(k, a)).otherwise(0.0)).over(run)
-                        .alias(f"__c{k}") for k, a in enumerate(rate.values())])
-
-    aggs = [F.min(at).alias("__f"), F.max(at).alias("__l"), F.min_by(x, at).alias("__x")]
-    for k in range(len(rate)):
-        aggs += [F.max(f"__s{k}").alias(f"__s{k}"), F.max_by(f"__c{k}", "__i").alias(f"__C{k}")]
-    aggs.append(F.max("__dense").alias("__dense"))
-    t = d.groupBy(F.col(pw.key).alias("__sk"), F.col("__eb").alias("__sb")).agg(*aggs)
-    before = Window.partitionBy("__sk").orderBy("__sb").rowsBetween(Window.unboundedPreceding, -1)
-
-    def prior(c):
-        return F.last(c, ignorenulls=True).over(before)
-
-    some = F.col("__f").isNotNull()
-    t = t.select("*", prior(F.when(some, F.col("__sb") * bucket + F.col("__l"))).alias("__pl"))
-    first = F.col("__pl").isNull()
-    away = F.col("__sb") * bucket + F.col("__f") - F.col("__pl")
-    maps, enter = [], []
-    for k, a in enumerate(rate.values()):
-        p, e = weight(a, away), decay(k, a)
-        alpha = F.when(first, 0.0).otherwise(e * p / (p + a))
-        beta = e * (F.when(first, F.col("__x")).otherwise(a * F.col("__x") / (p + a)) + F.col(f"__C{k}"))
-        maps.append(F.when(some, F.struct(alpha.alias("alpha"), beta.alias("beta"))).alias(f"__m{k}"))
-    t = t.select("*", *maps)
-    t = t.select("*", *[prior(f"__m{k}").alias(f"__n{k}") for k in range(len(rate))])
-    t = t.select("*", *[prior(F.when(some, F.col(f"__n{k}"))).alias(f"__o{k}") for k in range(len(rate))])
-    zero = F.lit(0.0)
-    ends = []
-    for k in range(len(rate)):
-        m, n, o = F.col(f"__m{k}"), F.col(f"__n{k}"), F.col(f"__o{k}")
-        received = F.coalesce(n["beta"], zero) + F.coalesce(n["alpha"], zero) * F.coalesce(o["beta"], zero)
-        ends.append((m["beta"] + m["alpha"] * received).alias(f"__e{k}"))
-    t = t.select("*", *ends)
-    t = t.select("*", *[prior(f"__e{k}").alias(f"__p{k}") for k in range(len(rate))])
-    for k, a in enumerate(rate.values()):
-        p = weight(a, away)
-        y = F.when(first, F.col("__x")).otherwise((p * F.col(f"__p{k}") + a * F.col("__x")) / (p + a))
-        enter += [y.alias(f"__y{k}"), f"__p{k}"]
-    state = t.select("__sk", "__sb", F.col("__f").alias("__first"), *enter)
-
-    d = _join_state(d, state, pw)
-    keep = [c for c in df.columns if c not in outs] + ([] if had else ["__gpos"])
-    vals = [F.when(F.col("__i") >= F.col("__first"), decay(k, rate[s]) * (F.col(f"__y{k}") + F.col(f"__c{k}")))
-            .otherwise(F.col(f"__p{k}")).alias(o) for k, (s, o) in enumerate(zip(spans, outs))]
-    out = d.select(*keep, *vals)
-    return out if had else out.drop("__gpos")
+    ones = {src: o for s, o in zip(spans, outs) if s == 1}
+    rest = [(s, o) for s, o in zip(spans, outs) if s != 1]
+    states = ([Fill(ones)] if ones else []) + ([Ema(src, *zip(*rest))] if rest else [])
+    out = with_halo(df, None, pw, 0, 0, bucket, states)
+    return out.select(*[c for c in df.columns if c not in outs], *outs)
 
 
 def macd(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close",
          fast: int = 12, slow: int = 26, signal: int = 9, bucket: int = BUCKET) -> DataFrame:
-    """MACD line, signal line (EMA of the line) and histogram.
-
-    The line is stored before the signal reads it twice."""
-    had = "__gpos" in df.columns
-    df = ema(positions(df, pw), price, [fast, slow], ["__ema_fast", "__ema_slow"], pw, bucket)
-    df = stage(df.withColumn("macd", F.col("__ema_fast") - F.col("__ema_slow")).drop("__ema_fast", "__ema_slow"), "macd")
-    df = ema(df, "macd", [signal], ["macd_signal"], pw, bucket)
-    df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    return df if had else df.drop("__gpos")
+    """MACD line, signal line (EMA of the line) and histogram."""
+    return with_halo(df, None, pw, 0, 0, bucket, [Macd(price, fast, slow, signal)])

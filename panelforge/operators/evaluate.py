@@ -6,7 +6,7 @@ evaluation loop per model.
 
 ROC AUC is exact (ties count one half): scores are first collapsed to
 distinct values with positive / negative counts (map-side combined), then
-each group's score axis is cut into ranges at approximate quantiles, so the
+each group's score axis is cut into parts of bounded size, so the
 running count of negatives below a score is a window inside one
 (group, range) plus a small per-range offset. No group's scores ever sit in
 a single task, however large the group.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.nulls import div
-from panelforge.functions.quantiles import cut_points, range_count
+from panelforge.functions.quantiles import below, ranged
 
 # float64 machine epsilon: probabilities are clipped to [eps, 1 - eps].
 EPS = 2.220446049250313e-16
@@ -72,19 +72,10 @@ def roc_auc(scores: DataFrame, by: Sequence[str] = ("target", "model"), y: str =
             p: str = "p", ranges: int | None = None) -> DataFrame:
     """E5: exact ROC AUC per group; NULL unless both classes are present."""
     by = list(by)
-    # distinct scores with class counts, materialised once (reliable
-    # checkpoint): the range bounds, the range offsets and the final sum all
-    # read it instead of re-running the scoring lineage
     g = scores.groupBy(*by, F.col(p).alias("s")).agg(
-        F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg")
-    ).checkpoint()
-    g = cut_points(g, by, "s", ranges or range_count(g, by), "rng")
-    per_rng = g.groupBy(*by, "rng").agg(F.sum("neg").alias("rneg"))
-    per_rng = per_rng.withColumn("off", F.coalesce(F.sum("rneg").over(
-        Window.partitionBy(*by).orderBy("rng").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inner = Window.partitionBy(*by, "rng").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.join(per_rng.select(*by, "rng", "off"), by + ["rng"]).withColumn(
-        "below", F.col("off") + F.coalesce(F.sum("neg").over(inner), F.lit(0)))
+        F.sum(F.col(y)).cast("long").alias("pos"), F.sum(1 - F.col(y)).cast("long").alias("neg"))
+    g = ranged(g, [*by, "s"], "auc", "rng", ranges)
+    g = below(g, by, ["s"], F.col("neg"), "rng", "below")
     res = g.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("__num"),
         F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))

@@ -10,8 +10,8 @@ same columns are laid out by dependency instead:
     L2  rolling statistics of L1 outputs
 
 All of them run on halo buckets (``halo``): one exchange on (ticker, bucket).
-The MACD columns come first, from ``carry``. Results equal the standalone
-operators (tests compare them).
+The MACD columns join the same frame as a carried state (``carry``). Results
+equal the standalone operators (tests compare them).
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import div
-from panelforge.operators.carry import macd
-from panelforge.operators.halo import BACK, BUCKET, FWD, positions, with_halo
+from panelforge.operators.carry import Macd
+from panelforge.operators.halo import BACK, BUCKET, FWD, with_halo
 from panelforge.operators.labels import HORIZONS, direction_col
 from panelforge.operators.windows import (
     EXTREMES, RETURN_PERIODS, RSI_PERIODS, SMA_PERIODS, VOL_PERIODS, VOL_RATIOS,
@@ -52,22 +52,22 @@ def _sel(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
 def panel_features(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close",
                    labels: str | None = None, bucket: int = BUCKET, with_macd: bool = True) -> DataFrame:
     """Base features (and, with ``labels`` = "strict" / "reference", the
-    forward returns and direction labels) of a bar panel. A ``__gpos`` column
-    that is there already is used and kept; ``with_macd`` = False leaves out
-    the MACD columns and the stage they need."""
-    had = "__gpos" in df.columns
-    base = [c for c in df.columns if c != "__gpos"]
-    df = positions(df, pw)
-    if with_macd:
-        df = macd(df, pw, price, bucket=bucket)
-    df = with_halo(df, lambda d, w: _frames(d, w, price, labels), pw, BACK, FWD if labels else 0, bucket)
-    order = base + [x for x in BASE_ORDER if with_macd or not x.startswith("macd")]
+    forward returns and direction labels) of a bar panel; ``with_macd`` = False
+    leaves out the MACD columns and their fold."""
+    out = with_halo(df, lambda d, w: frame_features(d, w, price, labels), pw, BACK, FWD if labels else 0, bucket,
+                    [Macd(price)] if with_macd else [])
+    return out.select(*df.columns, *feature_names(labels, with_macd))
+
+
+def feature_names(labels: str | None, with_macd: bool = True) -> list[str]:
+    """Columns that ``panel_features`` adds, in order."""
+    order = [x for x in BASE_ORDER if with_macd or not x.startswith("macd")]
     if labels:
         order += [x for n, _ in HORIZONS for x in (f"target_return_{n}", f"target_direction_{n}")]
-    return df.select(*order, *(["__gpos"] if had else []))
+    return order
 
 
-def _frames(df: DataFrame, pw: PanelWindow, price: str, labels: str | None) -> DataFrame:
+def frame_features(df: DataFrame, pw: PanelWindow, price: str, labels: str | None) -> DataFrame:
     """The rolling features on one frame of buckets."""
     x = F.col(price)
     # L1: one pass over raw columns

@@ -52,6 +52,10 @@ def rolling_beta(df: DataFrame, y: str = "return_1d", x: str = "market_return_1d
     return df.withColumn(out, rolling_beta_col(y, x, n, pw))
 
 
+# Columns of the market regime (W15, W16, X1-X4) in the reference's order.
+REGIME = ["market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta", "relative_strength"]
+
+
 def market_regime(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFrame:
     """X1-X4 + W15 + W16 in the reference's column order.
 
@@ -60,18 +64,20 @@ def market_regime(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFrame
     """
     base = list(df.columns)
     out = with_halo(market_join(df, pw), lambda d, w: market_comoments(d, w, n), pw, n + 1)
-    extra = ["market_return_1d", "market_volatility", "market_breadth", "correlation_market", "beta"]
-    if "relative_strength" in out.columns:
-        extra.append("relative_strength")
-    return out.select(base + extra)
+    return out.select(base + [c for c in REGIME if c in out.columns])
 
 
 def market_join(df: DataFrame, pw: PanelWindow = PW) -> DataFrame:
     """The per-date aggregate joined back, relative strength."""
-    t = pw.time
     median = "return_21d" if "return_21d" in df.columns else None
-    out = join_per_date(df, market_stats(df, time=t, median_of=median), t)
-    if median:
+    return join_statistics(df, market_stats(df, time=pw.time, median_of=median), pw.time)
+
+
+def join_statistics(df: DataFrame, stats: DataFrame, time: str = "date") -> DataFrame:
+    """Per-date statistics onto the panel; relative strength where there is
+    a median."""
+    out = join_per_date(df, stats, time)
+    if "__median" in stats.columns:
         out = out.withColumn("relative_strength", F.col("return_21d") - F.col("__median")).drop("__median")
     return out
 

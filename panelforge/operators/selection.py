@@ -4,8 +4,8 @@ Every statistic over all rows is a single aggregation pass, combined
 map-side; the per-feature results are stacked into long tables with
 ``inline`` (no shuffle). Correlations are composed from population moments
 with ``try_divide`` (Spark's ``corr`` raises on a constant column under ANSI).
-Large correlation matrices of complete columns use Spark ML's one-pass
-centred Gramian instead of one aggregate expression per pair.
+Correlation matrices are one pass: Spark ML's centred Gramian for complete
+columns, masked Gramians summed in blocks where values are missing.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from collections.abc import Sequence
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,14 +47,74 @@ def corr_with_target(df: DataFrame, features: Sequence[str], target: str,
     return res.limit(top) if top else res
 
 
+GRAM_ROWS = 8192    # rows of a block that is multiplied at once
+
+
+def masked_moments(df: DataFrame, cols: Sequence[str], pivots: Sequence[float]) -> DataFrame:
+    """One row per pair (i <= j) of columns: over the rows that have both, n,
+    the sums si, sj, the squares qi, qj and the product p of the columns less
+    their pivots.
+
+    One pass: with X the values (0 where missing) and M the mask, a block adds
+    X'X, X'M, (X*X)'M and M'M. A task sends on one row a pair, summed map-side
+    again before the shuffle, so the work does not grow with an expression per
+    pair."""
+    k = len(cols)
+    shift = np.array(pivots, dtype=float)
+    upper = np.triu_indices(k)
+
+    def run(frames):
+        total = np.zeros((4, k, k))
+        for f in frames:
+            v = f.to_numpy(dtype=float, na_value=np.nan)
+            for at in range(0, len(v), GRAM_ROWS):
+                x = v[at:at + GRAM_ROWS] - shift
+                m = ~np.isnan(x)
+                x[~m] = 0.0
+                m = m.astype(float)
+                total += np.stack([x.T @ x, x.T @ m, (x * x).T @ m, m.T @ m])
+        g, s, q, n = total
+        i, j = upper
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "n": n[i, j], "si": s[i, j], "sj": s[j, i],
+                            "qi": q[i, j], "qj": q[j, i], "p": g[i, j]})
+
+    rows = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)]).mapInPandas(
+        run, "i int, j int, n double, si double, sj double, qi double, qj double, p double")
+    return rows.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "si", "sj", "qi", "qj", "p")])
+
+
+# A variance below this share of the mean square is rounding: the column is
+# constant on the pair's rows.
+FLAT = 1e-13
+
+
 def corr_matrix(df: DataFrame, cols: Sequence[str], lower: bool = True) -> DataFrame:
     """pairwise-complete correlation as a long table (feature_a, feature_b,
-    corr); ``lower`` keeps the strict lower triangle (a after b in ``cols``)."""
-    pairs = [(i, j) for i in range(len(cols)) for j in range(len(cols)) if (j < i if lower else j != i)]
-    aggs = [_corr_pair(cols[i], cols[j]).alias(f"__p{i}_{j}") for i, j in pairs]
-    one = df.agg(*aggs)
-    return _stack(one, [F.struct(F.lit(cols[i]).alias("feature_a"), F.lit(cols[j]).alias("feature_b"),
-                                 F.col(f"__p{i}_{j}").alias("corr")) for i, j in pairs])
+    corr); ``lower`` keeps the strict lower triangle (a after b in ``cols``).
+    NULL where a column is constant on the rows that have both. Columns are
+    taken less their mean first (one number a column reaches the driver)."""
+    if not cols:
+        return df.sparkSession.createDataFrame([], "feature_a string, feature_b string, corr double")
+    one = df.agg(*[x for i, c in enumerate(cols) for x in (F.avg(c).alias(f"m{i}"), F.min(c).alias(f"l{i}"), F.max(c).alias(f"h{i}"))]).first()
+    pivots = [0.0 if one[f"m{i}"] is None else float(one[f"l{i}"] if one[f"l{i}"] == one[f"h{i}"] else one[f"m{i}"])
+              for i in range(len(cols))]
+    t = masked_moments(df, cols, pivots).where("i < j and n > 0")
+    names = F.array(*[F.lit(c) for c in cols])
+
+    def spread(q, s):
+        v = F.col(q) - F.col(s) * F.col(s) / F.col("n")
+        return F.when(v > FLAT * F.col(q), v)
+
+    corr = (F.col("p") - F.col("si") * F.col("sj") / F.col("n")) / F.sqrt(spread("qi", "si") * spread("qj", "sj"))
+    a, b = F.element_at(names, F.col("j") + 1), F.element_at(names, F.col("i") + 1)
+    t = t.select(a.alias("feature_a"), b.alias("feature_b"), corr.alias("corr"))
+    # pairs without a common row still have a row each
+    pairs = df.sparkSession.createDataFrame([(cols[j], cols[i]) for i in range(len(cols)) for j in range(i + 1, len(cols))],
+                                            "feature_a string, feature_b string")
+    t = pairs.join(t, ["feature_a", "feature_b"], "left")
+    if lower:
+        return t
+    return t.unionByName(t.select(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b"), "corr"))
 
 
 def dense_corr_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -1,9 +1,12 @@
 """Feature selection as one object (F9, F10): fit, keep the selection, project.
 
-Methods: ``variance``, ``correlation``, ``mutual_info``, ``importance``,
-``rfe`` and ``all`` (the first four one after the other, each on what the one
-before kept). ``task`` is ``classification`` or ``regression``; for regression
-mutual information is taken against the target in equal-width bins.
+Methods: ``variance``, ``correlation``, ``mutual_info``, ``importance``, ``rfe``
+and ``all``. ``all`` drops columns of low variance, then correlated ones; from
+what is left it makes two lists of n, by mutual information and by importance,
+and keeps the features that are in both. Whatever the method, a selection of
+more than n is cut to n by importance. ``task`` is ``classification`` (mutual
+information by nearest neighbours, or in bins) or ``regression`` (the target in
+equal-width bins).
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import selection as S
 from panelforge.operators import train as T
 from panelforge.operators.filters import fill_zero
+from panelforge.operators.mutual import mutual_info_neighbours
 from panelforge.sources.io import stage
 
 METHODS = ("variance", "correlation", "mutual_info", "importance", "rfe", "all")
@@ -25,12 +29,15 @@ class FeatureSelector:
     """Select up to ``n`` of the feature columns for a label column."""
 
     def __init__(self, method: str = "all", n: int = 30, task: str = "classification",
-                 variance: float = 0.01, correlation: float = 0.95, bins: int = 10, rounds: int = 100):
+                 variance: float = 0.01, correlation: float = 0.95, bins: int = 10, rounds: int = 100,
+                 estimator: str = "neighbours"):
         if method not in METHODS:
             raise ValueError(f"method must be one of {METHODS}")
         if task not in ("classification", "regression"):
             raise ValueError("task must be classification or regression")
-        self.method, self.n, self.task = method, n, task
+        if estimator not in ("neighbours", "bins"):
+            raise ValueError("estimator must be neighbours or bins")
+        self.method, self.n, self.task, self.estimator = method, n, task, estimator
         self.variance, self.correlation, self.bins, self.rounds = variance, correlation, bins, rounds
         self.selected: list[str] | None = None
 
@@ -42,9 +49,14 @@ class FeatureSelector:
         data = fill_zero(df.filter(F.col(label).isNotNull()).select(*features, label), features)
         data = stage(data, "selection")
         sel = list(features)
-        steps = ("variance", "correlation", "mutual_info", "importance") if self.method == "all" else (self.method,)
-        for step in steps:
-            sel = getattr(self, f"_{step}")(data, sel, label)
+        if self.method == "all":
+            sel = self._correlation(data, self._variance(data, sel, label), label)
+            by_mi, by_importance = (set(step(data, sel, label)) for step in (self._mutual_info, self._importance))
+            sel = [f for f in sel if f in by_mi and f in by_importance]
+        else:
+            sel = getattr(self, f"_{self.method}")(data, sel, label)
+        if len(sel) > self.n:
+            sel = self._importance(data, sel, label)
         self.selected = sel
         return self
 
@@ -63,7 +75,11 @@ class FeatureSelector:
             width = (hi - lo) / self.bins if hi is not None and hi > lo else 1.0
             data, y = data.withColumn("__y", F.least(F.floor((F.col(label) - F.lit(lo)) / F.lit(width)),
                                                      F.lit(self.bins - 1))), "__y"
-        kept = {r["feature"] for r in S.top_by(S.mutual_info(data, sel, y, self.bins), "mi", self.n).collect()}
+        if self.task == "classification" and self.estimator == "neighbours":
+            scores = mutual_info_neighbours(data, sel, y)
+        else:
+            scores = S.mutual_info(data, sel, y, self.bins)
+        kept = {r["feature"] for r in S.top_by(scores, "mi", self.n).collect()}
         return [f for f in sel if f in kept]
 
     def _importance(self, data, sel, label):

@@ -6,14 +6,14 @@ gradient-boosted trees (its main model, same depth / rate / sampling), a
 random forest and an elastic-net logistic regression. Importances are Spark's
 gain-based ``featureImportances``. Features are assembled once into a stored
 vector table that selection and all families read (a subset of the features is
-a slice of the vector); targets are fitted from a small driver thread pool so
-their Spark jobs overlap.
+a slice of the vector); the fits of all targets go through a queue (``fits``)
+that runs them side by side and stores each one as it ends.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators.evaluate import class_balance, class_weights
-from panelforge.sources.io import stage
+from panelforge.operators.fits import Fit, run_fits, workers
+from panelforge.session import checkpoint_dir
+from panelforge.sources.io import publish, published, stage
 
 SEED = 42
 FAMILIES = ("gbt", "rf", "lr")
@@ -36,8 +38,9 @@ N_FEATURES = {"direction_1d": 30, "direction_5d": 35, "direction_21d": 40,
 
 
 # Rows of the vector table per task: a boosted tree runs a job per level, so
-# many tiny tasks would be all overhead.
-ROWS_PER_TASK = 20_000
+# many tiny tasks would be all overhead; beyond MOST_ROWS a task's rows would
+# no longer fit beside others.
+ROWS_PER_TASK, MOST_ROWS = 20_000, 2_000_000
 
 
 def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:
@@ -47,10 +50,16 @@ def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler
 def vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """Stored (keep..., all): the features as one vector, NULL as 0."""
     data = df.select(*keep, *features).fillna(0.0, subset=list(features))
-    tasks = max(1, -(-df.count() // ROWS_PER_TASK))
+    tasks = vector_tasks(df.count(), df.sparkSession.sparkContext.defaultParallelism)
     return stage(assembler(features, "all").transform(data).select(*keep, "all").repartition(tasks), "vectors")
 
 
+def vector_tasks(rows: int, cores: int) -> int:
+    """As many tasks as keep the cores busy, each with at least ROWS_PER_TASK
+    rows, and at most MOST_ROWS."""
+    return max(1, min(-(-rows // ROWS_PER_TASK), cores), -(-rows // MOST_ROWS))
+
+
 def sliced(vec: DataFrame, features: Sequence[str], some: Sequence[str]) -> DataFrame:
     """The vector table with a ``features`` column of the listed features."""
     at = {f: i for i, f in enumerate(features)}
@@ -160,14 +169,40 @@ def rf_importance(df: DataFrame, features: Sequence[str], target: str,
     return df.sparkSession.createDataFrame(_ranked(m, features), "feature string, importance double")
 
 
-def train_target(vec: DataFrame, features: Sequence[str], label: str, n_features: int,
-                 families: Sequence[str] = FAMILIES, rounds: int = 300,
-                 select_rounds: int = 100) -> tuple[list[str], dict[str, PipelineModel]]:
+def content(vec: DataFrame) -> list[int]:
+    """Rows of a vector table and an order-free hash over all of them."""
+    cols = [vector_to_array(c) if c == "all" else F.col(c) for c in vec.columns]
+    return list(vec.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*cols))).first())
+
+
+def save_list(spark: SparkSession, features: Sequence[str], path: str) -> None:
+    spark.createDataFrame([(f, i) for i, f in enumerate(features)], "feature string, position int") \
+        .write.mode("overwrite").parquet(path)
+
+
+def load_list(spark: SparkSession, path: str) -> list[str]:
+    return [r["feature"] for r in spark.read.parquet(path).orderBy("position").collect()]
+
+
+def target_fits(vec: DataFrame, features: Sequence[str], name: str, n_features: int, families: Sequence[str],
+                rounds: int, select_rounds: int, params: dict) -> list[Fit]:
     """T8 for one target: importance selection, then one fit per family, all
     from the labelled rows of the vector table."""
+    spark, label = vec.sparkSession, f"target_{name}"
     data = vec.filter(F.col(label).isNotNull())
-    sel = [f for f, _ in top_features(data, features, features, label, n_features, select_rounds)]
-    return sel, {f: fit_vectors(data, features, sel, label, f, rounds) for f in families}
+    made = {**params, "target": name, "n": n_features, "select_rounds": select_rounds}
+    fits = [Fit(f"select_{name}",
+                lambda: [f for f, _ in top_features(data, features, features, label, n_features, select_rounds)],
+                lambda sel, path: save_list(spark, sel, path + "/list"), lambda path: load_list(spark, path + "/list"),
+                made, weight=2e4)]
+    for fam in families:
+        fits.append(Fit(f"{name}_{fam}",
+                        lambda sel, fam=fam: fit_vectors(data, features, sel, label, fam, rounds),
+                        lambda m, path: m.write().overwrite().save(path + "/model"),
+                        lambda path: PipelineModel.load(path + "/model"),
+                        {**made, "family": fam, "rounds": rounds}, (f"select_{name}",),
+                        weight=1e4 if fam == "gbt" else 1.0))
+    return fits
 
 
 def enough_rows(df: DataFrame, targets: Sequence[str], least: int) -> list[str]:
@@ -178,33 +213,49 @@ def enough_rows(df: DataFrame, targets: Sequence[str], least: int) -> list[str]:
 
 def train_all(train: DataFrame, features: Sequence[str], targets: dict[str, int],
               families: Sequence[str] = FAMILIES, rounds: int = 300, min_rows: int = 1000,
-              threads: int = 6, select_rounds: int = 100
-              ) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
-    """Fit every target with enough labelled rows, a few at a time."""
+              side_by_side: int | None = None, select_rounds: int = 100,
+              folder: str | None = None) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
+    """Fit every target with enough labelled rows, side by side.
+
+    Outcomes are stored under ``folder`` (one in the shared checkpoint folder by
+    default) as they come, named after the settings and the content of the
+    training rows: a run that starts again on the same rows loads what is there
+    and fits only what is missing."""
     names = enough_rows(train, list(targets), min_rows)
     if not names:
         return {}
+    spark = train.sparkSession
     vec = vectors(train, features, [f"target_{t}" for t in names])
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return dict(pool.map(lambda t: (t, train_target(vec, features, f"target_{t}", targets[t], families,
-                                                        rounds, select_rounds)), names))
+    made = {"rows": content(vec), "features": list(features)}
+    fits = [f for t in names for f in target_fits(vec, features, t, targets[t], families, rounds, select_rounds, made)]
+    tasks = vec.rdd.getNumPartitions()
+    got = run_fits(spark, fits, folder or f"{checkpoint_dir(spark)}/fits",
+                   side_by_side or workers(spark, tasks, len(fits)))
+    return {t: (got[f"select_{t}"], {fam: got[f"{t}_{fam}"] for fam in families}) for t in names}
 
 
 def scores_long(models: dict, test: DataFrame, keys: Sequence[str], min_rows: int = 100) -> DataFrame:
     """One stored score table (target, model, keys, y, p) plus the
     soft-vote ensemble of the fitted families; targets with fewer than
-    ``min_rows`` labelled rows are left out (P10)."""
+    ``min_rows`` labelled rows are left out (P10).
+
+    The rows are assembled once into a stored vector table of the features
+    that any target selected; every model reads its slice of it."""
     from panelforge.operators.evaluate import soft_vote
+    names = enough_rows(test, list(models), min_rows)
+    if not names:
+        raise ValueError(f"no target has {min_rows} labelled rows to score")
+    used = list(dict.fromkeys(f for name in names for f in models[name][0]))
+    vec = vectors(test, used, [*keys, *[f"target_{t}" for t in names]])
     parts = []
-    for name in enough_rows(test, list(models), min_rows):
+    for name in names:
         label = f"target_{name}"
-        data = test.filter(F.col(label).isNotNull())
         sel, fams = models[name]
+        data = sliced(vec.filter(F.col(label).isNotNull()).select(*keys, label, "all"), used, sel)
         for fam, m in fams.items():
-            s = score(m, data, sel, [*keys, F.col(label).cast("int").alias("y")])
-            parts.append(s.select(F.lit(name).alias("target"), F.lit(fam).alias("model"), *keys, "y", "p"))
-    if not parts:
-        raise ValueError(f"no target has {min_rows} labelled rows to score")
+            s = m.stages[-1].transform(data)
+            parts.append(s.select(F.lit(name).alias("target"), F.lit(fam).alias("model"), *keys,
+                                  F.col(label).cast("int").alias("y"), vector_to_array("probability")[1].alias("p")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -213,17 +264,35 @@ def scores_long(models: dict, test: DataFrame, keys: Sequence[str], min_rows: in
     return soft_vote(out, fams, keys=["target", *keys]) if len(fams) > 1 else out
 
 
-def save_models(models: dict, path: str, spark: SparkSession) -> None:
-    """One PipelineModel directory per (target, family) plus the
-    selected-feature table."""
+def save_models(models: dict, path: str, spark: SparkSession) -> str:
+    """One version of all artefacts under ``path``: a PipelineModel per
+    (target, family) and the table of selected features. The version is
+    written beside what is there and published last, by one atomic rename of
+    its pointer, so readers see a whole old or a whole new set. Returns its
+    folder."""
+    version = f"{path}/version-{uuid.uuid4().hex}"
     rows = []
     for name, (sel, fams) in models.items():
         for fam, m in fams.items():
-            m.write().overwrite().save(f"{path}/{name}_{fam}")
-        rows += [(name, f, i) for i, f in enumerate(sel)]
-    spark.createDataFrame(rows, "target string, feature string, position int") \
-        .write.mode("overwrite").parquet(f"{path}/selected_features")
-
-
-def load_model(path: str, target: str, family: str) -> PipelineModel:
-    return PipelineModel.load(f"{path}/{target}_{family}")
+            m.write().save(f"{version}/{name}_{fam}")
+        rows += [(name, fam, f, i) for fam in fams for i, f in enumerate(sel)]
+    spark.createDataFrame(rows, "target string, family string, feature string, position int") \
+        .write.parquet(f"{version}/selected_features")
+    publish(spark, path, version)
+    return version
+
+
+def load_models(path: str, spark: SparkSession) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
+    """The published version: target -> (features, family -> model)."""
+    version = published(spark, path)
+    if version is None:
+        raise ValueError(f"nothing is published under {path}")
+    sel: dict[str, tuple[list[str], dict[str, PipelineModel]]] = {}
+    rows = spark.read.parquet(f"{version}/selected_features").orderBy("target", "family", "position").collect()
+    for r in rows:      # one row a selected feature and family
+        feats, fams = sel.setdefault(r["target"], ([], {}))
+        if r["family"] not in fams:
+            fams[r["family"]] = PipelineModel.load(f"{version}/{r['target']}_{r['family']}")
+        if r["feature"] not in feats:
+            feats.append(r["feature"])
+    return sel

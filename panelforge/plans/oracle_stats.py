@@ -100,6 +100,14 @@ ORACLE["corr_matrix"] = with_(ENG) + "\nUNION ALL\n".join(
     f"round({nan_null(f'corr({HEATMAP[i]}, {HEATMAP[j]})')}, 6) + 0.0 AS corr FROM eng"
     for i, j in _PAIRS)
 
+_ALL = [(i, j) for i in range(len(FEATURES)) for j in range(i)]
+ORACLE["corr_matrix_all"] = with_(ENG) + f""",
+mrow AS (SELECT {", ".join(f"round({nan_null(f'corr({FEATURES[i]}, {FEATURES[j]})')}, 6) + 0.0 AS c_{i}_{j}" for i, j in _ALL)} FROM eng),
+mname(position, feature) AS (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(FEATURES))}),
+mlong AS (FROM mrow UNPIVOT INCLUDE NULLS (corr FOR k IN (COLUMNS(*))))
+SELECT a.feature AS feature_a, b.feature AS feature_b, corr FROM mlong
+JOIN mname a ON a.position = CAST(split_part(k, '_', 2) AS INTEGER) JOIN mname b ON b.position = CAST(split_part(k, '_', 3) AS INTEGER)"""
+
 TRAIN = ENG + f""",
 tr AS (SELECT ticker, date, {", ".join(f"coalesce({c}, 0.0) AS {c}" for c in FEATURES)}, target_direction_21d
        FROM eng WHERE target_direction_21d IS NOT NULL AND date < {CUT})"""
@@ -133,6 +141,38 @@ pp AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS pxy,
 mi AS (SELECT feature, sum(pxy * ln(pxy / (px * py))) AS mi FROM pp GROUP BY feature),
 top AS (SELECT feature, mi, CAST(row_number() OVER (ORDER BY mi DESC, feature) AS INTEGER) AS rank FROM mi ORDER BY mi DESC, feature LIMIT 30)"""
 ORACLE["mutual_info_topk"] = with_(TRAIN, MI) + "SELECT feature, round(mi, 6) + 0.0 AS mi, rank FROM top"
+
+# Nearest neighbours row by row: three rows of the class on either side, ranks of
+# x - r and x + r by as-of joins.
+_PSI = ("CASE WHEN {n} <= 15 THEN list_sum(list_transform(range(1, {n}::BIGINT), lambda i: 1.0::DOUBLE / i)) - 0.5772156649015329 "
+        "ELSE ln({n}) - 0.5 / {n} - 1.0 / (12 * pow({n}, 2)) + 1.0 / (120 * pow({n}, 4)) - 1.0 / (252 * pow({n}, 6)) END")
+
+
+def psi(n: str) -> str:
+    return "(" + _PSI.replace("{n}", f"({n})").replace("list_sum(", "coalesce(list_sum(").replace("1.0::DOUBLE / i))", "1.0::DOUBLE / i)), 0.0)") + ")"
+
+
+_NEAR = ", ".join(f"abs(x - lag(x, {i}) OVER w), abs(x - lead(x, {i}) OVER w)" for i in (1, 2, 3))
+NEIGHBOURS = f"""trr AS (SELECT target_direction_21d AS y, {", ".join(f"round({c}, {LEVELS.get(c, 6)}) + 0.0 AS {c}" for c in FEATURES)} FROM tr),
+ny AS (SELECT y, count(*) AS ny FROM trr GROUP BY y HAVING count(*) > 1),
+lg AS (SELECT feature, y, x, ny, (SELECT sum(ny) FROM ny) AS total
+       FROM (UNPIVOT trr ON {", ".join(FEATURES)} INTO NAME feature VALUE x) JOIN ny USING (y)),
+nb AS (SELECT *, list_sort(list_filter([{_NEAR}], lambda d: d IS NOT NULL)) AS ds,
+              count(*) OVER (PARTITION BY feature, y, x) AS ties FROM lg WINDOW w AS (PARTITION BY feature, y ORDER BY x)),
+rr AS (SELECT feature, y, x, ny, total, ds[least(3, ny - 1)] AS r, ties,
+              1 + len(list_filter(ds, lambda d: d < ds[least(3, ny - 1)])) AS inside FROM nb),
+cum AS (SELECT feature, x, sum(n) OVER (PARTITION BY feature ORDER BY x) AS upto, n
+        FROM (SELECT feature, x, count(*) AS n FROM lg GROUP BY ALL)),
+hi AS (SELECT rr.*, coalesce(c.upto, 0) AS a FROM rr ASOF LEFT JOIN cum c ON rr.feature = c.feature AND rr.x + rr.r > c.x),
+lo AS (SELECT hi.*, coalesce(c.upto, 0) AS b FROM hi ASOF LEFT JOIN cum c ON hi.feature = c.feature AND hi.x - hi.r >= c.x),
+mm AS (SELECT lo.feature, ny, total, CASE WHEN r = 0 THEN ties ELSE inside END AS ki,
+              CASE WHEN r = 0 THEN cum.n ELSE a - b END AS m FROM lo JOIN cum ON lo.feature = cum.feature AND lo.x = cum.x),
+mg AS (SELECT feature, ny, total, ki, m, count(*) AS c FROM mm GROUP BY ALL),
+nmi AS (SELECT feature, greatest(0.0, {psi("any_value(total)")} + sum(c * ({psi("ki")} - {psi("ny")} - {psi("m")})) / any_value(total)) AS mi
+        FROM mg GROUP BY feature)"""
+ORACLE["mutual_info_neighbours"] = with_(TRAIN, NEIGHBOURS) + "SELECT feature, round(mi, 6) + 0.0 AS mi FROM nmi"
+ORACLE["select_neighbours"] = with_(TRAIN, NEIGHBOURS) + "SELECT feature FROM nmi ORDER BY mi DESC, feature LIMIT 30"
+
 ORACLE["selection_intersect"] = with_(TRAIN, VARS, MI) + """
 SELECT DISTINCT feature FROM vars WHERE variance > 0.01 AND feature IN (SELECT feature FROM top)"""
 
@@ -237,8 +277,17 @@ SELECT target, count(*) AS n, round(avg(abs(y - pred)), 6) + 0.0 AS mae, round(s
 FROM rm1 WHERE y IS NOT NULL AND pred IS NOT NULL GROUP BY target"""
 
 # ---------------------------------------------------------------- Spark ML: what SQL can state of it
-ORACLE["model_roundtrip"] = with_(PANEL, _LAB21) + f"""
-SELECT count(*) AS n, 0.0::DOUBLE AS max_abs_diff FROM lab21 WHERE r21 IS NOT NULL AND date >= {CUT}"""
+_FAMILIES = "(VALUES ('gbt'), ('rf'), ('lr'), ('ensemble')) f(model)"
+_SCORED = "sc AS (" + " UNION ALL ".join(
+    f"SELECT 'direction_{n}' AS target, ticker, date, CAST(target_return_{n} > 0 AS INTEGER) AS y FROM lab WHERE target_return_{n} IS NOT NULL"
+    for n in DIRS) + ")"
+ORACLE["model_roundtrip"] = with_(PANEL, LABELS, _SCORED) + f"""
+SELECT target, model, count(*) AS n, 0.0::DOUBLE AS max_abs_diff FROM sc, {_FAMILIES} WHERE date >= {CUT} GROUP BY ALL"""
+ORACLE["score_batch_rows"] = with_(PANEL, LABELS, _SCORED) + f"""
+SELECT target, model, ticker, date, y, true AS valid FROM sc, {_FAMILIES} WHERE date >= {CUT}"""
+ORACLE["train_all_rows"] = with_(PANEL, LABELS, _SCORED) + f"""
+SELECT target, model, count(*) AS n, sum(y)::BIGINT AS positives, 0::BIGINT AS outside,
+       CASE WHEN date < {CUT} THEN 'train' ELSE 'test' END AS sample FROM sc, {_FAMILIES} GROUP BY ALL"""
 ORACLE["select_variance"] = "SELECT feature FROM (" + ORACLE["variance_filter"] + ")"
 ORACLE["select_correlation"] = "SELECT feature FROM (" + ORACLE["correlation_filter"] + ")"
 ORACLE["select_mutual_info"] = "SELECT feature FROM (" + ORACLE["mutual_info_topk"] + ")"

@@ -2,29 +2,30 @@
 
 Shuffle budget of ``engineer_features`` on the wide panel:
 
-1. row positions from per-(ticker, year) counts, then one exchange on
-   (ticker, bucket) with halo rows for base features and labels; the MACD
-   columns carry their state between buckets and are stored first;
-2. per-date market statistics are a map-side-combined aggregate broadcast
-   back (one row per date); the rolling co-moments against the market run on
-   halo buckets again;
-3. one exchange on date for the cross-sectional ranks and z-scores.
+1. the period table (rows and MACD summaries per ticker and year, stored);
+2. per-date market statistics from a frame of three columns: one exchange of
+   narrow rows on (ticker, bucket), one map-side-combined aggregate per date;
+3. one exchange of the panel on (ticker, bucket): features, labels, MACD, and,
+   with the statistics broadcast (one row a date), the rolling co-moments
+   against the market, whose halo rows are still there;
+4. one exchange on date for the cross-sectional ranks and z-scores.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
 from panelforge.operators import windows as W
-from panelforge.operators.carry import macd
-from panelforge.operators.features import panel_features
-from panelforge.operators.halo import BUCKET, positions
-from panelforge.operators.market import market_regime
+from panelforge.operators.carry import Macd, macd
+from panelforge.operators.features import feature_names, frame_features, panel_features
+from panelforge.operators.halo import BACK, BUCKET, FWD, periods_of, with_halo
+from panelforge.operators.market import REGIME, join_statistics, market_comoments
 
 SIGNAL_COLUMNS = ["momentum_1m", "momentum_3m", "reversal_signal", "trend_consistency"]
 from panelforge.operators.signals import signals
-from panelforge.operators.xsection import cross_sectional
+from panelforge.operators.xsection import cross_sectional, market_stats
 
 PW = PanelWindow()
 
@@ -79,13 +80,43 @@ def engineer_features(df: DataFrame, pw: PanelWindow = PW, label_mode: str = "st
     """
     if universe is not None:
         df = df.join(universe.select(pw.key).distinct(), pw.key, "left_semi")
-    df = positions(df, pw)
-    df = panel_features(df, pw, labels=label_mode, bucket=bucket, with_macd=with_macd)
-    targets = [c for c in df.columns if c.startswith("target_")]
-    df = market_regime(df, pw).drop("__gpos")
-    df = cross_sectional(df, time=pw.time)
-    df = signals(df)
-    return df.select([c for c in df.columns if c not in targets] + targets)
+    return engineer_rows(df, periods_of(df, pw, carried(with_macd)), pw, label_mode, bucket, with_macd)
+
+
+def carried(with_macd: bool = True) -> list:
+    """States of the engineered panel that reach back without bound."""
+    return [Macd()] if with_macd else []
+
+
+def market_table(df: DataFrame, table: DataFrame, pw: PanelWindow = PW, bucket: int = BUCKET) -> DataFrame:
+    """One row a date of market statistics, from a frame of three columns."""
+    narrow = with_halo(df.select(pw.key, pw.time, "adj_close"), lambda d, w: W.pct_change(d, "adj_close", [1, 21], w),
+                       pw, 21, 0, bucket, periods=table)
+    return market_stats(narrow, time=pw.time, median_of="return_21d")
+
+
+def engineer_rows(df: DataFrame, table: DataFrame, pw: PanelWindow = PW, label_mode: str = "strict",
+                  bucket: int = BUCKET, with_macd: bool = True, stats: DataFrame | None = None,
+                  since: int | None = None) -> DataFrame:
+    """``engineer_features`` with the period table of the whole panel (and the
+    market statistics of all dates) at hand. With ``since`` only the rows of
+    the years from it on are returned; ``df`` then needs no more than these and
+    the rows that they reach back to."""
+    if stats is None:
+        stats = market_table(df, table, pw, bucket)
+
+    def frame(d: DataFrame, w: PanelWindow) -> DataFrame:
+        d = frame_features(d, w, "adj_close", label_mode)
+        return market_comoments(join_statistics(d, stats, pw.time), w)
+
+    names = feature_names(label_mode, with_macd)
+    targets = [c for c in names if c.startswith("target_")]
+    out = with_halo(df, frame, pw, BACK, FWD, bucket, carried(with_macd), table)
+    if since is not None:
+        out = out.where(F.year(pw.time) >= since)
+    out = out.select(*df.columns, *[c for c in names if c not in targets], *REGIME, *targets)
+    out = signals(cross_sectional(out, time=pw.time))
+    return out.select([c for c in out.columns if c not in targets] + targets)
 
 
 def feature_columns(df: DataFrame) -> list[str]:

@@ -16,7 +16,7 @@ from panelforge.functions.frames import PanelWindow
 from panelforge.functions.nulls import rnd
 from panelforge.operators import benchmark as B
 from panelforge.operators import windows as W
-from panelforge.operators.carry import ema, macd
+from panelforge.operators.carry import ema, forward_fill, macd
 from panelforge.operators.halo import with_halo
 from panelforge.operators.labels import HORIZONS, direction_col, forward_returns, panel_labels
 from panelforge.operators.market import market_regime, rolling_beta, rolling_corr
@@ -359,4 +359,4 @@ def q_forward_fill(spark, sf_dir):
     df, bench = _bench_panel(spark, sf_dir)
     cols = ["nasdaq_close", "spy_close", "vix_level"]
     joined = B.benchmark_join(df.select(*KEYS), B.series_table(bench), cols)
-    return out(B.forward_fill(joined, cols), cols)
+    return out(forward_fill(joined, cols), cols)

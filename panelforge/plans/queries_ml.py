@@ -19,7 +19,7 @@ from panelforge.operators import selection as S
 from panelforge.operators import train as T
 from panelforge.operators.selector import FeatureSelector
 from panelforge.plans.pipeline import feature_columns
-from panelforge.plans.queries import KEYS, engineered, query
+from panelforge.plans.queries import KEYS, LEVELS, engineered, query
 from panelforge.plans.queries_stats import CUT, report_frame
 from panelforge.session import checkpoint_dir
 from panelforge.sources import io
@@ -71,18 +71,36 @@ def q_train_lr(spark, sf_dir):
     return _family_scores(spark, sf_dir, "lr")
 
 
+def _all_models(spark, sf_dir) -> tuple[dict, DataFrame, DataFrame]:
+    """Fitted models of all targets and families, with both periods. Fits that
+    another query of this folder has stored are loaded."""
+    train, test, feats = split_frames(spark, sf_dir)
+    return T.train_all(train, feats, T.N_FEATURES, rounds=FAST_ROUNDS), train, test
+
+
 @query("train_all")
 def q_train_all(spark, sf_dir):
     """T8/T9/P10 + E13: every target (per-target feature counts), three
     families and their soft vote; accuracy, AUC and F1 in sample (``train``)
     and out of time (``test``)."""
-    train, test, feats = split_frames(spark, sf_dir)
-    models = T.train_all(train, feats, T.N_FEATURES, rounds=FAST_ROUNDS)
+    models, train, test = _all_models(spark, sf_dir)
     parts = [E.results_table(io.stage(T.scores_long(models, df, KEYS), "voted")).withColumn("sample", F.lit(name))
              for name, df in (("train", train), ("test", test))]
     return rnd(parts[0].unionByName(parts[1]))
 
 
+@query("train_all_rows")
+def q_train_all_rows(spark, sf_dir):
+    """Rows and positive labels that each model and the vote scored in
+    both periods, and how many probabilities lie outside 0 to 1."""
+    models, train, test = _all_models(spark, sf_dir)
+    parts = [T.scores_long(models, df, KEYS).groupBy("target", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"),
+        F.sum(F.when(F.col("p").between(0, 1), 0).otherwise(1)).alias("outside")).withColumn("sample", F.lit(name))
+        for name, df in (("train", train), ("test", test))]
+    return parts[0].unionByName(parts[1])
+
+
 @query("importance_topk")
 def q_importance_topk(spark, sf_dir):
     """top 40 features by boosted-tree importance."""
@@ -99,35 +117,43 @@ def q_rfe(spark, sf_dir):
 
 @query("select_features")
 def q_select_features(spark, sf_dir):
-    """F9 'all': variance, correlation, mutual information and importance, one
-    after the other; at most 30 features."""
+    """F9 'all': features of enough variance, not correlated with an earlier one,
+    in the top 30 by mutual information and by importance."""
     train, _, feats = split_frames(spark, sf_dir)
     return FeatureSelector("all", 30).fit(train, feats, LABEL).table(spark)
 
 
-def _select(spark, sf_dir, method: str) -> DataFrame:
+def _select(spark, sf_dir, method: str, n: int | None = 30) -> DataFrame:
     train, _, feats = split_frames(spark, sf_dir)
-    return FeatureSelector(method, 30).fit(train, feats, LABEL).table(spark).select("feature")
+    return FeatureSelector(method, n or len(feats), estimator="bins").fit(train, feats, LABEL).table(spark).select("feature")
 
 
 @query("select_variance")
 def q_select_variance(spark, sf_dir):
-    """F9 'variance'."""
-    return _select(spark, sf_dir, "variance")
+    """F9 'variance', without a limit of their number."""
+    return _select(spark, sf_dir, "variance", None)
 
 
 @query("select_correlation")
 def q_select_correlation(spark, sf_dir):
-    """F9 'correlation'."""
-    return _select(spark, sf_dir, "correlation")
+    """F9 'correlation', without a limit of their number."""
+    return _select(spark, sf_dir, "correlation", None)
 
 
 @query("select_mutual_info")
 def q_select_mutual_info(spark, sf_dir):
-    """F9 'mutual_info'."""
+    """F9 'mutual_info', in bins."""
     return _select(spark, sf_dir, "mutual_info")
 
 
+@query("select_neighbours")
+def q_select_neighbours(spark, sf_dir):
+    """F9 'mutual_info', by nearest neighbours, features rounded as in
+    ``feature_projection``."""
+    train, _, feats = split_frames(spark, sf_dir)
+    return FeatureSelector("mutual_info", 30).fit(rnd(train, overrides=LEVELS), feats, LABEL).table(spark).select("feature")
+
+
 @query("rf_importance")
 def q_rf_importance(spark, sf_dir):
     """forest regression importances for the 21-row forward return."""
@@ -159,33 +185,37 @@ def q_feature_duel(spark, sf_dir):
     return rnd(S.feature_duel(_report(spark, sf_dir)))
 
 
-@query("model_roundtrip")
-def q_model_roundtrip(spark, sf_dir):
-    """Fit, save, load, rescore; the largest probability difference
-    between the fitted and the reloaded model (0 when the roundtrip is exact)."""
-    train, test, feats = split_frames(spark, sf_dir)
-    data = train.filter(F.col(LABEL).isNotNull())
-    models = {NAME: (feats, {"lr": T.fit_model(data, feats, LABEL, "lr")})}
+def _stored(spark, sf_dir) -> tuple[dict, dict, DataFrame]:
+    """All fitted models, the same read back from their published version, and
+    the test period."""
+    models, _, test = _all_models(spark, sf_dir)
     path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
     T.save_models(models, path, spark)
-    loaded = T.load_model(path, NAME, "lr")
-    t = test.filter(F.col(LABEL).isNotNull())
-    a = T.score(models[NAME][1]["lr"], t, feats, KEYS)
-    b = T.score(loaded, t, feats, KEYS).withColumnRenamed("p", "p2")
-    return a.join(b, KEYS).agg(F.count(F.lit(1)).alias("n"),
-                               F.max(F.abs(F.col("p") - F.col("p2"))).alias("max_abs_diff"))
+    return models, T.load_models(path, spark), test
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Fit, save, load, rescore, for every target and family; the largest
+    probability difference between the fitted and the reloaded model (0 when
+    the roundtrip is exact)."""
+    models, loaded, test = _stored(spark, sf_dir)
+    a = T.scores_long(models, test, KEYS)
+    b = T.scores_long(loaded, test, KEYS).withColumnRenamed("p", "p2").drop("y")
+    return a.join(b, ["target", "model", *KEYS]).groupBy("target", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p") - F.col("p2"))).alias("max_abs_diff"))
 
 
 @query("score_batch")
 def q_score_batch(spark, sf_dir):
-    """A stored model scored on the test period with its target's own
-    selected features, read back from the stored table."""
-    train, test, feats = split_frames(spark, sf_dir)
-    path = f"{checkpoint_dir(spark)}/models-{uuid.uuid4().hex}"
-    vec = T.vectors(train.filter(F.col(LABEL).isNotNull()), feats, [LABEL])
-    T.save_models({NAME: T.train_target(vec, feats, LABEL, T.N_FEATURES[NAME], ("lr",))}, path, spark)
-    sel = [r["feature"] for r in spark.read.parquet(f"{path}/selected_features")
-           .filter(F.col("target") == NAME).orderBy("position").collect()]
-    m = T.load_model(path, NAME, "lr")
-    t = test.filter(F.col(LABEL).isNotNull())
-    return rnd(T.score(m, t, sel, [*KEYS, F.col(LABEL).cast("int").alias("y")]))
+    """The published models of all targets and families, and their vote,
+    scored on the test period with each target's own selected features."""
+    _, loaded, test = _stored(spark, sf_dir)
+    return rnd(T.scores_long(loaded, test, KEYS))
+
+
+@query("score_batch_rows")
+def q_score_batch_rows(spark, sf_dir):
+    """The rows that ``score_batch`` scores, with their labels."""
+    _, loaded, test = _stored(spark, sf_dir)
+    return T.scores_long(loaded, test, KEYS).select("target", "model", *KEYS, "y", F.col("p").between(0, 1).alias("valid"))

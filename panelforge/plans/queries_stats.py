@@ -15,6 +15,7 @@ from panelforge.operators import scaling as Z
 from panelforge.operators import selection as S
 from panelforge.operators import windows as W
 from panelforge.operators.labels import HORIZONS, labels, panel_labels
+from panelforge.operators.mutual import mutual_info_neighbours
 from panelforge.operators.xsection import xs_rank
 from panelforge.plans.pipeline import SCALABLE, feature_columns
 from panelforge.plans.queries import KEYS, LEVELS, engineered, framed, out, panel, query
@@ -169,6 +170,13 @@ def q_corr_matrix(spark, sf_dir):
     return rnd(S.corr_matrix(engineered(spark, sf_dir, cols=HEATMAP), HEATMAP))
 
 
+@query("corr_matrix_all")
+def q_corr_matrix_all(spark, sf_dir):
+    """pairwise-complete correlations of all 61 features."""
+    df = engineered(spark, sf_dir)
+    return rnd(S.corr_matrix(df, feature_columns(df)))
+
+
 @query("variance_filter")
 def q_variance_filter(spark, sf_dir):
     """features with population variance > 0.01."""
@@ -191,6 +199,15 @@ def q_mutual_info_topk(spark, sf_dir):
     return rnd(S.top_by(S.mutual_info(df, feats, TARGET, bins=10), "mi", 30))
 
 
+@query("mutual_info_neighbours")
+def q_mutual_info_neighbours(spark, sf_dir):
+    """mutual information of every feature with the label by nearest
+    neighbours. The features are rounded as in ``feature_projection``, so that
+    ties are the same in every engine."""
+    df, feats = train_frame(spark, sf_dir)
+    return rnd(mutual_info_neighbours(rnd(df, overrides=LEVELS), feats, TARGET))
+
+
 @query("selection_intersect")
 def q_selection_intersect(spark, sf_dir):
     """Variance survivors that are also in the mutual-information top 30."""

@@ -35,8 +35,9 @@ def run_train(spark: SparkSession, bars: DataFrame, out: str, cut: str,
 
     Stages written: ``engineered-...``, ``scaler-...``, ``normalized-...``
     (named after what they depend on), ``models``, ``class_distribution`` of
-    the training and test periods, and ``current`` (where ``run_test`` finds
-    the normalized panel). ``purged`` leaves labels out of training that look
+    the training and test periods, ``fits`` (each model as it ends) and
+    ``current`` (where ``run_test`` finds the normalized panel). ``models`` holds
+    versions; the published one is replaced whole. ``purged`` leaves labels out of training that look
     at prices from ``cut`` on.
     """
     made = _inputs(bars)
@@ -51,7 +52,7 @@ def run_train(spark: SparkSession, bars: DataFrame, out: str, cut: str,
     if purged:
         train = purge_labels(norm, cut)
     models = T.train_all(train, feats, T.N_FEATURES, families, rounds, min_rows,
-                         select_rounds=select_rounds)
+                         select_rounds=select_rounds, folder=f"{out}/fits")
     T.save_models(models, f"{out}/models", spark)
     balance = E.class_balance(tag_split(norm, cut), [f"target_{t}" for t in T.N_FEATURES], by=["split"])
     write_stage(balance, f"{out}/class_distribution")
@@ -64,11 +65,8 @@ def run_test(spark: SparkSession, out: str, cut: str, families=T.FAMILIES) -> Da
     path = spark.read.parquet(f"{out}/current").first()["path"]
     norm = spark.read.parquet(path)
     _, test = time_split(norm, cut)
-    sel = spark.read.parquet(f"{out}/models/selected_features")
-    models = {}
-    for name in [r["target"] for r in sel.select("target").distinct().collect()]:
-        feats = [r["feature"] for r in sel.filter(F.col("target") == name).orderBy("position").collect()]
-        models[name] = (feats, {f: T.load_model(f"{out}/models", name, f) for f in families})
+    models = {t: (feats, {f: m for f, m in fams.items() if f in families})
+              for t, (feats, fams) in T.load_models(f"{out}/models", spark).items()}
     scores = T.scores_long(models, test, KEYS)
     results = E.results_table(scores)
     write_stage(results, f"{out}/results")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -144,8 +145,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     column pruning and predicate pushdown on it: a consumer of 13 of 86
     engineered columns reads 13.
     """
-    import uuid
-
     from panelforge.session import checkpoint_dir
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/stages/{name}-{uuid.uuid4().hex}"
@@ -167,6 +166,36 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
+def publish(spark: SparkSession, path: str, version: str) -> None:
+    """Make ``version`` the one that ``published(path)`` names. The pointer is
+    written in full under another name and renamed over the old one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fresh = hadoop.Path(folder, f"CURRENT-{uuid.uuid4().hex}")
+    out = fs.create(fresh)
+    out.write(bytearray(version.rsplit("/", 1)[-1].encode()))
+    out.close()
+    context = hadoop.FileContext.getFileContext(folder.toUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    options[0] = hadoop.Options.Rename.OVERWRITE      # replaces the old pointer in one step
+    context.rename(fs.makeQualified(fresh), fs.makeQualified(hadoop.Path(folder, "CURRENT")), options)
+
+
+def published(spark: SparkSession, path: str) -> str | None:
+    """Folder of the published version under ``path``, if any."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    mark = hadoop.Path(f"{path}/CURRENT")
+    fs = mark.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(mark):
+        return None
+    stream = fs.open(mark)
+    name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return f"{path}/{name}"
+
+
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                   fmt: str = "parquet", params: dict | None = None) -> DataFrame:
     """Reuse a stored stage output when it is complete, else build and store it.
