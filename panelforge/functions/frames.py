@@ -23,6 +23,7 @@ _AGGS = {
     "max": F.max,
     "min": F.min,
 }
+_SQL = {"mean": "avg", "std": "stddev_samp", "var": "var_samp"}
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,18 @@ class PanelWindow:
         """All earlier rows, not the current one."""
         return self.ordered.rowsBetween(Window.unboundedPreceding, -1)
 
+    def over(self, back: int | None = None) -> str:
+        """The window as SQL text: its order, or the last ``back`` rows. One
+        parsed expression costs one call to the JVM; a Column tree one a node."""
+        rows = "" if back is None else f" ROWS BETWEEN {back - 1} PRECEDING AND CURRENT ROW"
+        parts, order = ", ".join(f"`{c}`" for c in self.parts), ", ".join(f"`{c}`" for c in (*self.lead_by, self.time))
+        return f"OVER (PARTITION BY {parts} ORDER BY {order}{rows})"
+
+    def roll_sql(self, c: str, n: int, agg: str = "avg") -> str:
+        """``roll`` of an SQL expression, as SQL."""
+        w = self.over(n)
+        return f"CASE WHEN count({c}) {w} = {n} THEN {_SQL.get(agg, agg)}({c}) {w} END"
+
     def lag(self, c, n: int = 1) -> Column:
         return F.lag(c, n).over(self.ordered)
 

@@ -35,7 +35,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.frames import PanelWindow
@@ -45,17 +45,21 @@ PW = PanelWindow()
 SHORTEST = 1.7     # spans below it (but 1, a forward fill) are refused
 
 
-def _series():
-    return Window.partitionBy("__k").orderBy("__per")
+# Windows over the periods of a series, as SQL text (one call to the JVM each).
+SERIES = "OVER (PARTITION BY __k ORDER BY __per)"
+BEFORE = "OVER (PARTITION BY __k ORDER BY __per ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def _before():
-    return _series().rowsBetween(Window.unboundedPreceding, -1)
+def _in_period(hw: PanelWindow, frame: str = "") -> str:
+    """Window over the rows of one period of a bucket; it shares the frame's sort."""
+    parts = ", ".join(f"`{c}`" for c in (*hw.parts, *hw.lead_by))
+    rows = {"": "", "run": " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW",
+            "before": " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"}[frame]
+    return f"OVER (PARTITION BY {parts} ORDER BY `{hw.time}`{rows})"
 
 
-def _in_period(hw: PanelWindow):
-    """Window over the rows of one period of a bucket; it shares the frame's sort."""
-    return Window.partitionBy(*hw.parts, *hw.lead_by).orderBy(hw.time)
+def _keep(df: DataFrame, gone) -> list[str]:
+    return [f"`{c}`" for c in df.columns if c not in gone]
 
 
 class Fill:
@@ -65,39 +69,36 @@ class Fill:
         self.names = names
 
     def aggs(self, time: str) -> list[Column]:
-        return [F.max_by(s, F.when(F.col(s).isNotNull(), F.col(time))).alias(f"__e_{t}") for s, t in self.names.items()]
+        return [F.expr(f"max_by(`{s}`, CASE WHEN `{s}` IS NOT NULL THEN `{time}` END) AS `__e_{t}`")
+                for s, t in self.names.items()]
 
     def scan(self, t: DataFrame) -> DataFrame:
-        return t.select("*", *[F.last(f"__e_{o}", ignorenulls=True).over(_before()).alias(f"__p_{o}")
-                               for o in self.names.values()])
+        return t.selectExpr("*", *[f"last(`__e_{o}`, true) {BEFORE} AS `__p_{o}`" for o in self.names.values()])
 
     def entry(self) -> list[str]:
         return [f"__p_{o}" for o in self.names.values()]
 
     def rows(self, d: DataFrame, hw: PanelWindow) -> DataFrame:
-        run = _in_period(hw).rowsBetween(Window.unboundedPreceding, 0)
-        new = [F.coalesce(F.last(s, ignorenulls=True).over(run), F.col(f"__p_{o}")).alias(o)
-               for s, o in self.names.items()]
-        gone = {*self.entry(), *self.names.values()}
-        return d.select(*[c for c in d.columns if c not in gone], *new)
+        run = _in_period(hw, "run")
+        new = [f"coalesce(last(`{s}`, true) {run}, `__p_{o}`) AS `{o}`" for s, o in self.names.items()]
+        return d.selectExpr(*_keep(d, {*self.entry(), *self.names.values()}), *new)
 
 
-def affine_scan(t: DataFrame, maps: Sequence[tuple[Column, Column]], outs: Sequence[str], periods: int) -> DataFrame:
-    """Adds, for each map (alpha, beta) of a period, the value it receives: the
-    maps of all periods before it, composed and applied to 0 (NULL in the
-    first period). ``periods`` bounds the rows of a series in ``t``."""
+def affine_scan(t: DataFrame, maps: Sequence[tuple[str, str]], outs: Sequence[str], periods: int) -> DataFrame:
+    """Adds, for each map (alpha, beta; SQL text) of a period, the value it
+    receives: the maps of all periods before it, composed and applied to 0
+    (NULL in the first period). ``periods`` bounds the rows of a series in
+    ``t``."""
     names = [(f"__a{i}", f"__b{i}") for i in range(len(maps))]
-    t = t.select("*", *[c for (a, b), (m, n) in zip(maps, names) for c in (a.alias(m), b.alias(n))])
+    t = t.selectExpr("*", *[f"{v} AS {c}" for pair, cols in zip(maps, names) for v, c in zip(pair, cols)])
+    base = _keep(t, {c for pair in names for c in pair})
     reach = 1
     while reach < periods:
-        new = {}
-        for a, b in names:
-            new[a] = F.col(a) * F.coalesce(F.lag(a, reach).over(_series()), F.lit(1.0))
-            new[b] = F.col(b) + F.col(a) * F.coalesce(F.lag(b, reach).over(_series()), F.lit(0.0))
-        t = t.select(*[c for c in t.columns if c not in new], *[v.alias(k) for k, v in new.items()])
+        t = t.selectExpr(*base, *[x for a, b in names for x in (
+            f"{a} * coalesce(lag({a}, {reach}) {SERIES}, 1.0D) AS {a}",
+            f"{b} + {a} * coalesce(lag({b}, {reach}) {SERIES}, 0.0D) AS {b}")])
         reach *= 2
-    t = t.select("*", *[F.lag(b, 1).over(_series()).alias(o) for (_, b), o in zip(names, outs)])
-    return t.drop(*[c for pair in names for c in pair])
+    return t.selectExpr(*base, *[f"lag({b}, 1) {SERIES} AS {o}" for (_, b), o in zip(names, outs)])
 
 
 class Ema:
@@ -112,61 +113,50 @@ class Ema:
     def _n(self, name: str, k: int | str = "") -> str:
         return f"__{self.tag}{name}{k}"
 
-    # -- one period --------------------------------------------------------
-    def _start(self) -> dict[str, Column]:
-        acc = {"i": F.lit(0), "first": F.lit(-1), "last": F.lit(-1), "x1": F.lit(None).cast("double")}
+    # -- one period: SQL text of a fold's state, and of its next state ------
+    def _start(self) -> dict[str, str]:
+        acc = {"i": "0", "first": "-1", "last": "-1", "x1": "CAST(NULL AS DOUBLE)"}
         for k in range(len(self.rates)):
-            acc |= {f"c{k}": F.lit(0.0), f"d{k}": F.lit(0.0)}
+            acc |= {f"c{k}": "0.0D", f"d{k}": "0.0D"}
         return acc
 
-    def _step(self, acc: Column, x: Column) -> dict[str, Column]:
-        none, begun = x.isNull(), acc["first"] >= 0
-        gap = acc["i"] - acc["last"]
-        new = {"i": acc["i"] + 1, "first": F.when(none | begun, acc["first"]).otherwise(acc["i"]),
-               "last": F.when(none, acc["last"]).otherwise(acc["i"]), "x1": F.when(begun, acc["x1"]).otherwise(x)}
+    def _step(self) -> dict[str, str]:
+        new = {"i": "s.i + 1", "first": "CASE WHEN r.x IS NULL OR s.first >= 0 THEN s.first ELSE s.i END",
+               "last": "CASE WHEN r.x IS NULL THEN s.last ELSE s.i END",
+               "x1": "CASE WHEN s.first >= 0 THEN s.x1 ELSE r.x END"}
         for k, a in enumerate(self.rates):
-            p = F.pow(F.lit(1.0 - a), gap)
-            c, d = acc[f"c{k}"], acc[f"d{k}"]
-            new[f"c{k}"] = F.when(none, c).when(begun, c * p / (p + a)).otherwise(1.0)
-            new[f"d{k}"] = F.when(none, d).when(begun, (d * p + a * x) / (p + a)).otherwise(0.0)
+            p = f"pow({_num(1.0 - a)}, s.i - s.last)"
+            new[f"c{k}"] = f"CASE WHEN r.x IS NULL THEN s.c{k} WHEN s.first >= 0 THEN s.c{k} * {p} / ({p} + {_num(a)}) ELSE 1.0D END"
+            new[f"d{k}"] = (f"CASE WHEN r.x IS NULL THEN s.d{k} WHEN s.first >= 0 "
+                            f"THEN (s.d{k} * {p} + {_num(a)} * r.x) / ({p} + {_num(a)}) ELSE 0.0D END")
         return new
 
     def aggs(self, time: str) -> list[Column]:
         """The fold of a period: its rows in order, at most 366 of them."""
-        rows = F.array_sort(F.collect_list(F.struct(F.col(time).alias("t"), F.col(self.src).cast("double").alias("x"))))
-        start = self._start()
-
-        def merge(acc, row):
-            new = self._step(acc, row["x"])
-            return F.struct(*[new[n].alias(n) for n in start])
-
-        return [F.aggregate(rows, F.struct(*[v.alias(n) for n, v in start.items()]), merge).alias(self._n("f"))]
+        rows = f"array_sort(collect_list(named_struct('t', `{time}`, 'x', CAST(`{self.src}` AS DOUBLE))))"
+        start = ", ".join(f"'{n}', {v}" for n, v in self._start().items())
+        step = ", ".join(f"'{n}', {v}" for n, v in self._step().items())
+        return [F.expr(f"aggregate({rows}, named_struct({start}), (s, r) -> named_struct({step})) AS {self._n('f')}")]
 
     # -- all periods of a series ------------------------------------------
     def scan(self, t: DataFrame) -> DataFrame:
         periods = longest_series(t)
-        f = F.col(self._n("f"))
-        some = f["first"] >= 0
-        last = F.last(F.when(some, F.col("__c0") + f["last"]), ignorenulls=True).over(_before())
-        t = t.select("*", last.alias("__pl"))
-        first = F.col("__pl").isNull()
-        away = F.col("__c0") + f["first"] - F.col("__pl")
-        maps = []
+        f = self._n("f")
+        t = t.selectExpr("*", f"last(CASE WHEN {f}.first >= 0 THEN __c0 + {f}.last END, true) {BEFORE} AS __pl")
+        maps, new = [], []
         for k, a in enumerate(self.rates):
-            p = F.pow(F.lit(1.0 - a), away)
-            c, d, x1 = f[f"c{k}"], f[f"d{k}"], f["x1"]
-            maps.append((F.when(~some, 1.0).when(first, 0.0).otherwise(c * p / (p + a)),
-                         F.when(~some, 0.0).when(first, c * x1 + d).otherwise(c * a * x1 / (p + a) + d)))
-        t = affine_scan(t, maps, [self._n("v", k) for k in range(len(maps))], periods)
-        new = []
-        for k, a in enumerate(self.rates):
-            p, v = F.pow(F.lit(1.0 - a), away), F.when(~first, F.col(self._n("v", k)))
-            new += [v.alias(self._n("in", k)),
-                    F.when(first, f["x1"]).otherwise((p * v + a * f["x1"]) / (p + a)).alias(self._n("y", k))]
-        t = t.select("*", *new).drop(*[self._n("v", k) for k in range(len(maps))])
-        return self._more(t, f, periods).drop("__pl")
-
-    def _more(self, t: DataFrame, f: Column, periods: int) -> DataFrame:
+            p, a, v = f"pow({_num(1.0 - a)}, __c0 + {f}.first - __pl)", _num(a), self._n("v", k)
+            c, d, x1 = f"{f}.c{k}", f"{f}.d{k}", f"{f}.x1"
+            maps.append((f"CASE WHEN {f}.first < 0 THEN 1.0D WHEN __pl IS NULL THEN 0.0D ELSE {c} * {p} / ({p} + {a}) END",
+                         f"CASE WHEN {f}.first < 0 THEN 0.0D WHEN __pl IS NULL THEN {c} * {x1} + {d} "
+                         f"ELSE {c} * {a} * {x1} / ({p} + {a}) + {d} END"))
+            new += [f"CASE WHEN __pl IS NOT NULL THEN {v} END AS {self._n('in', k)}",
+                    f"CASE WHEN __pl IS NULL THEN {x1} ELSE ({p} * {v} + {a} * {x1}) / ({p} + {a}) END AS {self._n('y', k)}"]
+        values = [self._n("v", k) for k in range(len(maps))]
+        t = affine_scan(t, maps, values, periods)
+        return self._more(t.selectExpr(*_keep(t, values), *new), periods).drop("__pl")
+
+    def _more(self, t: DataFrame, periods: int) -> DataFrame:
         return t
 
     def entry(self) -> list[str]:
@@ -174,34 +164,25 @@ class Ema:
 
     # -- rows --------------------------------------------------------------
     def rows(self, d: DataFrame, hw: PanelWindow) -> DataFrame:
-        order = _in_period(hw)
-        run = order.rowsBetween(Window.unboundedPreceding, 0)
-        x = F.col(self.src).cast("double")
-        base = [c for c in d.columns if c not in self.outs]
-        d = d.select(*base, (F.row_number().over(order) - 1).alias("__i"))
-        at = F.when(x.isNotNull(), F.col("__i"))
-        d = d.select("*", F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("__lo"))
-        step = x.isNotNull() & F.col("__lo").isNotNull()
-        gap = F.col("__i") - F.col("__lo")
-
-        def weight(a, g):
-            return F.pow(F.lit(1.0 - a), g)
-
-        def decay(k):
-            return weight(self.rates[k], F.col("__dense")) * F.exp(-F.col(f"__s{k}"))
-
-        ks = range(len(self.rates))
-        d = d.select("*", F.count(F.when(step & (gap == 1), 1)).over(run).alias("__dense"), *[
-            F.sum(F.when(step & (gap > 1), -F.log(weight(self.rates[k], gap) / (weight(self.rates[k], gap) + self.rates[k])))
-                  .otherwise(0.0)).over(run).alias(f"__s{k}") for k in ks])
-        d = d.select("*", *[
-            F.sum(F.when(step, self.rates[k] * x / (weight(self.rates[k], gap) + self.rates[k]) / decay(k)).otherwise(0.0))
-            .over(run).alias(f"__c{k}") for k in ks])
-        seen = x.isNotNull() | F.col("__lo").isNotNull()
+        run, x, ks = _in_period(hw, "run"), f"CAST(`{self.src}` AS DOUBLE)", range(len(self.rates))
+        d = d.selectExpr(*_keep(d, self.outs), f"row_number() {_in_period(hw)} - 1 AS __i")
+        d = d.selectExpr("*", f"last(CASE WHEN {x} IS NOT NULL THEN __i END, true) {_in_period(hw, 'before')} AS __lo")
+        step, gap = f"{x} IS NOT NULL AND __lo IS NOT NULL", "(__i - __lo)"
+        rate = [_num(a) for a in self.rates]
+        p = [f"pow({_num(1.0 - a)}, {gap})" for a in self.rates]
+        decay = [f"pow({_num(1.0 - a)}, __dense) * exp(-__s{k})" for k, a in enumerate(self.rates)]
+        d = d.selectExpr("*", f"count(CASE WHEN {step} AND {gap} = 1 THEN 1 END) {run} AS __dense", *[
+            f"sum(CASE WHEN {step} AND {gap} > 1 THEN -ln({p[k]} / ({p[k]} + {rate[k]})) ELSE 0.0D END) {run} AS __s{k}"
+            for k in ks])
+        d = d.selectExpr("*", *[
+            f"sum(CASE WHEN {step} THEN {rate[k]} * {x} / ({p[k]} + {rate[k]}) / ({decay[k]}) ELSE 0.0D END) {run} AS __c{k}"
+            for k in ks])
         gone = {*self.entry(), "__lo", "__dense", *[f"__{n}{k}" for k in ks for n in "sc"]}
-        return d.select(*[c for c in d.columns if c not in gone], *[
-            F.when(seen, decay(k) * (F.col(self._n("y", k)) + F.col(f"__c{k}"))).otherwise(F.col(self._n("in", k))).alias(o)
-            for k, o in zip(ks, self.outs)]).drop(*(["__i"] if type(self) is Ema else []))
+        if type(self) is Ema:
+            gone.add("__i")
+        return d.selectExpr(*_keep(d, gone), *[
+            f"CASE WHEN {x} IS NOT NULL OR __lo IS NOT NULL THEN {decay[k]} * ({self._n('y', k)} + __c{k}) "
+            f"ELSE {self._n('in', k)} END AS `{o}`" for k, o in zip(ks, self.outs)])
 
 
 class Macd(Ema):
@@ -213,44 +194,44 @@ class Macd(Ema):
         if signal < SHORTEST:
             raise ValueError(f"spans below {SHORTEST} are not supported")
 
-    def _start(self) -> dict[str, Column]:
+    def _start(self) -> dict[str, str]:
         # signal at the end = g * signal received + gm * line received
         #                     + gf * first fast value + gs * first slow value + g0
-        return super()._start() | {"g": F.lit(1.0), "gm": F.lit(0.0), "gf": F.lit(0.0), "gs": F.lit(0.0), "g0": F.lit(0.0)}
-
-    def _step(self, acc: Column, x: Column) -> dict[str, Column]:
-        new = super()._step(acc, x)
-        a, q = self.rate, 1.0 - self.rate
-        seen = x.isNotNull() | (acc["first"] >= 0)
-        zero = F.lit(0.0)
-        new["g"] = q * acc["g"]
-        new["gm"] = q * acc["gm"] + F.when(seen, zero).otherwise(a)
-        new["gf"] = q * acc["gf"] + F.when(seen, a * new["c0"]).otherwise(zero)
-        new["gs"] = q * acc["gs"] - F.when(seen, a * new["c1"]).otherwise(zero)
-        new["g0"] = q * acc["g0"] + F.when(seen, a * (new["d0"] - new["d1"])).otherwise(zero)
+        return super()._start() | {"g": "1.0D", "gm": "0.0D", "gf": "0.0D", "gs": "0.0D", "g0": "0.0D"}
+
+    def _step(self) -> dict[str, str]:
+        new = super()._step()
+        a, q, seen = _num(self.rate), _num(1.0 - self.rate), "(r.x IS NOT NULL OR s.first >= 0)"
+        new["g"] = f"{q} * s.g"
+        new["gm"] = f"{q} * s.gm + CASE WHEN {seen} THEN 0.0D ELSE {a} END"
+        new["gf"] = f"{q} * s.gf + CASE WHEN {seen} THEN {a} * ({new['c0']}) ELSE 0.0D END"
+        new["gs"] = f"{q} * s.gs - CASE WHEN {seen} THEN {a} * ({new['c1']}) ELSE 0.0D END"
+        new["g0"] = f"{q} * s.g0 + CASE WHEN {seen} THEN {a} * (({new['d0']}) - ({new['d1']})) ELSE 0.0D END"
         return new
 
-    def _more(self, t: DataFrame, f: Column, periods: int) -> DataFrame:
-        zero = F.lit(0.0)
-        line = F.coalesce(F.col(self._n("in", 0)) - F.col(self._n("in", 1)), zero)
-        beta = (f["gm"] * line + f["g0"] + F.coalesce(f["gf"] * F.col(self._n("y", 0)), zero)
-                + F.coalesce(f["gs"] * F.col(self._n("y", 1)), zero))
-        return affine_scan(t, [(f["g"], beta)], [self._n("sig")], periods)
+    def _more(self, t: DataFrame, periods: int) -> DataFrame:
+        f, n = self._n("f"), self._n
+        beta = (f"{f}.gm * coalesce({n('in', 0)} - {n('in', 1)}, 0.0D) + {f}.g0 "
+                f"+ coalesce({f}.gf * {n('y', 0)}, 0.0D) + coalesce({f}.gs * {n('y', 1)}, 0.0D)")
+        return affine_scan(t, [(f"{f}.g", beta)], [n("sig")], periods)
 
     def entry(self) -> list[str]:
         return [*super().entry(), self._n("sig")]
 
     def rows(self, d: DataFrame, hw: PanelWindow) -> DataFrame:
-        had = [c for c in d.columns if c not in {*self.entry(), "macd", "macd_signal", "macd_hist"}]
+        had = _keep(d, {*self.entry(), "macd", "macd_signal", "macd_hist"})
         # Ema.rows drops what entered; the signal's own state stays beside it
-        d = super().rows(d.withColumn("__sig", F.coalesce(self._n("sig"), F.lit(0.0))), hw)
-        d = d.withColumn("macd", F.col("__fast") - F.col("__slow"))
-        q = F.lit(1.0 - self.rate)
-        run = _in_period(hw).rowsBetween(Window.unboundedPreceding, 0)
-        d = d.select("*", F.sum(F.coalesce("macd", F.lit(0.0)) / F.pow(q, F.col("__i"))).over(run).alias("__m"))
-        signal = F.pow(q, F.col("__i")) * (q * F.col("__sig") + self.rate * F.col("__m"))
-        d = d.select(*had, "macd", F.when(F.col("macd").isNotNull(), signal).alias("macd_signal"))
-        return d.select("*", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
+        d = super().rows(d.selectExpr("*", f"coalesce({self._n('sig')}, 0.0D) AS __sig"), hw)
+        a, q = _num(self.rate), _num(1.0 - self.rate)
+        d = d.selectExpr("*", "__fast - __slow AS macd",
+                         f"sum(coalesce(__fast - __slow, 0.0D) / pow({q}, __i)) {_in_period(hw, 'run')} AS __m")
+        d = d.selectExpr(*had, "macd", f"CASE WHEN macd IS NOT NULL THEN pow({q}, __i) * ({q} * __sig + {a} * __m) END AS macd_signal")
+        return d.selectExpr("*", "macd - macd_signal AS macd_hist")
+
+
+def _num(x: float) -> str:
+    """A double in SQL, to the last digit."""
+    return f"{x!r}D"
 
 
 def forward_fill(df: DataFrame, cols: Sequence[str] | dict[str, str], pw: PanelWindow = PW,

@@ -16,11 +16,9 @@ equal the standalone operators (tests compare them).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from panelforge.functions.frames import PanelWindow
-from panelforge.functions.nulls import div
 from panelforge.operators.carry import Macd
 from panelforge.operators.halo import BACK, BUCKET, FWD, with_halo
 from panelforge.operators.labels import HORIZONS, direction_col
@@ -44,9 +42,10 @@ BASE_ORDER = (
 )
 
 
-def _sel(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    keep = [c for c in df.columns if c not in cols]
-    return df.select(*keep, *[v.alias(k) for k, v in cols.items()])
+def _sel(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    """Columns given as SQL text, beside those that are there."""
+    keep = [f"`{c}`" for c in df.columns if c not in cols]
+    return df.selectExpr(*keep, *[f"{v} AS `{k}`" for k, v in cols.items()])
 
 
 def panel_features(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close",
@@ -69,52 +68,53 @@ def feature_names(labels: str | None, with_macd: bool = True) -> list[str]:
 
 def frame_features(df: DataFrame, pw: PanelWindow, price: str, labels: str | None) -> DataFrame:
     """The rolling features on one frame of buckets."""
-    x = F.col(price)
+    x, w = f"`{price}`", pw.over()
+
+    def ratio(a, b):
+        return f"try_divide({a}, {b})"
+
     # L1: one pass over raw columns
-    l1 = {f"return_{p}d": div(x, pw.lag(price, p)) - 1 for p in RETURN_PERIODS}
-    l1 |= {f"sma_{n}": pw.roll(price, n, "avg") for n in SMA_PERIODS}
-    l1["volume_sma_20"] = pw.roll("volume", 20, "avg")
-    l1["dollar_vol_20"] = pw.roll(F.col("close") * F.col("volume"), 20, "avg")
-    l1["__bb_std"] = pw.roll(price, 20, "std")
+    l1 = {f"return_{p}d": ratio(x, f"lag({x}, {p}) {w}") + " - 1" for p in RETURN_PERIODS}
+    l1 |= {f"sma_{n}": pw.roll_sql(x, n) for n in SMA_PERIODS}
+    l1["volume_sma_20"] = pw.roll_sql("volume", 20)
+    l1["dollar_vol_20"] = pw.roll_sql("(close * volume)", 20)
+    l1["__bb_std"] = pw.roll_sql(x, 20, "std")
     for lbl, n in EXTREMES:
-        l1[f"__max_{lbl}"] = pw.roll("close", n, "max")
-        l1[f"__min_{lbl}"] = pw.roll("close", n, "min")
-    l1["__prev_close"] = pw.lag("close", 1)
-    l1["__delta"] = x - pw.lag(price, 1)
+        l1[f"__max_{lbl}"] = pw.roll_sql("close", n, "max")
+        l1[f"__min_{lbl}"] = pw.roll_sql("close", n, "min")
+    l1["__prev_close"] = f"lag(close, 1) {w}"
+    l1["__delta"] = f"{x} - lag({x}, 1) {w}"
     if labels:
-        l1 |= {f"target_return_{n}": div(pw.lead(price, h), x) - 1 for n, h in HORIZONS}
+        l1 |= {f"target_return_{n}": ratio(f"lead({x}, {h}) {w}", x) + " - 1" for n, h in HORIZONS}
     df = _sel(df, l1)
 
     # Row expressions
-    c = F.col
-    p1 = {f"price_to_sma{n}": div(x, f"sma_{n}") for n in SMA_PERIODS}
-    p1["volume_ratio"] = div("volume", "volume_sma_20")
-    p1["dollar_volume"] = c("close") * c("volume")
-    p1["high_low_ratio"] = div("high", "low") - 1
-    p1["close_to_high"] = div(c("close") - c("low"), c("high") - c("low"))
-    p1["gap"] = div(c("open"), c("__prev_close")) - 1
-    p1["bb_upper"] = c("sma_20") + 2 * c("__bb_std")
-    p1["bb_lower"] = c("sma_20") - 2 * c("__bb_std")
+    p1 = {f"price_to_sma{n}": ratio(x, f"sma_{n}") for n in SMA_PERIODS}
+    p1["volume_ratio"] = ratio("volume", "volume_sma_20")
+    p1["dollar_volume"] = "close * volume"
+    p1["high_low_ratio"] = ratio("high", "low") + " - 1"
+    p1["close_to_high"] = ratio("close - low", "high - low")
+    p1["gap"] = ratio("open", "__prev_close") + " - 1"
+    p1["bb_upper"] = "sma_20 + 2 * __bb_std"
+    p1["bb_lower"] = "sma_20 - 2 * __bb_std"
     for lbl, _ in EXTREMES:
-        p1[f"dist_from_{lbl}_high"] = div(c("close"), c(f"__max_{lbl}")) - 1
-        p1[f"dist_from_{lbl}_low"] = div(c("close"), c(f"__min_{lbl}")) - 1
-    p1["__gain"] = F.coalesce(F.when(c("__delta") > 0, c("__delta")), F.lit(0.0))
-    p1["__loss"] = F.coalesce(F.when(c("__delta") < 0, -c("__delta")), F.lit(0.0))
+        p1[f"dist_from_{lbl}_high"] = ratio("close", f"__max_{lbl}") + " - 1"
+        p1[f"dist_from_{lbl}_low"] = ratio("close", f"__min_{lbl}") + " - 1"
+    p1["__gain"] = "coalesce(CASE WHEN __delta > 0 THEN __delta END, 0.0D)"
+    p1["__loss"] = "coalesce(CASE WHEN __delta < 0 THEN -__delta END, 0.0D)"
     df = _sel(df, p1)
-    df = _sel(df, {
-        "bb_position": div(x - c("bb_lower"), c("bb_upper") - c("bb_lower")),
-        "bb_width": div(c("bb_upper") - c("bb_lower"), c("sma_20"))})
 
     # L2: rolling statistics of L1 outputs
-    l2 = {f"volatility_{n}d": pw.roll("return_1d", n, "std") for n in VOL_PERIODS}
-    l2 |= {f"__g{n}": pw.roll("__gain", n, "avg") for n in RSI_PERIODS}
-    l2 |= {f"__l{n}": pw.roll("__loss", n, "avg") for n in RSI_PERIODS}
+    l2 = {"bb_position": ratio(f"{x} - bb_lower", "bb_upper - bb_lower"), "bb_width": ratio("bb_upper - bb_lower", "sma_20")}
+    l2 |= {f"volatility_{n}d": pw.roll_sql("return_1d", n, "std") for n in VOL_PERIODS}
+    l2 |= {f"__g{n}": pw.roll_sql("__gain", n) for n in RSI_PERIODS}
+    l2 |= {f"__l{n}": pw.roll_sql("__loss", n) for n in RSI_PERIODS}
     df = _sel(df, l2)
 
-    p2 = {name: div(f"volatility_{a}d", f"volatility_{b}d") for name, a, b in VOL_RATIOS}
+    p2 = {name: ratio(f"volatility_{a}d", f"volatility_{b}d") for name, a, b in VOL_RATIOS}
     for n in RSI_PERIODS:
-        g, lo = c(f"__g{n}"), c(f"__l{n}")
-        p2[f"rsi_{n}"] = F.when((lo == 0) & (g > 0), F.lit(100.0)).otherwise(100 - 100 / (1 + div(g, lo)))
+        p2[f"rsi_{n}"] = (f"CASE WHEN __l{n} = 0 AND __g{n} > 0 THEN 100.0D "
+                          f"ELSE 100 - 100 / (1 + {ratio(f'__g{n}', f'__l{n}')}) END")
     df = _sel(df, p2)
     if labels:
         df = df.select("*", *[direction_col(f"target_return_{n}", labels).alias(f"target_direction_{n}")

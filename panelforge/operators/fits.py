@@ -41,10 +41,9 @@ class Fit:
 
 
 def workers(spark: SparkSession, tasks_per_job: int, fits: int) -> int:
-    """Fits side by side: enough that their jobs fill the cores, with one more
-    to cover the driver's share of a job."""
+    """Fits side by side: enough that their jobs fill the cores."""
     cores = spark.sparkContext.defaultParallelism
-    return max(1, min(fits, -(-cores // max(1, tasks_per_job)) + 1))
+    return max(1, min(fits, -(-cores // max(1, tasks_per_job))))
 
 
 def run_fits(spark: SparkSession, fits: list[Fit], folder: str, side_by_side: int) -> dict[str, Any]:

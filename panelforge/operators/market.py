@@ -87,12 +87,11 @@ def market_comoments(df: DataFrame, pw: PanelWindow = PW, n: int = 63) -> DataFr
     moments: when all n pairs are complete the market column equals its
     pair-masked copy on the frame, so beta = cov / var(market) needs no
     separate frame (the n / (n - 1) factors of the sample forms cancel)."""
-    pa, pb = _pairs("return_1d", "market_return_1d")
-    w = pw.rows(n)
-    df = df.select("*", F.count(pa).over(w).alias("__n"), F.covar_pop(pa, pb).over(w).alias("__cov"),
-                   F.stddev_pop(pa).over(w).alias("__sa"), F.stddev_pop(pb).over(w).alias("__sb"))
-    full = F.col("__n") == n
-    sb = F.col("__sb")
-    return (df.withColumn("correlation_market", F.when(full, div(F.col("__cov"), F.col("__sa") * sb)))
-            .withColumn("beta", F.when(full, div(F.col("__cov"), sb * sb)))
-            .drop("__n", "__cov", "__sa", "__sb"))
+    pa = "CASE WHEN market_return_1d IS NOT NULL THEN return_1d END"
+    pb = "CASE WHEN return_1d IS NOT NULL THEN market_return_1d END"
+    w = pw.over(n)
+    df = df.selectExpr("*", f"count({pa}) {w} AS __n", f"covar_pop({pa}, {pb}) {w} AS __cov",
+                       f"stddev_pop({pa}) {w} AS __sa", f"stddev_pop({pb}) {w} AS __sb")
+    return df.selectExpr("*", f"CASE WHEN __n = {n} THEN try_divide(__cov, __sa * __sb) END AS correlation_market",
+                         f"CASE WHEN __n = {n} THEN try_divide(__cov, __sb * __sb) END AS beta").drop(
+                             "__n", "__cov", "__sa", "__sb")

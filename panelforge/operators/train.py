@@ -39,7 +39,8 @@ N_FEATURES = {"direction_1d": 30, "direction_5d": 35, "direction_21d": 40,
 
 # Rows of the vector table per task: a boosted tree runs a job per level, so
 # many tiny tasks would be all overhead; beyond MOST_ROWS a task's rows would
-# no longer fit beside others.
+# no longer fit beside others. Fits that run side by side share the cores: a
+# task more than a fit's share of them waits for other fits.
 ROWS_PER_TASK, MOST_ROWS = 20_000, 2_000_000
 
 
@@ -47,17 +48,19 @@ def assembler(features: Sequence[str], out: str = "features") -> VectorAssembler
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="keep")
 
 
-def vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Stored (keep..., all): the features as one vector, NULL as 0."""
+def vectors(df: DataFrame, features: Sequence[str], keep: Sequence[str], side_by_side: int = 1) -> DataFrame:
+    """Stored (keep..., all): the features as one vector, NULL as 0; read in as
+    few tasks as one of ``side_by_side`` fits can use."""
     data = df.select(*keep, *features).fillna(0.0, subset=list(features))
-    tasks = vector_tasks(df.count(), df.sparkSession.sparkContext.defaultParallelism)
-    return stage(assembler(features, "all").transform(data).select(*keep, "all").repartition(tasks), "vectors")
+    tasks = vector_tasks(df.count(), df.sparkSession.sparkContext.defaultParallelism, side_by_side)
+    vec = assembler(features, "all").transform(data).select(*keep, "all")
+    return stage(vec.repartition(tasks), "vectors").coalesce(tasks)
 
 
-def vector_tasks(rows: int, cores: int) -> int:
-    """As many tasks as keep the cores busy, each with at least ROWS_PER_TASK
-    rows, and at most MOST_ROWS."""
-    return max(1, min(-(-rows // ROWS_PER_TASK), cores), -(-rows // MOST_ROWS))
+def vector_tasks(rows: int, cores: int, side_by_side: int = 1) -> int:
+    """As many tasks as keep a fit's share of the cores busy, each with at least
+    ROWS_PER_TASK rows, and at most MOST_ROWS."""
+    return max(1, min(-(-rows // ROWS_PER_TASK), cores // side_by_side), -(-rows // MOST_ROWS))
 
 
 def sliced(vec: DataFrame, features: Sequence[str], some: Sequence[str]) -> DataFrame:
@@ -225,7 +228,7 @@ def train_all(train: DataFrame, features: Sequence[str], targets: dict[str, int]
     if not names:
         return {}
     spark = train.sparkSession
-    vec = vectors(train, features, [f"target_{t}" for t in names])
+    vec = vectors(train, features, [f"target_{t}" for t in names], len(names))
     made = {"rows": content(vec), "features": list(features)}
     fits = [f for t in names for f in target_fits(vec, features, t, targets[t], families, rounds, select_rounds, made)]
     tasks = vec.rdd.getNumPartitions()

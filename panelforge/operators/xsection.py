@@ -11,12 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType
 
-from panelforge.functions.nulls import div
-
 # Features ranked and z-scored within each date (fixed values).
 XS_FEATURES = ["return_1d", "return_5d", "return_21d", "return_63d",
                "volume_ratio", "volatility_21d", "rsi_14", "dollar_volume"]
@@ -74,24 +72,20 @@ def xs_rank(df: DataFrame, cols: Sequence[str] = XS_FEATURES, time: str = "date"
     """Dense percent rank within the date: dense_rank / distinct non-null
     values; NULL stays NULL (pandas ``rank(pct=True, method='dense')``)."""
     cols = [c for c in cols if c in df.columns]
-    wd = Window.partitionBy(time)
-    df = df.select("*", *[
-        F.when(F.col(c).isNotNull(),
-               F.dense_rank().over(Window.partitionBy(time).orderBy(F.col(c).asc_nulls_last())))
-        .alias(f"__dr_{c}") for c in cols])
-    df = df.select(*[x for x in df.columns if not x.startswith("__dr_")], *[
-        div(F.col(f"__dr_{c}").cast("double"), F.max(f"__dr_{c}").over(wd)).alias(f"{c}_rank")
+    base = [f"`{c}`" for c in df.columns]
+    df = df.selectExpr("*", *[
+        f"CASE WHEN `{c}` IS NOT NULL THEN dense_rank() OVER (PARTITION BY `{time}` ORDER BY `{c}` ASC NULLS LAST) END AS `__dr_{c}`"
         for c in cols])
-    return df
+    return df.selectExpr(*base, *[
+        f"try_divide(CAST(`__dr_{c}` AS DOUBLE), max(`__dr_{c}`) OVER (PARTITION BY `{time}`)) AS `{c}_rank`" for c in cols])
 
 
 def xs_zscore(df: DataFrame, cols: Sequence[str] = XS_FEATURES, time: str = "date") -> DataFrame:
     """(x - mean) / sample std within the date."""
     cols = [c for c in cols if c in df.columns]
-    wd = Window.partitionBy(time)
-    return df.select("*", *[
-        div(F.col(c) - F.avg(c).over(wd), F.stddev_samp(c).over(wd)).alias(f"{c}_zscore")
-        for c in cols])
+    w = f"OVER (PARTITION BY `{time}`)"
+    return df.selectExpr("*", *[
+        f"try_divide(`{c}` - avg(`{c}`) {w}, stddev_samp(`{c}`) {w}) AS `{c}_zscore`" for c in cols])
 
 
 def cross_sectional(df: DataFrame, cols: Sequence[str] = XS_FEATURES,

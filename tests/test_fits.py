@@ -53,9 +53,9 @@ def test_fits_run_side_by_side(spark, tmp_path):
 
     fits = [Fit(n, meet, lambda out, path: T.save_list(spark, out, path + "/list"), lambda path: None, {}) for n in "ab"]
     assert run_fits(spark, fits, f"file://{tmp_path}/s", 2) == {"a": ["met"], "b": ["met"]}
-    assert workers(spark, 10_000, 50) == 2 and workers(spark, 1, 3) == 3
+    assert workers(spark, 10_000, 50) == 1 and workers(spark, 1, 3) == 3
     assert T.vector_tasks(10, 8) == 1 and T.vector_tasks(100_000, 8) == 5
-    assert T.vector_tasks(10**7, 8) == 8 and T.vector_tasks(10**9, 8) == 500
+    assert T.vector_tasks(10**7, 8) == 8 and T.vector_tasks(10**6, 8, 6) == 1 and T.vector_tasks(10**6, 64, 6) == 10 and T.vector_tasks(10**9, 8) == 500
 
 
 def panel(spark, n=1500):
