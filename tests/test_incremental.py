@@ -2,6 +2,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import assert_frames_close
@@ -27,38 +28,33 @@ def bars(spark, n=900):
 
 
 def test_appended_days_equal_a_full_build(spark, tmp_path):
+    """One day, then later days together with a restated bar of the past."""
     all_bars, out = bars(spark), f"file://{tmp_path}/panel"
     last = dt.date(2019, 3, 1) + dt.timedelta(days=899)
     cut = last - dt.timedelta(days=40)
+    past = cut - dt.timedelta(days=5)
+    restated = all_bars.withColumn("adj_close", F.when(F.col("date") == past, F.col("adj_close") * 1.5)
+                                   .otherwise(F.col("adj_close"))).cache()
     I.build(spark, all_bars.where(F.col("date") < cut), out)
-    firsts = []
-    for since, to in ((cut, cut), (cut + dt.timedelta(days=1), last)):        # one day, then the rest
-        firsts.append(I.append(spark, all_bars.where(F.col("date") <= to), out, since))
-        want = engineer_features(all_bars.where(F.col("date") <= to))
-        got = I.read(spark, out)
+    for now, since in ((all_bars.where(F.col("date") <= cut), cut), (restated, past)):
+        first = I.append(spark, now, out, since)
+        assert min(I.manifest(spark, out)) == 2019 <= first
+        want, got = engineer_features(now), I.read(spark, out)
         assert got.columns == want.columns
         assert_frames_close(got, want, rtol=1e-10, atol=1e-11)
-    assert firsts[0] > 2019 or len(I.manifest(spark, out)) == 3
-
-
-def test_restated_bars_replace_what_is_stored(spark, tmp_path):
-    old, out = bars(spark, 500), f"file://{tmp_path}/panel"
-    day = dt.date(2020, 2, 1)
-    I.build(spark, old, out)
-    new = old.withColumn("adj_close", F.when(F.col("date") == day, F.col("adj_close") * 1.5).otherwise(F.col("adj_close")))
-    I.append(spark, new, out, day)
-    assert_frames_close(I.read(spark, out), engineer_features(new), rtol=1e-10, atol=1e-11)
 
 
 def test_a_broken_append_leaves_the_old_panel(spark, tmp_path, monkeypatch):
     old, out = bars(spark, 450), f"file://{tmp_path}/panel"
     day = dt.date(2019, 3, 1) + dt.timedelta(days=420)
+    monkeypatch.setattr(I, "engineer_rows", lambda d, *a, since=None, **k: d.where(F.year("date") >= (since or 0)))
+    monkeypatch.setattr(I, "market_table", lambda d, *a: d.groupBy("date").agg(F.count("close").alias("n")))
     I.build(spark, old.where(F.col("date") < day), out)
     rows = I.read(spark, out).count()
-    monkeypatch.setattr(I, "publish", lambda *a: (_ for _ in ()).throw(OSError("store")))
-    try:
-        I.append(spark, old, out, day)
-        raise AssertionError("the append should have failed")
-    except OSError:
-        pass
+    with monkeypatch.context() as m:
+        m.setattr(I, "publish", lambda *a: (_ for _ in ()).throw(OSError("store")))
+        with pytest.raises(OSError):
+            I.append(spark, old, out, day)
     assert I.read(spark, out).count() == rows
+    I.append(spark, old, out, day)
+    assert I.read(spark, out).count() == old.count() > rows
