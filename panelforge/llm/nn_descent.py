@@ -12,10 +12,20 @@ Every pair that a round computes at or above the threshold is kept as an edge
 (a task sends the star forest of its edges, never all pairs). Components of
 the edges are then counted exactly: members meet chunk against chunk, and each
 gets the number of vectors linked to it, also in components far larger than
-any list. Rounds end when no unsaturated list finds
-another link. The recall audit compares a bounded sample of vectors with all
-vectors of their label; while links are missing, another set of sign codes and
-another descent add edges.
+any list. Rounds end when no list finds another link
+and no saturated list can still grow. The recall audit compares a bounded
+sample of vectors with all vectors of their label; while a sampled vector
+misses a link, another set of sign codes and another descent add edges.
+
+A sample cannot show that nothing is missing, and one missing link splits a
+component. So the links between components are then searched exactly: the
+vectors of a label are cut into chunks (a component's members together, the
+others in the order of their codes) with a centre and a radius, and two chunks
+are compared when their centres are no further apart than both radii and the
+threshold's angle (angles obey the triangle inequality) and they are not of one
+component. Dense components are left out by their small radius; vectors spread
+over all directions are not, so their part of the search grows with the square
+of a label's unlinked vectors, spread over tasks of two chunks each.
 
 Exact copies are one vector throughout (they count as links of each other).
 """
@@ -26,6 +36,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,13 +52,17 @@ CODE_BITS = 48
 ROUNDS = 6
 COUNT_CHUNK = 512       # component members that meet in one cell, per side
 AUDIT_ROWS = 256        # vectors of the recall audit (a bounded sample)
-RECALL = 0.999
-AUDITS = 4
+AUDITS = 2
+CHUNK = 512             # vectors of a chunk of the exact search
+TIGHT = 64              # members of a component that make chunks of their own
+CENTRES = 1024          # chunk centres that meet in one cell, per side
+SLACK = 1e-6            # radians added to a bound, for rounding
 
 
 def unit(vectors) -> np.ndarray:
     """Rows scaled to length one, in double precision."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = x / np.abs(x).max(axis=1, keepdims=True)       # squares of large components stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -66,6 +81,10 @@ def distinct_vectors(rows: DataFrame) -> DataFrame:
                           F.xxhash64("label", F.size("v")).alias("block"), "v", "id", "copies"), "nn_vectors")
 
 
+def kind(vectors: DataFrame) -> str:
+    return vectors.schema["v"].dataType.simpleString()
+
+
 def planes(dim: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, CODE_BITS))
 
@@ -149,7 +168,7 @@ def start(vectors: DataFrame, seeds: list[int], threshold: float) -> DataFrame:
             yield pair_frame(found, edges, threshold)
 
     rows = vectors.select("node", "block", "v").mapInPandas(
-        code, "node long, block long, v array<float>, o int, code long")
+        code, f"node long, block long, v {kind(vectors)}, o int, code long")
     order = ["o", "block", "code", "tie"]
     return (rows.withColumn("tie", F.xxhash64("node", "o")).repartitionByRange(*order)
             .sortWithinPartitions(*order).mapInPandas(compare, PAIRS))
@@ -205,6 +224,12 @@ def refine(vectors: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
             .sortWithinPartitions(*order).mapInPandas(compare, PAIRS))
 
 
+def growing(graph: DataFrame, threshold: float) -> bool:
+    """Whether a list is full of links and may still be enlarged."""
+    full = graph.groupBy("a").agg(F.first("k").alias("k"), F.min("s").alias("low"), F.count(F.lit(1)).alias("n"))
+    return not full.where((F.col("n") >= F.col("k")) & (F.col("low") >= threshold) & (F.col("k") < LIST_MAX)).isEmpty()
+
+
 def descend(vectors: DataFrame, seeds: list[int], threshold: float, rounds: int) -> DataFrame:
     """Stored edges (a, b) of one start and its refinement."""
     pairs = stage(start(vectors, seeds, threshold), "nn_start")
@@ -213,9 +238,9 @@ def descend(vectors: DataFrame, seeds: list[int], threshold: float, rounds: int)
     for _ in range(rounds):
         pairs = stage(refine(vectors, graph, threshold), "nn_refine")
         edges = edges.unionByName(pairs.where("edge").select("a", "b"))
-        if pairs.where("fresh").isEmpty():     # no list that had room found a link
-            break
         graph = lists(pairs, graph, threshold)
+        if pairs.where("fresh").isEmpty() and not growing(graph, threshold):
+            break
     return stage(edges.distinct(), "nn_edges")
 
 
@@ -246,7 +271,8 @@ def count_links(vectors: DataFrame, comp: DataFrame, threshold: float) -> DataFr
 
 
 def audit(vectors: DataFrame, counts: DataFrame, threshold: float, rows: int) -> tuple[int, int]:
-    """(links found, links there) of a bounded sample, compared with all vectors."""
+    """(vectors whose links are all found, vectors) of a bounded sample, compared
+    with all vectors."""
     sample = vectors.orderBy(F.xxhash64("node", F.lit(77))).limit(rows).select("node", "block", "v").collect()
     if not sample:
         return 0, 0
@@ -273,12 +299,122 @@ def audit(vectors: DataFrame, counts: DataFrame, threshold: float, rows: int) ->
             .groupBy("node").agg(F.sum("n").alias("n")).collect()}
     ids = vectors.sparkSession.createDataFrame([(int(r.node),) for r in sample], "sn long")
     found = {r["on"]: r.others for r in counts.join(F.broadcast(ids), F.col("on") == F.col("sn")).collect()}
-    return sum(min(found.get(n, 0), k) for n, k in true.items()), sum(true.values())
+    return sum(found.get(n, 0) >= k for n, k in true.items()), len(true)
+
+
+def cut(f: pd.DataFrame, chunk: int) -> list[int]:
+    """Starts of the chunks of a sorted frame: where the label changes, where a
+    component of TIGHT members or more begins or ends, and every ``chunk`` rows."""
+    starts = []
+    for a, b in split_runs(f["block"].to_numpy()):
+        edges = {a}
+        for s, e in split_runs(f["comp"].to_numpy()[a:b]):
+            if f["comp"].iloc[a + s] >= 0 and e - s >= TIGHT:
+                edges |= {a + s, a + e}
+        edges = sorted(edges - {b}) + [b]
+        for s, e in zip(edges, edges[1:]):
+            starts += range(s, e, chunk)
+    return starts
+
+
+def chunked(vectors: DataFrame, comp: DataFrame, chunk: int) -> DataFrame:
+    """Stored (chunk, node, block, comp, v), comp -1 without a component; the first
+    row of a chunk also has its centre, radius (angle) and only component."""
+    rows = vectors.select("node", "block", "v").join(
+        comp.select(F.col("node").alias("cn"), "component"), F.col("node") == F.col("cn"), "left")
+    rows = rows.select("node", "block", "v", F.coalesce("component", F.lit(-1).cast("long")).alias("comp"))
+
+    def code(frames):
+        for f in frames:
+            yield f.assign(code=codes(f["v"].tolist(), [0])[:, 0])
+
+    def described(f, number):
+        x = unit(f["v"])
+        c = x.sum(axis=0)
+        c = c / np.linalg.norm(c) if np.linalg.norm(c) > 1e-9 else x[0]
+        radius = float(np.arccos(np.clip(x @ c, -1.0, 1.0)).max())
+        comp = f["comp"].to_numpy()
+        only = int(comp[0]) if (comp == comp[0]).all() else -1
+        rest = [None] * (len(f) - 1)
+        return pd.DataFrame({"chunk": number, "node": f["node"].to_numpy(), "block": f["block"].to_numpy(), "comp": comp,
+                             "v": f["v"].to_list(), "centre": [c.tolist(), *rest], "radius": [radius, *rest],
+                             "only": pd.array([only, *rest], dtype="Int64")})
+
+    def run(frames):
+        number, held, n = TaskContext.get().partitionId() << 32, [], 0
+        for f in frames:
+            held.append(f)
+            n += len(f)
+            if n >= 4 * chunk:
+                p = pd.concat(held, ignore_index=True)
+                starts = cut(p, chunk)
+                for a, b in zip(starts, starts[1:]):
+                    yield described(p.iloc[a:b], number)
+                    number += 1
+                held, n = [p.iloc[starts[-1]:]], len(p) - starts[-1]
+        if n:
+            p = pd.concat(held, ignore_index=True)
+            starts = cut(p, chunk)
+            for a, b in zip(starts, [*starts[1:], len(p)]):
+                yield described(p.iloc[a:b], number)
+                number += 1
+
+    order = ["block", "comp", "code", "node"]
+    coded = rows.mapInPandas(code, f"node long, block long, v {kind(vectors)}, comp long, code long")
+    return stage(coded.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(
+        run, f"chunk long, node long, block long, comp long, v {kind(vectors)}, centre array<double>, radius double, only long"),
+        "nn_chunks")
+
+
+def between(vectors: DataFrame, comp: DataFrame, threshold: float, chunk: int = CHUNK) -> DataFrame:
+    """Stored edges (a, b): the star forest of all links between vectors of
+    different components (or of none)."""
+    rows = chunked(vectors, comp, chunk)
+    centres = stage(rows.where("centre IS NOT NULL").select(F.col("chunk").alias("node"), "block", "centre", "radius", "only"),
+                    "nn_centres")
+    sizes = centres.groupBy(F.col("block").alias("sb")).agg(F.count(F.lit(1)).alias("size"))
+    centres = centres.join(sizes, F.col("block") == F.col("sb")).drop("sb")
+    reach = math.acos(threshold) + SLACK
+
+    def near(f: pd.DataFrame) -> pd.DataFrame | None:
+        out = []
+        for a, b in split_runs(f["cell"].to_numpy()):
+            p = f.iloc[a:b]
+            c = np.stack(p["centre"])
+            r, only, part = p["radius"].to_numpy(), p["only"].to_numpy(), p["part"].to_numpy()
+            ok = np.arccos(np.clip(c @ c.T, -1.0, 1.0)) <= r[:, None] + r[None, :] + reach
+            ok &= (only[:, None] != only[None, :]) | (only[:, None] < 0)
+            alone = bool(p["alone"].all())
+            if not alone:
+                ok &= part[:, None] != part[None, :]
+            i, j = np.nonzero(np.triu(ok, 0 if alone else 1))
+            out.append(pd.DataFrame({"x": p["node"].to_numpy()[i], "y": p["node"].to_numpy()[j]}))
+        return pd.concat(out)
+
+    pairs = map_groups(cells(centres, "block", "size", CENTRES).select("cell", "part", "alone", "node", "centre", "radius", "only"),
+                       "cell", near, "x long, y long")
+    pairs = stage(pairs.select(F.monotonically_increasing_id().alias("pair"), "x", "y"), "nn_chunk_pairs")
+    sides = pairs.select("pair", F.explode(F.array_distinct(F.array("x", "y"))).alias("side"))
+    dealt = sides.join(rows.select("chunk", "node", "comp", "v"), F.col("side") == F.col("chunk")).select("pair", "node", "comp", "v")
+
+    def compare(f: pd.DataFrame) -> pd.DataFrame | None:
+        edges = []
+        for a, b in split_runs(f["pair"].to_numpy()):
+            node, comp = f["node"].to_numpy()[a:b], f["comp"].to_numpy()[a:b]
+            x = unit(f["v"].iloc[a:b])
+            ok = (x @ x.T >= threshold) & ((comp[:, None] != comp[None, :]) | (comp[:, None] < 0))
+            i, j = np.nonzero(np.triu(ok, 1))
+            edges.append((node[i], node[j]))
+        n, r = forest(np.concatenate([e[0] for e in edges]), np.concatenate([e[1] for e in edges]))
+        m = n != r
+        return pd.DataFrame({"a": n[m], "b": r[m]})
+
+    return stage(map_groups(dealt, "pair", compare, "a long, b long"), "nn_between")
 
 
 def near_vectors(rows: DataFrame, key: str = "vec_id", embedding: str = "embedding", label: str = "label",
                  threshold: float = COSINE, rounds: int = ROUNDS, audit_rows: int = AUDIT_ROWS,
-                 recall: float = RECALL) -> DataFrame:
+                 chunk: int = CHUNK) -> DataFrame:
     """One row per input row: ``key``, n_links, component_id, kept.
 
     Vectors of one (non-null) label and length are linked when their cosine in
@@ -289,7 +425,10 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", embedding: str = "embeddi
     smallest key all have kept = true. A null key is never kept. An empty
     table gives an empty result. Other columns are not read.
     """
-    a = stage(rows.select(F.col(key).cast("long").alias("id"), F.col(embedding).cast("array<float>").alias("v"),
+    # doubles stay doubles; other components are exact as floats
+    exact = "array<double>" if "double" in rows.schema[embedding].dataType.simpleString() else "array<float>"
+    values = F.col(embedding).cast(exact)
+    a = stage(rows.select(F.col(key).cast("long").alias("id"), values.alias("v"),
                           F.col(label).alias("label"), valid(embedding, label).alias("ok")), "nn_rows")
     vectors = distinct_vectors(a)
     largest = vectors.groupBy("block").count().agg(F.max("count")).first()[0] or 0
@@ -301,9 +440,13 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", embedding: str = "embeddi
         edges = more if edges is None else edges.unionByName(more)
         comp = stage(components(edges, "nn_links"), "nn_components")
         counts = count_links(vectors, comp, threshold)
-        found, there = audit(vectors, counts, threshold, audit_rows)
-        if found >= recall * there:
+        whole, sampled = audit(vectors, counts, threshold, audit_rows)
+        if whole == sampled:
             break
+    missed = between(vectors, comp, threshold, chunk)
+    if not missed.isEmpty():
+        comp = stage(components(edges.unionByName(missed), "nn_links"), "nn_components")
+        counts = count_links(vectors, comp, threshold)
     named = stage(vectors.select("node", "id").join(comp.select(F.col("node").alias("cn"), "component"),
                                                     F.col("node") == F.col("cn"), "left")
                   .select("node", "id", F.coalesce("component", "node").alias("comp")), "nn_named")

@@ -92,3 +92,45 @@ def test_lists_get_only_better_and_new_neighbours():
 def test_tables_grow_with_the_block():
     assert tables_needed(10) == tables_needed(64) < tables_needed(10**6) < tables_needed(10**9) < 100
     assert tables_needed(0) >= 4
+
+
+def two_dense(links, dim=64, size=500, seed=5):
+    """Two clusters of ``size`` whose members all link within, and ``links``
+    pairs across: a vector of the second cluster moved to just within reach of
+    one of the first."""
+    rng = np.random.default_rng(seed)
+    axes = np.linalg.qr(rng.standard_normal((dim, 3)))[0].T
+    theta = math.acos(0.98)
+    c1, c2 = axes[0], math.cos(2.2 * theta) * axes[0] + math.sin(2.2 * theta) * axes[1]
+    rows = []
+    for c in (c1, c2):
+        for _ in range(size - links):
+            v = c + 0.012 * rng.standard_normal(dim)
+            rows.append(v / np.linalg.norm(v))
+    for i in range(links):          # bridge ends, 0.9 of the threshold's angle apart
+        w = 0.004 * rng.standard_normal(dim)
+        for t in (0.65, 1.55):
+            rows.append(math.cos(t * theta) * axes[0] + math.sin(t * theta) * axes[1] + w)
+    return [(i, [float(np.float32(x)) for x in v], 1) for i, v in enumerate(rows)]
+
+
+@pytest.mark.parametrize("links", [1, 26])
+def test_dense_clusters_joined_by_few_links(spark, links):
+    rows = two_dense(links)
+    assert len({c for _, _, c in brute(rows)}) == 1
+    check(spark, rows, chunk=128)
+
+
+def test_exact_search_without_any_descent(spark, monkeypatch):
+    """Links that no list found are all found between chunks."""
+    import panelforge.llm.nn_descent as nn
+    real = nn.descend
+    monkeypatch.setattr(nn, "descend", lambda *a: real(*a).limit(3))
+    check(spark, clusters(300, seed=8), chunk=64)
+
+
+def test_doubles_keep_their_digits(spark):
+    big = 1e300
+    rows = [(0, [big, big], 1), (1, [big, big * (1 + 1e-9)], 1), (2, [big, -big], 1)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in near_vectors(d).collect()) == [(0, 1, 0), (1, 1, 0), (2, 0, 2)]
