@@ -164,12 +164,28 @@ def rfe(df: DataFrame, features: Sequence[str], label: str, n: int, step: int =
 
 
 def rf_importance(df: DataFrame, features: Sequence[str], target: str,
-                  trees: int = 50, depth: int = 10) -> DataFrame:
-    """random-forest regression importances."""
-    rf = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees,
-                               maxDepth=depth, seed=SEED)
-    m = rf.fit(sliced(vectors(df, features, [target]), features, features))
-    return df.sparkSession.createDataFrame(_ranked(m, features), "feature string, importance double")
+                  trees: int = 50, depth: int = 10, folder: str | None = None) -> DataFrame:
+    """random-forest regression importances. The fitted ones are stored
+    under ``folder`` by the content of the rows, so reports that need the same
+    ones fit once."""
+    spark = df.sparkSession
+    vec = vectors(df, features, [target])
+
+    def run():
+        rf = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees, maxDepth=depth, seed=SEED)
+        return _ranked(rf.fit(sliced(vec, features, features)), features)
+
+    def save(ranked, path):
+        spark.createDataFrame(ranked, "feature string, importance double").write.mode("overwrite").parquet(f"{path}/list")
+
+    def load(path):
+        rows = spark.read.parquet(f"{path}/list").collect()      # one row a feature
+        return sorted(((r["feature"], r["importance"]) for r in rows), key=lambda x: (-x[1], x[0]))
+
+    fit = Fit(f"forest_{target}", run, save, load,
+              {"rows": content(vec), "features": list(features), "trees": trees, "depth": depth})
+    ranked = run_fits(spark, [fit], folder or f"{checkpoint_dir(spark)}/fits", 1)[fit.name]
+    return spark.createDataFrame(ranked, "feature string, importance double")
 
 
 def content(vec: DataFrame) -> list[int]:

@@ -132,6 +132,8 @@ SELECT p_brand AS ticker, CAST(l_shipdate AS DATE) AS date,
        l_orderkey, l_linenumber, l_partkey, l_suppkey
 FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
+ORACLE["load_bars"] = with_(BARS) + """SELECT ticker, date, open, high, low, close, volume, close AS adj_close,
+       CAST(NULL AS DOUBLE) AS dividends, 0.0::DOUBLE AS stock_splits FROM bars"""
 ORACLE["ohlcv_bars"] = with_(BARS) + "SELECT * FROM bars"
 
 ORACLE["wide_to_long"] = with_(BENCH) + "SELECT ticker, date, close FROM bench"

@@ -94,6 +94,14 @@ cc AS (SELECT * FROM eng WHERE COLUMNS(*) IS NOT NULL),
 allc AS ({_CC})
 SELECT feature, round(abs_corr, 6) + 0.0 AS abs_corr FROM allc ORDER BY abs_corr DESC NULLS LAST, feature LIMIT 15"""
 
+_REPORT = with_(ENG) + f""",
+cc AS (SELECT * FROM eng WHERE COLUMNS(*) IS NOT NULL),
+allc AS ({_CC})
+"""
+ORACLE["feature_report_rows"] = _REPORT + """SELECT feature, round(abs_corr, 6) + 0.0 AS abs_corr, true AS mapped, 1.0::DOUBLE AS total FROM allc"""
+ORACLE["feature_duel_rows"] = _REPORT + """SELECT feature, CASE feature WHEN 'sma_20' THEN 'raw' ELSE 'ratio' END AS form,
+       round(abs_corr, 6) + 0.0 AS abs_corr FROM allc WHERE feature IN ('sma_20', 'price_to_sma20')"""
+
 _PAIRS = [(i, j) for i in range(len(HEATMAP)) for j in range(len(HEATMAP)) if j < i]
 ORACLE["corr_matrix"] = with_(ENG) + "\nUNION ALL\n".join(
     f"SELECT '{HEATMAP[i]}' AS feature_a, '{HEATMAP[j]}' AS feature_b, "

@@ -7,6 +7,7 @@ levels) so the DuckDB oracle can compare values across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +26,7 @@ from panelforge.operators.xsection import (
     XS_FEATURES, market_breadth, market_stats, join_per_date, relative_strength, xs_rank, xs_zscore,
 )
 from panelforge.plans.pipeline import base_features, engineer_features
-from panelforge.session import apply_conf
+from panelforge.session import apply_conf, checkpoint_dir
 from panelforge.sources import io
 from panelforge.sources.bars import (
     BENCHMARKS, TICK_ORDER, benchmark_series, ohlcv_bars, stock_bars, stock_panel, trade_ticks,
@@ -81,6 +82,17 @@ def q_bars_scan(spark, sf_dir):
     return t.select("ticker", F.to_date("ts").alias("date"), "px", "qty", *TICK_ORDER)
 
 
+@query("load_bars")
+def q_load_bars(spark, sf_dir):
+    """The bars as a vendor's CSV file, read back with a typed date and
+    typed fields."""
+    names = {v: k for k, v in io.VENDOR_NAMES.items()}
+    bars = stock_panel(spark, sf_dir).withColumns({"dividends": F.lit(None).cast("double"), "stock_splits": F.lit(0.0)})
+    path = f"{checkpoint_dir(spark)}/vendor-{uuid.uuid4().hex}"
+    io.write_stage(bars.select(*[F.col(c).alias(names.get(c, c)) for c in bars.columns]), path, fmt="csv")
+    return io.load_bars(spark, path, "csv")
+
+
 @query("ohlcv_bars")
 def q_ohlcv_bars(spark, sf_dir):
     """Daily OHLCV bars per brand."""

@@ -194,6 +194,22 @@ def _stored(spark, sf_dir) -> tuple[dict, dict, DataFrame]:
     return models, T.load_models(path, spark), test
 
 
+@query("feature_report_rows")
+def q_feature_report_rows(spark, sf_dir):
+    """The report's features with |corr|, whether an importance of 0
+    to 1 is mapped to each, and the sum of all importances (1)."""
+    r = io.stage(_report(spark, sf_dir), "report")
+    total = r.agg(F.round(F.sum("importance"), 6).alias("total"))
+    return rnd(r.select("feature", "abs_corr", F.col("importance").between(0, 1).alias("mapped"))
+               .crossJoin(F.broadcast(total)))      # one row
+
+
+@query("feature_duel_rows")
+def q_feature_duel_rows(spark, sf_dir):
+    """the two forms side by side, with |corr|."""
+    return rnd(S.feature_duel(_report(spark, sf_dir)).select("feature", "form", "abs_corr"))
+
+
 @query("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Fit, save, load, rescore, for every target and family; the largest
