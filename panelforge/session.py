@@ -30,7 +30,8 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cores)
-    conf["spark.driver.memory"] = "16g"
+    half = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES") >> 31
+    conf["spark.driver.memory"] = f"{max(2, min(16, half))}g"     # of the machine's memory, at most half
     # Window stages are CPU-bound per row: on small local inputs, do not let
     # AQE fold the shuffle output into one or two partitions (1 MB default).
     conf["spark.sql.adaptive.coalescePartitions.minPartitionSize"] = "64k"
