@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from panelforge.llm.langid import Space, SYMBOLS, classify, held_out, language_id, learn, trigrams
+from panelforge.llm.langid import Counts, Space, classify, held_out, language_id, learn, trigrams
 from tests.llm.conftest import ROWS
 
 PARTS = {"en": ["the", "ing", "tion", "and", "er"], "de": ["sch", "ung", "ein", "ich", "ü"],
@@ -18,16 +18,59 @@ def corpus(n, seed=0):
 
 def test_bundle_is_the_sum_of_bound_ngrams():
     s = Space(64, 1)
-    a, b = trigrams("Abc abé, 12 xyz"), trigrams("zzz")
-    v = s.bundle([a, b])
-    for codes, got in ((a, v[0]), (b, v[1])):
+    texts = ["Abc abé, 12 xyz", "zzz", "日本語 日本"]
+    for text, got in zip(texts, s.bundle([trigrams(t) for t in texts])):
+        symbols = [0]
+        for c in text.lower() + " ":
+            if c.isalpha() or symbols[-1]:
+                symbols.append(ord(c) if c.isalpha() else 0)
         want = np.zeros(64)
-        for c in codes:
-            x, y, z = c // SYMBOLS**2, c // SYMBOLS % SYMBOLS, c % SYMBOLS
-            want += np.roll(s.letters[x], 2) * np.roll(s.letters[y], 1) * s.letters[z]
+        for x, y, z in zip(symbols, symbols[1:], symbols[2:]):
+            want += np.roll(s.letter(x), 2) * np.roll(s.letter(y), 1) * s.letter(z)
         assert got.tolist() == want.tolist()
 
 
+def test_every_letter_has_its_own_vector():
+    s = Space(1024)
+    letters = [ord(c) for c in "azéüßñабвжящαβγδאבגक日本語𝒳"]
+    v = np.stack([s.letter(c) for c in letters]).astype(int)
+    cos = np.abs(v @ v.T / 1024 - np.eye(len(letters)))
+    assert set(np.unique(v)) == {-1, 1} and cos.max() < 0.16
+    assert (Space(1024).letter(ord("ж")) == s.letter(ord("ж"))).all()
+
+
+def test_languages_of_one_script_are_told_apart(spark):
+    r = random.Random(3)
+    letters = {"x1": "абвгдежз", "x2": "жзиклмно", "y1": "αβγδεζηθ", "y2": "ηθικλμνξ"}
+    rows = [(i, " ".join("".join(r.choices(letters[g], k=4)) for _ in range(12)), g)
+            for i in range(400) for g in [r.choice(sorted(letters))]]
+    got = language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    by = {i: g for i, _, g in rows}
+    assert all(x.lang_pred == by[x.doc_id] for x in got if x.held_out)
+
+
+def test_bounded_buffer_and_cache_change_nothing(monkeypatch):
+    from panelforge.llm import langid
+    texts = [t for _, t, _ in corpus(40)]
+    codes = [trigrams(t) for t in texts]
+    whole = Space(32).bundle(codes)
+    u, n = np.unique(np.concatenate(codes), return_counts=True)
+    monkeypatch.setattr(langid, "CACHED", 50)
+    monkeypatch.setattr(langid, "HELD_GRAMS", 30)
+    small = Space(32)
+    assert (small.bundle(codes) == whole).all()
+    assert (np.concatenate([small.bundle([c]) for c in codes]) == whole).all()
+    c, sums = Counts(), {}
+    frames = []
+    for x in codes:
+        if c.add("l", x):
+            frames += list(c.take())
+    for f in frames + list(c.take()):
+        for g, k in zip(f["g"], f["n"]):
+            sums[g] = sums.get(g, 0) + k
+    assert len(frames) > 1 and sums == dict(zip(u.tolist(), n.tolist()))
+
+
 def test_texts_without_letters():
     assert trigrams(None) is None and trigrams("") is None and trigrams("12 ,.\n") is None
     assert trigrams("a") is not None and trigrams("𝒳") is not None and trigrams("日本") is not None
