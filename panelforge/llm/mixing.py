@@ -11,8 +11,8 @@ Documents then give whole repetitions, floor(target / size of the source),
 and one fractional repetition: in the seeded order of an MD5 of seed and id,
 documents are taken whole until the rest of the target is used up; the last
 one is taken in part. The order is cut into buckets of about BUCKET_ROWS
-documents: bucket totals give the running sums, so no source, however large,
-is sorted in one task.
+documents: bucket totals give the running sums, in two levels, so no source,
+however large, is sorted or summed in one task.
 """
 
 from __future__ import annotations
@@ -64,6 +64,21 @@ def water_fill(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs:
     return s.select("src", "source_size", F.least(F.col("cap").cast("double"), level).alias("target"))
 
 
+def offsets(buckets: DataFrame, digits: int) -> DataFrame:
+    """(src, b, bs) -> the same with ``offset``, the words of the source's buckets
+    before b. Two levels, by the first half of b's digits and within it, so
+    no window holds more than about the square root of a source's buckets."""
+    before = Window.unboundedPreceding, -1
+    runs = F.substring("b", 1, (digits + 1) // 2)
+    first = buckets.groupBy(F.col("src").alias("rs"), runs.alias("run")).agg(F.sum("bs").alias("total"))
+    first = first.select("rs", "run", F.coalesce(F.sum("total").over(
+        Window.partitionBy("rs").orderBy("run").rowsBetween(*before)), F.lit(0)).alias("first"))
+    inside = F.sum("bs").over(Window.partitionBy("src", runs).orderBy("b").rowsBetween(*before))
+    return (buckets.withColumn("inside", F.coalesce(inside, F.lit(0)))
+            .join(first, F.col("src").eqNullSafe(F.col("rs")) & (runs == F.col("run")))
+            .select("src", "b", "bs", (F.col("first") + F.col("inside")).alias("offset")))
+
+
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
         weights: Sequence[int] = WEIGHTS, max_epochs: int = 3, seed: int = 0,
         carry: str | None = None) -> DataFrame:
@@ -89,8 +104,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
                                             F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
            .withColumn("rest", F.round(F.col("target")).cast("long") - F.col("repeats") * F.col("source_size"))
            .withColumnRenamed("src", "s"))
-    upto = Window.partitionBy("src").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (buckets.withColumn("offset", F.coalesce(F.sum("bs").over(upto), F.lit(0)))
+    buckets = (offsets(buckets, digits)
                .join(src, F.col("src").eqNullSafe(F.col("s"))).drop("s")
                .withColumnRenamed("src", "s").withColumnRenamed("b", "c"))
     j = d.join(buckets, F.col("src").eqNullSafe(F.col("s")) & (F.col("b") == F.col("c")))

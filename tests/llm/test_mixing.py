@@ -1,10 +1,11 @@
+import random
 import re
 from collections import defaultdict
 from fractions import Fraction
 
 import pytest
 
-from panelforge.llm.mixing import mix, water_fill
+from panelforge.llm.mixing import mix, water_fill, offsets
 from tests.llm.conftest import ROWS
 
 
@@ -69,3 +70,16 @@ def test_hot_source_over_many_buckets(spark):
     rows = mix(d).join(d.select("doc_id", "source"), "doc_id").groupBy("source", "target").sum("taken").collect()
     assert len(rows) == 8
     assert all(abs(r["sum(taken)"] - r.target) <= 1 for r in rows)
+
+
+def test_offsets_in_two_levels(spark):
+    r = random.Random(5)
+    for digits in (1, 2, 3):
+        rows = [(src, f"{b:0{digits}x}", r.randint(0, 9)) for src in ("a", "b", None)
+                for b in sorted(r.sample(range(16 ** digits), min(16 ** digits, 60)))]
+        want, sums = set(), {}
+        for src, b, n in rows:
+            want.add((src, b, n, sums.get(src, 0)))
+            sums[src] = sums.get(src, 0) + n
+        got = offsets(spark.createDataFrame(rows, "src string, b string, bs long"), digits).collect()
+        assert len(got) == len(rows) and {tuple(x) for x in got} == want
