@@ -5,7 +5,7 @@ from fractions import Fraction
 
 import pytest
 
-from panelforge.llm.mixing import mix, water_fill, offsets
+from panelforge.llm.mixing import mix, offsets, water_fill
 from tests.llm.conftest import ROWS
 
 
