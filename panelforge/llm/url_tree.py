@@ -5,17 +5,27 @@ the tree of their host learns from all urls:
 
 1. Segments that carry digits are generalised by shape (number, hexadecimal,
    mixed; with their extension).
-2. Level by level, a node's children stay literal while each has KEEP_SHARE of
-   the node's urls (so a node has at most 1 / KEEP_SHARE literal children, plus
-   the shapes); the rest becomes the wildcard ``*``.
-3. Siblings whose next segments have the same distribution of kinds and whose
-   labelled shares agree (two G-tests at ALPHA) are merged into one branch.
-   Branches with labels and branches without are not merged: a merge must not
-   hand a verdict to urls nobody labelled.
-4. A template with a blocked label is rejected when its smoothed purity - blocked labels plus
-   STRENGTH times the overall blocked rate, over all labels plus STRENGTH - is
-   at least CUT. Labels are the urls that the fixed rules decide, and any that
-   the caller adds.
+2. Where the urls of a node part, its words stay literal or become the wildcard
+   ``*`` by variability: the share of urls after the first that bring a new
+   word. In a slot below VARIABLE all words stay; in a more variable one those
+   whose repeats would be a chance of at most ALPHA at that variability. A word
+   that passes the same test among the hosts (one vote a host) at its depth
+   stays too, so a small host is read like a large one.
+3. Literal siblings whose next segments have the same distribution of kinds and
+   whose labelled shares agree (two G-tests at ALPHA) are merged into one branch.
+   Siblings alike to an eighth are pooled before, which bounds what a task
+   compares. Branches with labels and branches without are not merged: a merge
+   must not hand a verdict to urls nobody labelled.
+4. Purity is smoothed by the ancestors: labelled urls of the template and
+   STRENGTH urls at the prior that its parent hands down. A node's prior for its
+   children counts its labelled urls as they are and its others (and STRENGTH
+   more) at the prior from above; the root's is the blocked share of all urls.
+   So labels weigh below a node in the measure in which they cover it. A template
+   is rejected when its purity is at least CUT, with labels of its own or without.
+   Labels are the urls that the fixed rules decide, and any that the caller adds.
+
+All levels count: where all urls of a node share their next segments, these are
+one step, so there are as many rounds as levels at which urls part.
 
 Every step is an aggregate over (host, template, segment); a host with most of
 the urls is split by its templates and joined as plain tables.
@@ -37,12 +47,12 @@ from panelforge.sources.io import stage
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
          ("block", "net/es/"), ("block", "net/fr/")]
 
-KEEP_SHARE = 0.02
-KEEP_LEAST = 5
+VARIABLE = 0.1
 ALPHA = 0.01
 STRENGTH = 2.0
 CUT = 0.5
-DEPTH = 8          # segments beyond the eighth are one wildcard
+GRADES = 8         # shares of branches that are pooled agree to 1 / GRADES
+SHOWN = 8          # segments of a template's name; what follows is written /**
 KINDS = ["end", "word", "number", "hex", "mixed"]   # of a next segment
 
 
@@ -117,51 +127,102 @@ def merge_branches(branches: list[tuple]) -> dict[str, str]:
     return out
 
 
-def templates(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(host, path, blocked, allowed, n), one row per distinct url path, to the
-    stored same with ``template``."""
+def keeps(count: str, urls: str, distinct: str) -> str:
+    """SQL: a word with ``count`` of a slot's ``urls`` stays literal."""
+    v = f"(({distinct} - 1) / greatest({urls} - 1, 1))"
+    return f"({v} < {VARIABLE} OR pow(1 - {v}, {count} - 1) <= {ALPHA})"
+
+
+def known_words(x: DataFrame) -> DataFrame:
+    """Stored (depth, word) that stay literal when every host votes once."""
+    votes = x.select("host", F.posexplode("rest").alias("depth", "word")).where("NOT startswith(word, '{')").distinct()
+    words = stage(votes.groupBy("depth", "word").agg(F.count(F.lit(1)).alias("hosts")), "url_words")
+    slots = words.groupBy(F.col("depth").alias("sd")).agg(F.sum("hosts").alias("votes"), F.count(F.lit(1)).alias("words"))
+    return stage(words.join(slots, F.col("depth") == F.col("sd")).where(keeps("hosts", "votes", "words"))
+                 .select(F.col("depth").alias("kd"), F.col("word").alias("kw")), "url_known")
+
+
+def templates(urls: DataFrame, rate: float, strength: float = STRENGTH) -> DataFrame:
+    """(host, path, blocked, allowed, n), one row per distinct url path, to
+    (host, path, template, purity); ``rate`` is the root's prior."""
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
-    x = stage(urls.withColumn("segs", segs).withColumn("template", F.lit("")), "url_paths")
-    deepest = x.agg(F.max(F.size("segs"))).first()[0] or 0
+    x = stage(urls.select("*", F.transform(segs, symbol).alias("rest"), F.lit("").alias("template"),
+                          F.lit(False).alias("ended"), F.lit(float(rate)).alias("prior")), "url_paths")
+    known = small_side(known_words(x), 100)
     counts = [f"k{i}" for i in range(len(KINDS))]
+    sums = ["n", "blocked", "allowed", *counts]
 
-    def merge(f: pd.DataFrame) -> pd.DataFrame | None:
+    def merge(f: pd.DataFrame) -> pd.DataFrame:
         out = []
         for a, b in split_runs(f["node"].to_numpy()):
             p = f.iloc[a:b]
-            words = [(s, [float(v) for v in h], float(bl), float(al)) for s, h, bl, al in
-                     zip(p["sym"], p[counts].to_numpy(), p["blocked"], p["allowed"])]
-            named = merge_branches([w for w in words if not w[0].startswith("{")])
-            for h, t, s in zip(p["host"], p["template"], p["sym"]):
-                out.append((h, t, s, named.get(s, s)))
-        return pd.DataFrame(out, columns=["mh", "mt", "ms", "into"])
-
-    for d in range(min(deepest, depth)):
-        here, nxt = F.get("segs", F.lit(d)), F.get("segs", F.lit(d + 1))
-        x = x.withColumn("sym", symbol(here))
-        child = (x.where("sym IS NOT NULL").withColumn("next", kind(nxt)).groupBy("host", "template", "sym")
-                 .agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"),
-                      *[F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(c)
-                        for k, c in zip(KINDS, counts)]))
-        child = stage(child, "url_children")
-        total = stage(child.groupBy("host", "template").agg(F.sum("n").alias("total"))
-                      .select(F.col("host").alias("th"), F.col("template").alias("tt"), "total"), "url_nodes")
-        literal = child.join(total, (F.col("host") == F.col("th")) & (F.col("template") == F.col("tt")))
-        literal = literal.where(F.col("sym").startswith("{")
-                                | ((F.col("n") >= KEEP_LEAST) & (F.col("n") >= KEEP_SHARE * F.col("total"))))
-        # a node has at most 1 / KEEP_SHARE literal children and a few shapes
-        named = stage(map_groups(literal.withColumn("node", F.xxhash64("host", "template")), "node", merge,
-                                 "mh string, mt string, ms string, into string", order=("host", "template", "sym")),
-                      "url_branches")
-        step = F.when(F.col("sym").isNull(), "").otherwise(
-            F.concat(F.lit("/"), F.coalesce("into", F.when(F.col("sym").startswith("{"), F.col("sym")), F.lit("*"))))
+            to = merge_branches([(w, [float(v) for v in h], float(bl), float(al)) for w, h, bl, al in
+                                 zip(p["word"], p[counts].to_numpy(), p["blocked"], p["allowed"])])
+            out += [(h, t, g, to[w]) for h, t, g, w in zip(p["host"], p["template"], p["grade"], p["word"])]
+        return pd.DataFrame(out, columns=["mh", "mt", "mg", "into"])
+
+    done = []
+    while True:
+        nodes = x.groupBy("host", "template", "ended").agg(
+            *[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")], F.max("prior").alias("prior"),
+            F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+        # what all urls of a node share is what its least and greatest share
+        parts = "array_position(zip_with(lo, hi, (a, b) -> a <=> b), false)"
+        nodes = nodes.selectExpr(
+            "host AS nh", "template AS nt", "ended AS ne", "lo = hi AS leaf",
+            f"cast(CASE WHEN {parts} = 0 THEN size(lo) ELSE {parts} - 1 END AS int) AS shared", "lo",
+            f"(blocked + {strength}D * prior) / (blocked + allowed + {strength}D) AS purity",
+            f"(blocked + (n - blocked - allowed + {strength}D) * prior) / (n + {strength}D) AS handed")
+        nodes = stage(nodes.selectExpr("nh", "nt", "ne", "leaf", "shared", "purity", "handed",
+                                       "concat(nt, array_join(transform(slice(lo, 1, shared), s -> concat('/', s)), '')) AS here"),
+                      "url_nodes")
+        x = x.join(small_side(nodes, 400), (F.col("host") == F.col("nh")) & (F.col("template") == F.col("nt"))
+                   & (F.col("ended") == F.col("ne")))
+        x = stage(x.selectExpr("host", "path", "n", "blocked", "allowed", "leaf", "purity", "here AS template", "handed AS prior",
+                               "slice(rest, shared + 1, greatest(size(rest) - shared, 0)) AS rest"), "url_level")
+        done.append(x.where("leaf").select("host", "path", "template", "purity"))
+        x = x.where("NOT leaf").drop("leaf", "purity").withColumn("sym", F.get("rest", F.lit(0)))
+        if x.isEmpty():
+            break
+        nxt = F.get("rest", F.lit(1))
+        what = F.when(nxt.isNull(), "end").when(nxt.startswith("{"), F.regexp_extract(nxt, "^.([a-z]*)", 1)).otherwise("word")
+        child = stage(x.where("sym IS NOT NULL AND NOT startswith(sym, '{')").withColumn("next", what)
+                      .groupBy("host", "template", "sym")
+                      .agg(*[F.sum(c).alias(c) for c in ("n", "blocked", "allowed")],
+                           *[F.sum(F.when(F.col("next") == k, F.col("n")).otherwise(0)).alias(c)
+                             for k, c in zip(KINDS, counts)]), "url_children")
+        total = child.groupBy(F.col("host").alias("th"), F.col("template").alias("tt")).agg(
+            F.sum("n").alias("urls"), F.count(F.lit(1)).alias("words"))
+        literal = (child.join(total, (F.col("host") == F.col("th")) & (F.col("template") == F.col("tt")))
+                   .withColumn("depth", F.size(F.split("template", "/")) - 1)
+                   .join(known, (F.col("depth") == F.col("kd")) & (F.col("sym") == F.col("kw")), "left")
+                   .where(f"kw IS NOT NULL OR {keeps('n', 'urls', 'words')}"))
+        grades = [f"round({GRADES} * {c} / n)" for c in counts]
+        literal = stage(literal.selectExpr(
+            "host", "template", "sym", *sums, f"concat_ws(',', {', '.join(grades)}, "
+            f"CASE WHEN blocked + allowed > 0 THEN round({GRADES} * blocked / (blocked + allowed)) ELSE -1 END) AS grade"),
+            "url_literals")
+        # pools of a node are bounded: shares of five kinds and of labels, in eighths
+        pools = literal.groupBy("host", "template", "grade").agg(
+            *[F.sum(c).alias(c) for c in sums], F.min(F.struct(-F.col("n"), "sym")).alias("lead"))
+        pools = pools.select("host", "template", "grade", "blocked", "allowed", *counts, F.col("lead.sym").alias("word"),
+                             F.xxhash64("host", "template").alias("node"))
+        merged = stage(map_groups(pools, "node", merge, "mh string, mt string, mg string, into string",
+                                  order=("host", "template", "word")), "url_pools")
+        named = stage(literal.join(merged, (F.col("host") == F.col("mh")) & (F.col("template") == F.col("mt"))
+                                   & (F.col("grade") == F.col("mg")))
+                      .select("mh", "mt", F.col("sym").alias("ms"), "into"), "url_branches")
         x = x.join(small_side(named, 300), (F.col("host") == F.col("mh")) & (F.col("template") == F.col("mt"))
                    & (F.col("sym") == F.col("ms")), "left")
-        x = stage(x.withColumn("template", F.concat("template", step)).drop("sym", "mh", "mt", "ms", "into"), "url_level")
-    if deepest > depth:
-        x = x.withColumn("template", F.when(F.size("segs") > depth, F.concat("template", F.lit("/**")))
-                         .otherwise(F.col("template")))
-    return x.drop("segs")
+        x = stage(x.selectExpr(
+            "host", "path", "n", "blocked", "allowed", "prior", "sym IS NULL AS ended",
+            "slice(rest, 2, greatest(size(rest) - 1, 0)) AS rest",
+            "CASE WHEN sym IS NULL THEN template ELSE concat(template, '/', "
+            "coalesce(into, CASE WHEN startswith(sym, '{') THEN sym END, '*')) END AS template"), "url_next")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url",
@@ -174,7 +235,8 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url",
     boolean) adds labels for urls without a rule. Null urls and urls without
     ``://`` have an empty host and path and a template of their own. Repeated
     rows are judged alike and all count. An empty table gives an empty result;
-    columns other than ``key`` and ``url`` are not read.
+    columns other than ``key`` and ``url`` are not read. Empty segments do not
+    count; template names show SHOWN segments, decisions use all of them.
     """
     host, path = split_url(url)
     rows = pages.select(F.col(key).alias("__key"), host.alias("host"), path.alias("path"))
@@ -191,16 +253,14 @@ def judge_urls(pages: DataFrame, key: str = "page_id", url: str = "url",
         known = known.join(more, (F.col("host") == F.col("lh")) & (F.col("path") == F.col("lp")), "left").select(
             "host", "path", "n", (F.col("blocked") + F.coalesce("b", F.lit(0))).alias("blocked"),
             (F.col("allowed") + F.coalesce("a", F.lit(0))).alias("allowed"))
-    t = stage(templates(known), "url_templates")
-    per = t.groupBy("host", "template").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
-    sums = per.agg(F.sum("blocked"), F.sum("allowed")).first()
-    b, a = sums[0] or 0, sums[1] or 0
-    rate = (b + 1.0) / (b + a + 2.0) if b + a else 0.0
-    purity = (F.col("blocked") + strength * rate) / (F.col("blocked") + F.col("allowed") + strength)
-    per = stage(per.select(F.col("host").alias("ph"), F.col("template").alias("pt"), purity.alias("purity"),
-                           ((F.col("blocked") > 0) & (purity >= cut)).alias("rejected")), "url_purity")
-    verdicts = stage(t.join(per, (F.col("host") == F.col("ph")) & (F.col("template") == F.col("pt")))
-                     .select(F.col("host").alias("vh"), F.col("path").alias("vp"), "template", "purity", "rejected"), "url_verdicts")
+    known = stage(known, "url_known_labels")
+    sums = known.agg(F.sum("blocked"), F.sum("n")).first()
+    rate = (sums[0] or 0) / sums[1] if sums[1] else 0.0
+    shown = F.when(F.size(F.split("template", "/")) - 1 > SHOWN, F.concat(
+        F.substring_index("template", "/", SHOWN + 1), F.lit("/**"))).otherwise(F.col("template"))
+    verdicts = stage(templates(known, rate, strength).select(
+        F.col("host").alias("vh"), F.col("path").alias("vp"), shown.alias("template"), "purity",
+        (F.col("purity") >= cut).alias("rejected")), "url_verdicts")
     open_rows = rows.where("rule IS NULL").join(
         verdicts, (F.col("host") == F.col("vh")) & (F.col("path") == F.col("vp")))
     judged = open_rows.select(F.col("__key").alias(key), "host", "path", "rule",

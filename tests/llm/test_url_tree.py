@@ -1,4 +1,7 @@
+import math
 import random
+import re
+from collections import defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -82,3 +85,124 @@ def test_empty_and_repeated_rows(spark):
     assert judge_urls(d.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "http://a.org/" + "a/" * 50_000)], "page_id long, url string")
     assert judge_urls(long).first().template.endswith("/**")
+
+
+def tree(rows, rate, strength=2.0):
+    """(host, path) -> (template, purity) by plain recursion. ``rows``:
+    (host, path) -> (n, blocked, allowed)."""
+    def symbol(s):
+        stem, ext = re.fullmatch(r"(.*?)(\.[A-Za-z]{1,5})?", s, re.S).groups()
+        if not re.search("[0-9]", stem):
+            return s
+        k = ("number" if re.fullmatch("[0-9]+", stem) else
+             "hex" if re.fullmatch("[0-9a-fA-F-]{8,}", stem) else "mixed")
+        return "{" + k + "}" + (ext or "")
+
+    def keeps(n, urls, words):
+        v = (words - 1) / max(urls - 1, 1)
+        return v < 0.1 or (1 - v) ** (n - 1) <= 0.01
+
+    half = lambda x: math.floor(x + 0.5)
+    paths = {k: [symbol(s) for s in k[1].split("/") if s] for k in rows}
+    votes = defaultdict(set)
+    for (host, _), syms in paths.items():
+        for i, s in enumerate(syms):
+            if s[0] != "{":
+                votes[i, s].add(host)
+    slots = defaultdict(list)
+    for (i, _), hosts in votes.items():
+        slots[i].append(len(hosts))
+    known = {k for k, hosts in votes.items() if keeps(len(hosts), sum(slots[k[0]]), len(slots[k[0]]))}
+    out = {}
+
+    def walk(urls, at, name, prior):
+        n, b, a = (sum(rows[u][i] for u in urls) for i in range(3))
+        rests = [tuple(paths[u][at:]) for u in urls]
+        if len(set(rests)) == 1:
+            for u in urls:
+                out[u] = name + "".join("/" + s for s in rests[0]), (b + strength * prior) / (b + a + strength)
+            return
+        prior = (b + (n - b - a + strength) * prior) / (n + strength)
+        while all(r for r in rests) and len({r[0] for r in rests}) == 1:
+            name, at, rests = name + "/" + rests[0][0], at + 1, [r[1:] for r in rests]
+        kids = defaultdict(list)
+        for u in urls:
+            kids[paths[u][at] if len(paths[u]) > at else None].append(u)
+        count = {s: sum(rows[u][0] for u in us) for s, us in kids.items() if s and s[0] != "{"}
+        pools = {}
+        for s, c in count.items():
+            if (name.count("/"), s) not in known and not keeps(c, sum(count.values()), len(count)):
+                continue
+            hist = [0] * 5
+            for u in kids[s]:
+                nxt = paths[u][at + 1] if len(paths[u]) > at + 1 else None
+                kind = "end" if nxt is None else re.match(r".([a-z]*)", nxt)[1] if nxt[0] == "{" else "word"
+                hist[["end", "word", "number", "hex", "mixed"].index(kind)] += rows[u][0]
+            kb, ka = (sum(rows[u][i] for u in kids[s]) for i in (1, 2))
+            grade = (*[half(8 * h / c) for h in hist], half(8 * kb / (kb + ka)) if kb + ka else -1)
+            p = pools.setdefault(grade, [[], [0] * 5, 0, 0])
+            p[0].append((-c, s))
+            p[1] = [x + y for x, y in zip(p[1], hist)]
+            p[2] += kb
+            p[3] += ka
+        into = merge_branches([(min(p[0])[1], *p[1:]) for p in pools.values()])
+        lead = {s: into[min(p[0])[1]] for p in pools.values() for _, s in p[0]}
+        groups = defaultdict(list)
+        for s, us in kids.items():
+            groups[None if s is None else lead.get(s, s if s[0] == "{" else "*")] += us
+        for s, us in groups.items():
+            walk(us, at + 1, name if s is None else name + "/" + s, prior)
+
+    for host in {h for h, _ in rows}:
+        walk([k for k in rows if k[0] == host], 0, "", rate)
+    return out
+
+
+def test_tree_against_plain_recursion(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(4))
+    rows = []
+    for _ in range(1500):
+        host = r.choice(["big.net"] * 6 + ["mid.example.com"] * 2 + [f"s{r.randrange(30)}.net", f"t{r.randrange(30)}.org"])
+        first = r.choice(["en", "fr", "es", "de", "user", "user"])
+        path = f"/{first}/" + (word() + r.choice(["", "/about", "/12"]) if first == "user" else
+                               r.choice([f"{r.randrange(50)}", f"{r.randrange(50)}.html", "a1b2c3d4e5", "x/y/z/" + word(), ""]))
+        rows.append(f"http://{host}{path}")
+    d = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    count = defaultdict(lambda: [0, 0, 0])
+    for u in rows:
+        c = count[parts(u)]
+        verdict = rule_of(*parts(u))[1]
+        c[0] += 1
+        c[1] += verdict == "block"
+        c[2] += verdict == "allow"
+    want = tree(count, sum(c[1] for c in count.values()) / len(rows))
+    got = {x.page_id: x for x in judge_urls(d).collect()}
+    left = {"block": 0, "allow": 0}
+    for i, u in enumerate(rows):
+        if got[i].rule is None:
+            template, purity = want[parts(u)]
+            assert got[i].template == template and got[i].purity == pytest.approx(purity, abs=1e-12)
+            assert got[i].verdict == ("block" if purity >= 0.5 else "allow")
+            left[got[i].verdict] += 1
+    assert min(left.values()) > 0
+
+
+def test_covered_host_hands_its_purity_to_unlabelled_templates(spark):
+    rows = [f"http://bad.net/fr/{i}" for i in range(90)] + [f"http://bad.net/de/{i}" for i in range(10)]
+    rows += [f"http://fine.net/fr/{i}" for i in range(10)] + [f"http://fine.net/de/{i}" for i in range(90)]
+    rows += [f"http://c.org/x/{i}" for i in range(200)]
+    d = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = judge_urls(d).where("rule IS NULL").groupBy("host", "verdict").count().collect()
+    assert {(g.host, g.verdict): g["count"] for g in got} == {
+        ("bad.net", "block"): 10, ("fine.net", "allow"): 90, ("c.org", "allow"): 200}
+
+
+def test_levels_beyond_the_shown_ones_still_count(spark):
+    deep = "/a" * 60
+    rows = [(i, f"http://h.org{deep}/bad/{i}") for i in range(40)] + [(100 + i, f"http://h.org{deep}/good/{i}") for i in range(40)]
+    labels = spark.createDataFrame([("h.org", f"{deep}/bad/{i}", True) for i in range(20)]
+                                   + [("h.org", f"{deep}/good/{i}", False) for i in range(20)],
+                                   "host string, path string, blocked boolean")
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), labels=labels).collect()
+    assert all(g.verdict == ("block" if g.page_id < 100 else "allow") and g.template == "/a" * 8 + "/**" for g in got)
