@@ -61,6 +61,13 @@ class PanelWindow:
         parts, order = ", ".join(f"`{c}`" for c in self.parts), ", ".join(f"`{c}`" for c in (*self.lead_by, self.time))
         return f"OVER (PARTITION BY {parts} ORDER BY {order}{rows})"
 
+    def scan(self, backwards: bool = False, frame: bool = True) -> str:
+        """``over`` of a running scan, from the first row on or from the last."""
+        parts = ", ".join(f"`{c}`" for c in self.parts)
+        order = ", ".join(f"`{c}`{' DESC' if backwards else ''}" for c in (*self.lead_by, self.time))
+        rows = " ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW" if frame else ""
+        return f"OVER (PARTITION BY {parts} ORDER BY {order}{rows})"
+
     def roll_sql(self, c: str, n: int, agg: str = "avg") -> str:
         """``roll`` of an SQL expression, as SQL."""
         w = self.over(n)

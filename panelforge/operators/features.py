@@ -5,6 +5,7 @@ level, and every Window operator buffers and copies whole rows. The
 standalone operators in ``windows`` / ``labels`` add one level each; here the
 same columns are laid out by dependency instead:
 
+    L0  rolling extremes by scans of blocks
     L1  lags, leads, every rolling statistic of raw columns
     P1  row expressions (ratios, bands, distances, RSI legs)
     L2  rolling statistics of L1 outputs
@@ -23,7 +24,7 @@ from panelforge.operators.carry import Macd
 from panelforge.operators.halo import BACK, BUCKET, FWD, with_halo
 from panelforge.operators.labels import HORIZONS, direction_col
 from panelforge.operators.windows import (
-    EXTREMES, RETURN_PERIODS, RSI_PERIODS, SMA_PERIODS, VOL_PERIODS, VOL_RATIOS,
+    EXTREMES, RETURN_PERIODS, RSI_PERIODS, SMA_PERIODS, VOL_PERIODS, VOL_RATIOS, rolling_extremes,
 )
 
 PW = PanelWindow()
@@ -73,15 +74,15 @@ def frame_features(df: DataFrame, pw: PanelWindow, price: str, labels: str | Non
     def ratio(a, b):
         return f"try_divide({a}, {b})"
 
+    # first, while rows are narrow: its scan from the last row sorts them once more
+    df = rolling_extremes(df, pw)
+
     # L1: one pass over raw columns
     l1 = {f"return_{p}d": ratio(x, f"lag({x}, {p}) {w}") + " - 1" for p in RETURN_PERIODS}
     l1 |= {f"sma_{n}": pw.roll_sql(x, n) for n in SMA_PERIODS}
     l1["volume_sma_20"] = pw.roll_sql("volume", 20)
     l1["dollar_vol_20"] = pw.roll_sql("(close * volume)", 20)
     l1["__bb_std"] = pw.roll_sql(x, 20, "std")
-    for lbl, n in EXTREMES:
-        l1[f"__max_{lbl}"] = pw.roll_sql("close", n, "max")
-        l1[f"__min_{lbl}"] = pw.roll_sql("close", n, "min")
     l1["__prev_close"] = f"lag(close, 1) {w}"
     l1["__delta"] = f"{x} - lag({x}, 1) {w}"
     if labels:

@@ -139,11 +139,43 @@ def bollinger(df: DataFrame, pw: PanelWindow = PW, price: str = "adj_close",
     return df.drop(mean_col) if made_mean else df
 
 
+def rolling_extremes(df: DataFrame, pw: PanelWindow = PW, price: str = "close",
+                     spans: Sequence[tuple[str, int]] = EXTREMES) -> DataFrame:
+    """Adds ``__max_<label>`` and ``__min_<label>`` over the last n rows, NULL
+    unless all n are there and not null, at a cost a row that n does not change.
+
+    Rows are cut into blocks of n, counted from the last row. A frame of n rows
+    is the end of one block and the start of the next: the extreme of the first
+    is a scan from the last row backwards, read n - 1 rows earlier, that of the
+    second a scan forwards. A running maximum of (block, value) starts anew in
+    each block, so blocks need no partitions of their own. One row a date."""
+    def add(d, cols):
+        return d.selectExpr("*", *[f"{v} AS `{k}`" for k, v in cols.items()])
+
+    x = f"`{price}`"
+    fwd, rev = pw.scan(), pw.scan(True)
+    d = add(df, {f"__blk_{lbl}": f"floor((row_number() {rev} - 1) / {n})" for lbl, n in spans})
+    d = add(d, {f"__{k}s_{lbl}": f"max(struct(__blk_{lbl} AS b, {sign}{x} AS v)) {rev}"
+                for lbl, _ in spans for k, sign in (("h", ""), ("l", "-"))})
+    d = add(d, {f"__{k}p_{lbl}": f"lead(__{k}s_{lbl}.v, {n - 1}) {pw.scan(True, False)}"
+                for lbl, n in spans for k in "hl"})
+    d = add(d, {"__seen": f"count({x}) {fwd}"}
+            | {f"__{k}t_{lbl}": f"max(struct(-__blk_{lbl} AS b, {sign}{x} AS v)) {fwd}"
+               for lbl, _ in spans for k, sign in (("h", ""), ("l", "-"))})
+    d = add(d, {f"__full_{lbl}": f"__seen - coalesce(lag(__seen, {n}) {pw.over()}, 0) = {n}" for lbl, n in spans})
+    out = {}
+    for lbl, _ in spans:
+        out[f"__max_{lbl}"] = f"CASE WHEN __full_{lbl} THEN greatest(__hp_{lbl}, __ht_{lbl}.v) END"
+        out[f"__min_{lbl}"] = f"CASE WHEN __full_{lbl} THEN -greatest(__lp_{lbl}, __lt_{lbl}.v) END"
+    return d.selectExpr(*[f"`{c}`" for c in df.columns], *[f"{v} AS `{k}`" for k, v in out.items()])
+
+
 def dist_extremes(df: DataFrame, pw: PanelWindow = PW, price: str = "close",
                   spans: Sequence[tuple[str, int]] = EXTREMES) -> DataFrame:
     """Distance of the close from its rolling high and low."""
+    made = rolling_extremes(df, pw, price, spans)
     cols = {}
-    for label, n in spans:
-        cols[f"dist_from_{label}_high"] = div(F.col(price), pw.roll(price, n, "max")) - 1
-        cols[f"dist_from_{label}_low"] = div(F.col(price), pw.roll(price, n, "min")) - 1
-    return _with(df, cols)
+    for label, _ in spans:
+        cols[f"dist_from_{label}_high"] = div(F.col(price), F.col(f"__max_{label}")) - 1
+        cols[f"dist_from_{label}_low"] = div(F.col(price), F.col(f"__min_{label}")) - 1
+    return _with(made, cols).drop(*[f"__{k}_{label}" for label, _ in spans for k in ("max", "min")])
