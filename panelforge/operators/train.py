@@ -301,6 +301,14 @@ def save_models(models: dict, path: str, spark: SparkSession) -> str:
     return version
 
 
+def load_model(path: str, name: str, family: str) -> PipelineModel:
+    """One model of the published version."""
+    version = published(SparkSession.getActiveSession(), path)
+    if version is None:
+        raise ValueError(f"nothing is published under {path}")
+    return PipelineModel.load(f"{version}/{name}_{family}")
+
+
 def load_models(path: str, spark: SparkSession) -> dict[str, tuple[list[str], dict[str, PipelineModel]]]:
     """The published version: target -> (features, family -> model)."""
     version = published(spark, path)
