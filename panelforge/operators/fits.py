@@ -46,6 +46,23 @@ def workers(spark: SparkSession, tasks_per_job: int, fits: int) -> int:
     return max(1, min(fits, -(-cores // max(1, tasks_per_job))))
 
 
+def run_each(spark: SparkSession, call: Callable[..., Any], inputs: list[tuple]) -> list[Any]:
+    """``call`` on every input, as many at a time as there are cores; outcomes in
+    the order of the inputs. A model's folders are many jobs of one small task:
+    one model after the other would leave all but one core idle. The first error
+    is raised when what runs has ended."""
+    if not inputs:
+        return []
+    at_once = min(len(inputs), spark.sparkContext.defaultParallelism)
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(call), *x) for x in inputs]
+        try:
+            return [r.result() for r in running]
+        except BaseException:
+            pool.shutdown(wait=False, cancel_futures=True)
+            raise
+
+
 def run_fits(spark: SparkSession, fits: list[Fit], folder: str, side_by_side: int) -> dict[str, Any]:
     """Outcomes by name. The first error stops what has not begun and is raised
     when what runs has ended (and is stored)."""

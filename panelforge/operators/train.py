@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators.evaluate import class_balance, class_weights
-from panelforge.operators.fits import Fit, run_fits, workers
+from panelforge.operators.fits import Fit, run_each, run_fits, workers
 from panelforge.session import checkpoint_dir
 from panelforge.sources.io import publish, published, stage
 
@@ -290,11 +290,9 @@ def save_models(models: dict, path: str, spark: SparkSession) -> str:
     its pointer, so readers see a whole old or a whole new set. Returns its
     folder."""
     version = f"{path}/version-{uuid.uuid4().hex}"
-    rows = []
-    for name, (sel, fams) in models.items():
-        for fam, m in fams.items():
-            m.write().save(f"{version}/{name}_{fam}")
-        rows += [(name, fam, f, i) for fam in fams for i, f in enumerate(sel)]
+    run_each(spark, lambda m, to: m.write().save(to),
+             [(m, f"{version}/{name}_{fam}") for name, (_, fams) in models.items() for fam, m in fams.items()])
+    rows = [(name, fam, f, i) for name, (sel, fams) in models.items() for fam in fams for i, f in enumerate(sel)]
     spark.createDataFrame(rows, "target string, family string, feature string, position int") \
         .write.parquet(f"{version}/selected_features")
     publish(spark, path, version)
@@ -316,10 +314,12 @@ def load_models(path: str, spark: SparkSession) -> dict[str, tuple[list[str], di
         raise ValueError(f"nothing is published under {path}")
     sel: dict[str, tuple[list[str], dict[str, PipelineModel]]] = {}
     rows = spark.read.parquet(f"{version}/selected_features").orderBy("target", "family", "position").collect()
+    named = list(dict.fromkeys((r["target"], r["family"]) for r in rows))
+    loaded = run_each(spark, PipelineModel.load, [(f"{version}/{name}_{fam}",) for name, fam in named])
+    models = dict(zip(named, loaded))
     for r in rows:      # one row a selected feature and family
         feats, fams = sel.setdefault(r["target"], ([], {}))
-        if r["family"] not in fams:
-            fams[r["family"]] = PipelineModel.load(f"{version}/{r['target']}_{r['family']}")
+        fams[r["family"]] = models[r["target"], r["family"]]
         if r["feature"] not in feats:
             feats.append(r["feature"])
     return sel
